@@ -122,8 +122,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (runs without ASCII white space, A-Z in lower case) of the texts data[at[i]:at[i + 1]], and where each text's words begin."""
+def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs without ASCII white space; with lower, A-Z in lower case) of the texts data[at[i]:at[i + 1]], and where each text's words begin."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
     solid = ~_SPACE[data]
@@ -138,6 +138,6 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     up, down = _powers(len(data))
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_MIX[LOWER[data]] * up, out=total[1:])
+        np.cumsum(_MIX[LOWER[data] if lower else data] * up, out=total[1:])
         hashes = mix64((total[ends] - total[starts]) * down[starts])
     return hashes, np.searchsorted(starts, at)

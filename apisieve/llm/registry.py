@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, quality, secret_scan, token_counts
 
 QUERIES = {
+    "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_mixing": mixing.op4_mixing,
+    "op6_quality_classifier": quality.op6_quality_classifier,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
 ORACLES = {
     "op4_mixing": mixing.ORACLE_SQL,
+    "op7_token_counts": token_counts.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }
