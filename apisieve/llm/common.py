@@ -68,7 +68,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size, from file sizes and without a job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 # ---------------------------------------------------------------- numpy text kernels

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, secret_scan, token_counts
+from . import ann, exact_dedup, mixing, quality, secret_scan, token_counts, token_output
 
 QUERIES = {
+    "op1_ann": ann.op1_ann,
+    "op2_token_output": token_output.op2_token_output,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_mixing": mixing.op4_mixing,
     "op6_quality_classifier": quality.op6_quality_classifier,
