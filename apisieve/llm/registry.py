@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, lm_scoring, mixing, quality, secret_scan, token_counts, token_output
+from . import ann, exact_dedup, lm_scoring, mixing, near_dedup, quality, secret_scan, token_counts, token_output
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -12,11 +12,13 @@ QUERIES = {
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
 ORACLES = {
     "op4_mixing": mixing.ORACLE_SQL,
     "op7_token_counts": token_counts.ORACLE_SQL,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }
