@@ -36,13 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, removed by clear_scratch() or when the session's JVM ends."""
+def scratch_path(spark: SparkSession, tag: str, keep: bool = False) -> str:
+    """A new path in the shared folder, removed by clear_scratch() (unless keep) or when the session's JVM ends."""
     path = f"{shared_dir(spark)}/apisieve-{tag}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if not keep:
+        _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 

@@ -44,7 +44,7 @@ def water_fill(sizes: DataFrame, max_epochs: float, weights: tuple[float, ...])
     return final.select("source", "source_size", "weight", F.least(F.col("cap"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, max_epochs: int = 3, weights: tuple[float, ...] = (1.0, 2.0, 3.0), seed: str = "mix-1", size=None) -> DataFrame:
+def mix(docs: DataFrame, max_epochs: int = 3, weights: tuple[float, ...] = (1.0, 2.0, 3.0), seed: str = "mix-1", size=None, carry: tuple[str, ...] = ()) -> DataFrame:
     """How many words of each document the mix takes: doc_id, size, source_size, target, taken, whole.
 
     docs: doc_id, source and text (or, with size, any column that size reads). A source's target over its
@@ -58,11 +58,11 @@ def mix(docs: DataFrame, max_epochs: int = 3, weights: tuple[float, ...] = (1.0,
     makes 4096 partial sums, and only the bucket where the fraction ends is ordered row by row.
 
     Null text: size 0, taken 0. Null source: a source of its own, last in order. Null doc_id: ordered by
-    its size under an empty id. Repeated rows count each. Empty table: no rows. Other columns are ignored.
+    its size under an empty id. Repeated rows count each. Empty table: no rows. Columns named in carry follow; others are ignored.
     """
     size = n_words(F.col("text")) if size is None else size
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    slim = materialize(docs.select("doc_id", "source", size.alias("size"), key.alias("key"), F.substring(key, 1, BUCKET_HEX).alias("bucket")), "mix")
+    slim = materialize(docs.select("doc_id", "source", *carry, size.alias("size"), key.alias("key"), F.substring(key, 1, BUCKET_HEX).alias("bucket")), "mix")
     buckets = slim.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = water_fill(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), max_epochs, weights)
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, max_epochs: int = 3, weights: tuple[float, ...] = (1.0,
     buckets = materialize(buckets, "mixb")
     cut = (F.col("part") > 0) & (F.col("part") < F.col("bucket_size"))
     same = F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at"))
-    rows = slim.join(buckets, same).select("doc_id", "source", "bucket", "key", "size", "source_size", "target", "epochs", "part", "bucket_size")
+    rows = slim.join(buckets, same).select("doc_id", "source", *carry, "bucket", "key", "size", "source_size", "target", "epochs", "part", "bucket_size")
     inside = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id"), "size").rowsBetween(Window.unboundedPreceding, 0)
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - (F.sum("size").over(inside) - F.col("size"))))
     whole = rows.where(~cut).withColumn("extra", F.when(F.col("part") > 0, F.col("size")).otherwise(F.lit(0).cast("long")))
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, max_epochs: int = 3, weights: tuple[float, ...] = (1.0,
     return out.select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
-        (F.col("epochs") + F.when(full, 1).otherwise(0)).cast("long").alias("whole"),
+        (F.col("epochs") + F.when(full, 1).otherwise(0)).cast("long").alias("whole"), *carry,
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, lm_scoring, mixing, near_dedup, quality, secret_scan, token_counts, token_output
+from . import ann, exact_dedup, lm_scoring, mixing, near_dedup, packing, quality, secret_scan, token_counts, token_output
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLES = {
