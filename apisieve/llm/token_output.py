@@ -17,7 +17,7 @@ from .common import materialize, plan_bytes, read, scratch_path, tune
 #: Input bytes (as stored) of one output file.
 FILE_BYTES = 32 << 20
 #: Words whose ids a Python worker remembers; beyond, it starts over.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 900_000
 
 _LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: What the tokenizer file's own pattern cuts, for lower-case Latin-1 text.
