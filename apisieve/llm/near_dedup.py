@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import OrderedDict
 
@@ -17,6 +18,10 @@ from .components import connected_components
 
 #: Words of a shingle, least similarity, samples in a band and bands: similarity 0.8 shares a band with probability 0.9994.
 SHINGLE, SIMILARITY, ROWS, BANDS = 5, 0.8, 4, 14
+#: Buckets of more members that the first hubs leave open have their members' shared weights counted, in this many bins.
+LARGE_BUCKET, BINS = 16, 32
+#: What a text without such counts has in each bin: it bounds nothing.
+_UNBOUND = 1e300
 #: How much idf counts: a shingle's weight is tf * (1 + IDF * ln(N / df)). Stronger weights would split large
 #: groups of near copies: what these share is common just because of them, and their differences are rare.
 IDF = 0.03
@@ -166,8 +171,9 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     bucket of m representatives, pairs are compared hub by hub: first those with about 2 of the m members,
     then with 16, 128 and so on, in the order of a hash, until all are done. Members that are already in one
     class are not compared again, so a large group of near copies costs a few comparisons per member, yet no
-    pair of different classes in a bucket is left out. Pairs whose total weights alone rule the similarity
-    out are skipped.
+    pair of different classes in a bucket is left out. Pairs are skipped only if a bound rules the similarity
+    out: two texts share no more than what either shares with any other text of the buckets still open, bin by
+    bin of the shingles' hashes, so that what one lacks and the other has adds up.
 
     Texts without words (null, empty, blank) are all alike as texts go: equal ones are copies, others link
     to none. Repeated rows are copies. Empty tables give no rows. Columns named like the added ones are replaced.
@@ -231,17 +237,48 @@ def _link(rows: DataFrame, groups: DataFrame, held, similarity: float) -> DataFr
             yes = [(x, y) for x, y, s, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if weighted_jaccard(bag(x, s), bag(y, t)) >= similarity]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in yes], pa.int64()), pa.array([y for _, y in yes], pa.int64())], names=["a", "b"])
 
+    names_of_bins = [f"bin{i}" for i in range(BINS)]  # columns, which compile to plain arithmetic
+
+    def shared_weights(now: DataFrame) -> DataFrame:
+        """(node, bin0, bin1, ...) for the members of large open buckets: the weight of their shingles that another of these texts has, too, by bins of the shingles' hashes."""
+        some = now.where(F.col("m") > LARGE_BUCKET).select("node").distinct()
+        bags = materialize(texts.join(some, F.col("rid") == F.col("node"), "left_semi").select("rid", "text").mapInArrow(explode, "node long, item long, w double"), "bags")
+        common = bags.groupBy("item").agg(F.count("*").alias("n")).where("n > 1").select("item")
+        found = bags.join(common, "item").groupBy("node", F.pmod("item", F.lit(BINS)).cast("int").alias("bin")).agg(F.sum("w").alias("w"))
+        found = found.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("bin", "w"))).alias("by"))
+        bins = [F.coalesce(F.element_at("by", F.lit(i)), F.lit(0.0)).alias(b) for i, b in enumerate(names_of_bins)]
+        return materialize(some.join(found, "node", "left").select("node", *bins), "shared")
+
+    def explode(batches):
+        df = held.value[0]
+        for b in batches:
+            for row, data, at in text_slices(b.column(1)):
+                items, counts, starts = shingles(data, at)
+                nodes = np.repeat(b.column(0)[row : row + len(at) - 1].to_numpy(), np.diff(starts))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(items.view(np.int64)), pa.array(df.weights(items, counts))], names=["node", "item", "w"])
+
+    least = similarity - 1e-9
     most = members.agg(F.max("m")).first()[0] or 0
+    unbound = {b: F.lit(_UNBOUND) for b in names_of_bins}
+    members = members.withColumns(unbound)
+    add = lambda columns: functools.reduce(lambda x, y: x + y, columns)
     links, low, high = None, 0, 2
     while most and low < most:
-        now = members.join(component, "node", "left").select("bucket", "m", "node", "weight", "u", F.coalesce("component", "node").alias("class"))
+        now = members.join(component, "node", "left").select("bucket", "m", "node", "weight", *names_of_bins, "u", F.coalesce("component", "node").alias("class"))
         now = materialize(now, "now")
         open_ = now.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("bucket")
         now = materialize(now.join(open_, "bucket"), "open")
         if now.isEmpty():
             break
-        hubs = now.where((F.col("u") * F.col("m") >= low) & (F.col("u") * F.col("m") < high)).select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("node", "weight", "u", "class")])
-        near = (F.col("class") != F.col("hub_class")) & (F.col("u") > F.col("hub_u")) & (F.least("weight", "hub_weight") >= (similarity - 1e-9) * F.greatest("weight", "hub_weight"))
+        if low == 2:  # the first hubs have joined what they could
+            now = now.drop(*names_of_bins).join(shared_weights(now), "node", "left").fillna(_UNBOUND, names_of_bins)
+            # a text that shares less than this with all others together has no near copy left to find
+            now = materialize(now.where(add(map(F.col, names_of_bins)) >= least * F.col("weight")), "open")
+            members = now.drop("class")
+        hubs = now.where((F.col("u") * F.col("m") >= low) & (F.col("u") * F.col("m") < high)).select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("node", "weight", *names_of_bins, "u", "class")])
+        could = lambda overlap: overlap >= least * (F.col("weight") + F.col("hub_weight") - overlap)
+        counted = could(add(F.least(b, f"hub_{b}") for b in names_of_bins))
+        near = (F.col("class") != F.col("hub_class")) & (F.col("u") > F.col("hub_u")) & could(F.least("weight", "hub_weight")) & counted
         pairs = now.join(hubs, (now["bucket"] == hubs["bucket"]) & near).select(F.col("hub_node").alias("x"), F.col("node").alias("y")).distinct()
         pairs = materialize(pairs, "pairs")
         one = pairs.join(texts.select(F.col("rid").alias("x"), F.col("text").alias("text_x")), "x")

@@ -1 +1,230 @@
 """Queries over source code and texts, by inline fixtures; tests hold them against vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import schema
+from ..functions import similarity, textmine
+from ..operators import carry, catalogue, matching, purity, usages
+from ..sources import files
+from .queries import ORACLES, QUERIES, query, values
+
+LIBRARY = [
+    ("shop.__init__", '"""A shop."""\nfrom shop._core import Basket\n'),
+    (
+        "shop._core",
+        '''import json
+LIMIT = 10
+seen = {}
+
+class Basket:
+    """A basket.
+
+    Parameters
+    ----------
+    size : int, default=5
+        Size in the range [1, 100].
+    kind : {"paper", "cloth"}, optional
+        Only used if size is set to 7.
+    """
+
+    def __init__(self, size=5, kind="paper"):
+        self.size = size
+        self.kind: str = kind
+
+    def add(self, item, *more, twice=False):
+        self.size += 1
+        return item
+
+    @property
+    def full(self):
+        return self.size > LIMIT
+
+def price(items, rate=1.5):
+    """Price of items."""
+    return sum(items) * rate
+
+def log(text, sink):
+    print(text)
+    sink(text)
+
+def remember(key, value):
+    seen[key] = value
+
+def load(path):
+    with open(path) as f:
+        return json.loads(f.read())
+
+def even(n):
+    return True if n == 0 else odd(n - 1)
+
+def odd(n):
+    return False if n == 0 else even(n - 1)
+
+def total(items):
+    log("total", None)
+    return price(items)
+''',
+    ),
+    ("shop.broken", "def f(:\n"),
+]
+CLIENT = [
+    ("a.py", 'from shop import Basket\nfrom shop._core import price\nb = Basket(7, kind="cloth")\nb.add("x", twice=True)\nb.add("y")\nprice([1], 2.0)\nprice([2])\n'),
+    ("b.py", "import other\nother.run()\n"),
+    ("c.py", "import shop\nthis is no code\n"),
+]
+
+
+def library(spark):
+    return spark.createDataFrame(LIBRARY, "module string, content string")
+
+
+def client(spark):
+    return spark.createDataFrame(CLIENT, "path string, content string")
+
+
+@query()
+def source_py_parse(spark, d):
+    """Functions of the fixture library."""
+    return catalogue.build(library(spark), "shop", "numpydoc")["functions"].select("id", "qname", "is_public", "parent_kind", "code")
+
+
+@query()
+def source_parameters(spark, d):
+    return catalogue.build(library(spark), "shop", "numpydoc")["parameters"].select("id", "assigned_by", "default_value", "docstring", "types", "is_public")
+
+
+@query("SELECT 'class' AS kind, 1::BIGINT AS total, 1::BIGINT AS public UNION ALL SELECT 'function', 10, 2 UNION ALL SELECT 'parameter', 20, 7")
+def catalogue_summary(spark, d):
+    return catalogue.summary(catalogue.build(library(spark), "shop", "numpydoc"))
+
+
+@query(
+    """SELECT * FROM (VALUES ('class', 'shop/shop._core/Basket', NULL, 3), ('function', 'shop/shop._core/Basket/__init__', NULL, 1), ('function', 'shop/shop._core/Basket/add', NULL, 2), ('function', 'shop/shop._core/price', NULL, 2),
+('parameter', 'shop/shop._core/Basket/__init__/size', NULL, 1), ('parameter', 'shop/shop._core/Basket/__init__/kind', NULL, 1), ('parameter', 'shop/shop._core/Basket/add/item', NULL, 2), ('parameter', 'shop/shop._core/Basket/add/twice', NULL, 1),
+('parameter', 'shop/shop._core/price/items', NULL, 2), ('parameter', 'shop/shop._core/price/rate', NULL, 1), ('value', 'shop/shop._core/Basket/__init__/size', '7', 1), ('value', 'shop/shop._core/Basket/__init__/kind', '''cloth''', 1),
+('value', 'shop/shop._core/Basket/add/item', '''x''', 1), ('value', 'shop/shop._core/Basket/add/item', '''y''', 1), ('value', 'shop/shop._core/Basket/add/twice', 'True', 1), ('value', 'shop/shop._core/price/items', '[1]', 1),
+('value', 'shop/shop._core/price/items', '[2]', 1), ('value', 'shop/shop._core/price/rate', '2.0', 1)) t(kind, id, value, n)"""
+)
+def usages_from_source(spark, d):
+    cat = catalogue.build(library(spark), "shop", "numpydoc")
+    calls, bound = catalogue.usages_of(client(spark), cat, "shop")
+    return usages.count_usages(calls, bound).select("kind", "id", "value", F.col("n").cast("int").alias("n"))
+
+
+@query("SELECT 'c.py' AS path, 'SyntaxError' AS error")
+def source_errors(spark, d):
+    """Files that can't be parsed don't stop the scan."""
+    return files.parse_calls(client(spark), "shop").where("error IS NOT NULL").select("path", "error")
+
+
+@query()
+def purity_from_source(spark, d):
+    return purity.analyse(files.parse_facts(library(spark)))
+
+
+@query()
+def purity_package_report(spark, d):
+    return purity.package_report(purity.analyse(files.parse_facts(library(spark))), library(spark).select("module"))
+
+
+@query()
+def dependency_extract(spark, d):
+    rows = values(spark, "('tol', 'Only used if solver is set to ''sgd''.'), ('seed', 'Ignored when shuffle is False.'), ('x', 'A number.')", "name, description")
+    return rows.select("name", F.explode(textmine.dependencies("name", "description")).alias("d")).select("name", "d.*")
+
+
+@query()
+def boundary_extract(spark, d):
+    rows = values(spark, "('float', 'Should be between 0 and 1.'), ('int', 'Must be non-negative.'), ('int > 1 or float', '')", "type, description")
+    return rows.select("type", F.explode(textmine.boundaries("type", "description")).alias("b")).select("type", "b.*")
+
+
+@query()
+def literal_extract(spark, d):
+    rows = values(spark, "('str or bool', 'Valid values are ''auto'' and False.'), ('str', 'A name.')", "type, description")
+    return rows.select("type", textmine.valid_literals("description", "type").alias("literals"))
+
+
+@query()
+def called_after_extract(spark, d):
+    rows = values(spark, "('fit', 'Before fit is called, ''prepare'' must be called.')", "name, description")
+    return rows.select("name", textmine.called_after("name", "description").alias("c")).select("name", "c.*")
+
+
+_IDS = "('p/a.b.c/F/g', 'p/a.b.c/F/h'), ('p/a.b/F', 'p/a.c/F'), ('p/a/f', 'p/a/f'), ('p/x.a/f', 'p/a/f')"
+
+
+@query(f"SELECT a, b, s::DOUBLE AS similarity FROM (VALUES {_IDS[:-1].replace('), (', ', %s), (') % ('1.0', '0.666667', '1.0')}, 0.333333)) t(a, b, s)")
+def id_similarity(spark, d):
+    return values(spark, _IDS, "a, b").select("a", "b", F.round(similarity.id_similarity("a", "b"), 6).alias("similarity"))
+
+
+_LISTS = "('a b c', 'a c'), ('', 'a b'), ('x y', 'x y'), ('a b', 'b a')"
+
+
+@query(f"SELECT a, b, s::DOUBLE AS similarity FROM (VALUES {_LISTS[:-1].replace('), (', ', %s), (') % ('0.666667', '0.0', '1.0')}, 0.0)) t(a, b, s)")
+def list_similarity(spark, d):
+    """Edit distance of token lists, by the built-in form."""
+    tokens = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
+    return values(spark, _LISTS, "a, b").select("a", "b", F.round(similarity.short_list_similarity(tokens("a"), tokens("b")), 6).alias("similarity"))
+
+
+def elements(spark, edit: bool = False):
+    """A small library's elements as matching.map_api takes them; edit gives its next version."""
+    f = ["def f(x):", "    return x"] if not edit else ["def f(x, y):", "    return x"]
+    rows = [
+        ("class", "lib/m/Basket", "Basket", "lib/m", "module", 0, "A basket.", ["add", "drop"], ["size"], ["class Basket:", "    pass"], None, None, None, ["Base"]),
+        ("class", "lib/m/Base", "Base", "lib/m", "module", 1, "", [], [], ["class Base:", "    pass"], None, None, None, []),
+        ("function", "lib/m/price" if not edit else "lib/m/prices", "price" if not edit else "prices", "lib/m", "module", 2, "The price.", ["x"], [], f, None, None, None, []),
+        ("parameter", "lib/m/price/x" if not edit else "lib/m/prices/x", "x", "lib/m/price" if not edit else "lib/m/prices", "function", 3, "A number.", [], [], [], ["int"], "POSITION_OR_NAME", "1", []),
+    ]
+    return spark.createDataFrame(rows, "kind string, id string, name string, parent_id string, parent_kind string, ord int, description string, members array<string>, attributes array<string>, code_lines array<string>, types array<string>, assigned_by string, default_value string, superclasses array<string>")
+
+
+@query()
+def map_api_stages(spark, d):
+    return matching.map_api(elements(spark), elements(spark, True)).select("kind", "stage", "similarity", F.array_join("v1_ids", ",").alias("v1"), F.array_join("v2_ids", ",").alias("v2"))
+
+
+@query()
+def mapping_report(spark, d):
+    return matching.report(matching.map_api(elements(spark), elements(spark, True)))
+
+
+def annotated(spark):
+    """One annotation of several kinds on the first version."""
+    rows = [
+        {"kind": "value", "target": "lib/m/price/x", "variant": "optional", "default_value_type": "number", "default_value": "1"},
+        {"kind": "boundary", "target": "lib/m/price/x", "interval": {"isDiscrete": False, "lowerIntervalLimit": 0.5, "lowerLimitType": 0, "upperIntervalLimit": 9.0, "upperLimitType": 1}},
+        {"kind": "rename", "target": "lib/m/price", "newName": "cost"},
+        {"kind": "remove", "target": "lib/m/Base"},
+        {"kind": "move", "target": "lib/m/price", "destination": "n"},
+        {"kind": "todo", "target": "lib/m/Basket", "newTodo": "look"},
+    ]
+    names = [x.strip().split(" ", 1)[0] for x in _top_level(schema.ANNOTATIONS)]
+    full = [tuple(r.get(n) if n not in ("authors", "reviewers") else ["me"] if n == "authors" else [] for n in names) for r in [{"comment": "", "reviewResult": ""} | r for r in rows]]
+    return spark.createDataFrame(full, schema.ANNOTATIONS)
+
+
+def _top_level(ddl: str) -> list[str]:
+    parts, depth, part = [], 0, ""
+    for ch in ddl + ",":
+        depth += {"<": 1, ">": -1}.get(ch, 0)
+        if ch == "," and depth == 0:
+            parts.append(part)
+            part = ""
+        else:
+            part += ch
+    return parts
+
+
+@query()
+def carry_annotations(spark, d):
+    v1, v2 = elements(spark), elements(spark, True)
+    mapped = matching.map_api(v1, v2).withColumn("ord", -F.col("similarity"))
+    return carry.carry(annotated(spark), mapped, v1, v2).select("kind", "target", "reviewResult", "store", "newTodo", "comment", "interval")
+
+
+__all__ = ["ORACLES", "QUERIES"]
