@@ -20,6 +20,5 @@ QUERIES = {
 ORACLES = {
     "op4_mixing": mixing.ORACLE_SQL,
     "op7_token_counts": token_counts.ORACLE_SQL,
-    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }
