@@ -65,9 +65,11 @@ def usages_of(client: DataFrame, catalogue: dict[str, DataFrame], package: str)
     made = c.select(F.col("qname"), F.col("id").alias("cid")).join(f.where("name = '__init__'").select(F.col("parent_id").alias("cid"), F.col("id").alias("function_id")), "cid").select("qname", "function_id", F.col("cid").alias("class_id"))
     known = direct.unionByName(made)
     short = catalogue["functions"].select("qname", "reexported_by").unionByName(c.select("qname", "reexported_by")).select("qname", F.explode("reexported_by").alias("by"))
-    alias = F.concat_ws(".", F.regexp_replace(F.substring_index("by", "/", -1), r"\.__init__$", ""), names.last_name("qname"))
-    again = known.join(short, "qname").withColumn("qname", alias).drop("by")
-    target = known.unionByName(again).dropDuplicates(["qname", "function_id"])
+    origin = F.regexp_replace(F.substring_index("by", "/", -1), r"\.__init__$", "")
+    again = known.join(short, "qname").withColumn("qname", F.concat_ws(".", origin, names.last_name("qname"))).drop("by")
+    held = c.select(F.col("id").alias("class_id"), F.col("name").alias("holder"), F.explode("reexported_by").alias("by"))
+    methods = direct.join(held, "class_id").withColumn("qname", F.concat_ws(".", origin, "holder", names.last_name("qname"))).select("qname", "function_id", "class_id")
+    target = known.unionByName(again).unionByName(methods).dropDuplicates(["qname", "function_id"])
     calls = called.join(target, "qname")
     implicit = catalogue["parameters"].groupBy("function_id").agg(F.count_if(F.col("assigned_by") == "IMPLICIT").cast("int").alias("n"))
     unbound = (F.col("class_id").isNotNull()) & ~F.col("instance") & ~F.endswith("function_id", F.lit("/__init__"))

@@ -95,7 +95,7 @@ def source_parameters(spark, d):
     return catalogue.build(library(spark), "shop", "numpydoc")["parameters"].select("id", "assigned_by", "default_value", "docstring", "types", "is_public")
 
 
-@query("SELECT 'class' AS kind, 1::BIGINT AS total, 1::BIGINT AS public UNION ALL SELECT 'function', 10, 2 UNION ALL SELECT 'parameter', 20, 7")
+@query("SELECT 'class' AS kind, 1::BIGINT AS total, 1::BIGINT AS public UNION ALL SELECT 'function', 10, 3 UNION ALL SELECT 'parameter', 18, 8")
 def catalogue_summary(spark, d):
     return catalogue.summary(catalogue.build(library(spark), "shop", "numpydoc"))
 
