@@ -8,24 +8,45 @@ from pyspark.sql import functions as F
 from ..checkpoints import cut
 
 
-def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """All (src, dst) pairs joined by a path of one edge or more.
+#: Rounds after which the tables of single rounds are written together, so that plans stay short.
+_TOGETHER = 8
 
-    Paths double in length each round: reach of reach. Each round is written to the checkpoint folder, so
-    plans don't grow and lost executors cost one round. For graphs whose closure is wanted whole; a call
-    graph's closure is small beside the corpus it comes from.
+
+def _grow(start: DataFrame, step) -> DataFrame:
+    """start and all that step adds to it, round by round: step(fresh) gives rows that follow from the last round's.
+
+    Only rows that are new go on, so each row takes part in one round. Rounds are written to the shared folder:
+    plans don't grow, and lost executors cost one round. There are as many rounds as the longest of the
+    shortest derivations.
+    """
+    every = fresh = cut(start.distinct())
+    done = 0
+    while True:
+        fresh = cut(step(fresh).distinct().join(every, start.columns, "left_anti"))
+        if fresh.isEmpty():
+            return every
+        every, done = every.unionByName(fresh), done + 1
+        if done % _TOGETHER == 0:
+            every = cut(every)
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """All (src, dst) pairs joined by a path of one edge or more. As many rows as there are such pairs, so for graphs whose closure is wanted whole; spread() needs none."""
+    edges = cut(edges.select("src", "dst").distinct())
+    onward = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+    return _grow(edges, lambda fresh: fresh.join(onward, "dst").select("src", F.col("next").alias("dst")))
+
+
+def spread(edges: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows of facts (fn, other columns) and the same for all functions that reach fn over edges (src, dst), distinct.
+
+    Facts go up the edges without the closure, which may have a row for each pair of functions; here there is
+    one for each function and fact at most. Null facts would never be found again, so there must be none.
     """
-    reach = cut(edges.select("src", "dst").distinct())
-    size = reach.count()
-    for _ in range(max_rounds):
-        a, b = reach.alias("a"), reach.alias("b")
-        further = a.join(b, F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        reach = cut(reach.union(further).distinct())
-        now = reach.count()
-        if now == size:
-            return reach
-        size = now
-    raise RuntimeError("the closure did not settle")
+    edges = cut(edges.select("src", "dst").distinct())
+    callers = edges.select(F.col("dst").alias("fn"), F.col("src").alias("caller"))
+    others = [c for c in facts.columns if c != "fn"]
+    return _grow(facts.select("fn", *others), lambda fresh: fresh.join(callers, "fn").select(F.col("caller").alias("fn"), *others))
 
 
 def cycles(reach: DataFrame) -> DataFrame:
@@ -35,15 +56,12 @@ def cycles(reach: DataFrame) -> DataFrame:
     return mutual.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component"))
 
 
-def propagate(functions: DataFrame, reach: DataFrame, reasons: DataFrame) -> DataFrame:
+def propagate(functions: DataFrame, edges: DataFrame, reasons: DataFrame) -> DataFrame:
     """(fn, is_pure, reasons): own reasons and those of all that a function reaches.
 
-    functions: fn; reasons: fn, reason (null reason: impure, nothing known). The reaching pairs meet reasons by
-    the callee, and each function's set is summed before the shuffle.
+    functions: fn; edges: src, dst; reasons: fn, reason. Functions on a cycle reach one another and so share their reasons.
     """
-    own = reasons.select("fn", "reason")
-    inherited = reach.join(reasons.withColumnRenamed("fn", "dst"), "dst").select(F.col("src").alias("fn"), "reason")
-    sets = own.unionByName(inherited).groupBy("fn").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    sets = spread(edges, reasons.select("fn", "reason")).groupBy("fn").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
     return functions.select("fn").join(sets, "fn", "left").select("fn", F.col("reasons").isNull().alias("is_pure"), F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..sources import tables
 from . import graph
 
@@ -62,16 +63,18 @@ def resolve(facts: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame
     return functions, edges.select(F.col("fn").alias("src"), "dst").distinct(), reasons
 
 
+#: Stands for a reason that can't be named.
+_MUTE = ""
+
+
 def analyse(facts: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """module, fn, line, is_pure, reasons of every function, by the closure of the call graph; functions on a cycle share their reasons, as each reaches the others."""
+    """module, fn, line, is_pure, reasons of every function: own reasons and those of all that it calls, which go up the call graph."""
+    facts = cut(facts)  # sources are parsed once for all the joins over their facts
     functions, edges, reasons = resolve(facts, known)
-    reach = graph.closure(edges)
-    silent = reasons.where("reason IS NULL").select("fn")
-    out = graph.propagate(functions, reach, reasons.where("reason IS NOT NULL"))
     # impure without a reason that can be named: calls of exceptions and their like
-    mute = silent.unionByName(reach.join(silent.withColumnRenamed("fn", "dst"), "dst").select(F.col("src").alias("fn"))).distinct().withColumn("mute", F.lit(True))
+    out = graph.propagate(functions, edges, reasons.withColumn("reason", F.coalesce("reason", F.lit(_MUTE))))
     lines = facts.where("fact = 'function'").select("fn", "module", "line")
-    return out.join(mute, "fn", "left").withColumn("is_pure", F.col("is_pure") & F.col("mute").isNull()).drop("mute").join(lines, "fn").select("module", "fn", "line", "is_pure", "reasons")
+    return out.join(lines, "fn").select("module", "fn", "line", "is_pure", F.filter("reasons", lambda r: r != _MUTE).alias("reasons"))
 
 
 def package_report(purity: DataFrame, modules: DataFrame) -> DataFrame:

@@ -15,15 +15,22 @@ def bind_arguments(calls: DataFrame, parameters: DataFrame) -> DataFrame:
     calls: call_id, function_id, n_implicit, positional array<string>, keywords array<struct<name, value>>.
     parameters: function_id, name, ordinal, assigned_by (position-only and ordinary ones are bound by
     position, after the implicit ones). Positional arguments beyond them are dropped; a parameter that is
-    passed both ways takes the positional value; keywords of other names count as they are.
+    passed both ways takes the positional value; keywords of other names count as they are. Each call is bound
+    within its row, against its function's positions, so no call is shuffled but to meet them.
     """
-    slots = parameters.where(F.col("assigned_by").isin("IMPLICIT", "POSITION_ONLY", "POSITION_OR_NAME")).select("function_id", "name", "ordinal")
-    given = calls.select("call_id", "function_id", "n_implicit", F.posexplode("positional").alias("at", "value"))
-    by_position = given.join(slots, (given["function_id"] == slots["function_id"]) & (F.col("at") + F.col("n_implicit") == F.col("ordinal"))).select("call_id", given["function_id"], "name", "value", F.lit(0).alias("how"))
-    words = calls.select("call_id", "function_id", F.explode("keywords").alias("k"))
-    by_name = words.select("call_id", "function_id", F.col("k.name").alias("name"), F.col("k.value").alias("value"), F.lit(1).alias("how"))
-    bound = by_position.unionByName(by_name).groupBy("call_id", "function_id", "name").agg(F.min_by("value", "how").alias("value"))
-    return bound.withColumn("parameter_id", F.concat_ws("/", "function_id", "name"))
+    slots = parameters.where(F.col("assigned_by").isin("IMPLICIT", "POSITION_ONLY", "POSITION_OR_NAME"))
+    slots = slots.groupBy(F.col("function_id").alias("of")).agg(F.map_from_entries(F.collect_set(F.struct(F.col("ordinal").cast("int"), "name"))).alias("slots"))
+    rows = calls.select("call_id", "function_id", "n_implicit", "positional", "keywords").join(slots, F.col("function_id") == F.col("of"), "left")
+    place = lambda v, i: F.struct(F.element_at("slots", (i + F.col("n_implicit")).cast("int")).alias("name"), v.alias("value"))
+    by_position = F.filter(F.transform(F.coalesce("positional", F.array().cast("array<string>")), place), lambda x: x["name"].isNotNull())
+    rows = rows.withColumn("by_position", F.coalesce(by_position, F.array().cast("array<struct<name:string,value:string>>")))
+    words = F.coalesce("keywords", F.array().cast("array<struct<name:string,value:string>>"))
+    names = F.concat(F.transform("by_position", lambda x: x["name"]), F.transform(words, lambda k: k["name"]))
+    # of several values under one name the first counts, and positions come before keywords
+    first = lambda k, i: F.array_position(names, k["name"]) == F.size("by_position") + i + 1
+    plain = F.transform(F.filter(words, first), lambda k: F.struct(k["name"].alias("name"), k["value"].alias("value")))
+    bound = rows.select("call_id", "function_id", F.explode(F.concat("by_position", plain)).alias("b"))
+    return bound.select("call_id", "function_id", F.concat_ws("/", "function_id", "b.name").alias("parameter_id"), "b.name", "b.value")
 
 
 def count_usages(calls: DataFrame, bound: DataFrame, order: str = "call_id") -> DataFrame:

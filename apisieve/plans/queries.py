@@ -438,7 +438,7 @@ SELECT f.fn, count(reason) = 0 AS is_pure, coalesce(string_agg(reason, ',' ORDER
 )
 def purity_propagation(spark, d):
     functions = p.read(spark, d, "events").select(F.col("user_id").alias("fn")).distinct()
-    return graph.propagate(functions, graph.closure(_edges(spark, d)), _reasons(spark, d)).withColumn("reasons", F.array_join("reasons", ","))
+    return graph.propagate(functions, _edges(spark, d), _reasons(spark, d)).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query(
@@ -446,8 +446,7 @@ def purity_propagation(spark, d):
 SELECT fn, kind, count(DISTINCT reason) AS n FROM every GROUP BY 1, 2"""
 )
 def purity_reason_counts(spark, d):
-    reach, r = graph.closure(_edges(spark, d)), _reasons(spark, d)
-    every = r.unionByName(reach.join(r.withColumnRenamed("fn", "dst"), "dst").select(F.col("src").alias("fn"), "reason", "kind"))
+    every = graph.spread(_edges(spark, d), _reasons(spark, d))
     return graph.reason_counts(every)
 
 
