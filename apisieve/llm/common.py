@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to Python; whole texts can be long, so both are bounded.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
@@ -67,9 +68,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size, from file sizes and without a job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: From here on the optimizer's estimate stands for a size that it doesn't know.
+_UNKNOWN = 1 << 60
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """The optimizer's estimate of docs' size, from file sizes and without a job; where it knows none, the texts' bytes, counted."""
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < _UNKNOWN:
+        return known
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
 # ---------------------------------------------------------------- numpy text kernels

@@ -191,7 +191,7 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 items, counts, starts = shingles(data, at)
                 w = df.weights(items, counts)
                 n = len(at) - 1
-                sums = np.bincount(np.repeat(np.arange(n), np.diff(starts)), w, n)
+                sums = np.bincount(np.repeat(np.arange(n), np.diff(starts)), w, n).astype(np.float64)  # whole numbers if there are no items
                 bands = sampler.bands(items, w, starts).view(np.int64).ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands))
                 yield pa.RecordBatch.from_arrays([b.column(0)[row : row + n], b.column(1)[row : row + n], b.column(2)[row : row + n], b.column(3)[row : row + n], pa.array(sums), lists], names=names)

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, plan_bytes, read, scratch_path, tune
+from .common import materialize, read, scratch_path, text_bytes, tune
 
 #: Input bytes (as stored) of one output file.
 FILE_BYTES = 32 << 20
@@ -87,7 +87,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
         held = spark.sparkContext.broadcast(f.read())
     text = F.coalesce("text", F.lit(""))
     order = [F.col("doc_id").asc_nulls_last(), F.col("h").asc()]
-    n = max(2, -(-plan_bytes(docs) // FILE_BYTES))
+    n = max(2, -(-text_bytes(docs) // FILE_BYTES))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h")).repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def encode(batches):
