@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import literals, names, similarity, stats, types
 from ..operators import graph, matching, suggest, usages
 from ..sources import tables
+from ..streaming import usage_stream
 from . import projections as p
 
 QUERIES: dict = {}
@@ -471,3 +472,20 @@ _MODES = "('a.txt', 'r'), ('b.txt', 'w'), ('c.txt', 'r+b'), ('d.txt', 'ab'), ('e
 def open_mode_effects(spark, d):
     rows = values(spark, _MODES, "file, mode")
     return rows.join(F.broadcast(tables.frame(spark, "open_modes")), "mode", "left").select("file", "mode", F.coalesce("effect", F.lit("UNKNOWN")).alias("effect"))
+
+
+# ---------------------------------------------------------------- what the streaming operators give on a whole table
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windowed_counts(spark, d):
+    return usage_stream.windowed_counts(p.read(spark, d, "events").select("ts", "event_type"), key="event_type")
+
+
+@query(
+    """WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true)::INT AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, session"""
+)
+def stream_sessions(spark, d):
+    return usage_stream.sessions(p.read(spark, d, "events").select("ts", "user_id"))
