@@ -99,7 +99,7 @@ def extract_boundaries(type_text: str, description: str) -> list[tuple[str, floa
         parts = re.split(r"\bif\s+(int|float)\b", description or "", flags=re.I)
         for base, part in zip([None, *[p.lower() for p in parts[1::2]]], parts[0::2], strict=True):
             stated = [b for _, b in _bounds_of(part)]
-            if base is None and re.search(r"\bmust\b|\bshould\b|\brange\b|\binterval\b|\bbetween\b|\bwith\b", part, re.I) is None:
+            if base is None and re.search(r"\bmust\b|\bshould\b|\brange\b|\binterval\b|\bbetween\b|\bwith\b|\bvalues\s+(?:is|are)\b", part, re.I) is None:
                 continue
             target = base if base in bases else bases[-1]
             if stated and target not in out:
@@ -216,10 +216,14 @@ _RELATION = re.compile(rf"{_PARAM}\s+\$(GEQ|LEQ|GT|LT)\$\s+([\w.\-]+)")
 _STOP = {"this", "it", "that", "there", "value", "a", "an", "the", "parameter"}
 
 
+_SIGNS = {"GEQ": ">=", "LEQ": "<=", "GT": ">", "LT": "<"}
+_SUBJECT = re.compile(r"([A-Za-z_][\w.]*)\s+(?:must\s+be|should\s+be|has\s+to\s+be|will\s+be|is\s+(?:automatically\s+)?set\s+to|(?:is|are)\s+ignored)\b", re.I)
+
+
 def _condition(clause: str) -> list[dict]:
     """Conditions of one clause: {variant, dependee, value}."""
     if m := _RELATION.search(clause):
-        return [{"variant": "in_relation", "dependee": m[1], "value": f"{m[2]} {m[3]}"}]
+        return [{"variant": "in_relation", "dependee": m[1], "value": f"{_SIGNS[m[2]]} {m[3]}"}]
     m = _CLAUSE.search(clause)
     if not m or m[1].lower() in _STOP:
         return []
@@ -227,10 +231,10 @@ def _condition(clause: str) -> list[dict]:
     values = [value, *[v for v in re.split(r"\s*,\s*(?:or\s+|and\s+)?|\s+(?:or|and)\s+", more) if v.strip()]]
     out = []
     for v in (v.strip().rstrip(".") for v in values):
-        if v == "None":
-            variant = "is_not_none" if no else "is_none"
-        elif v.lower() in _TYPES:
-            variant = "has_not_type" if no else "has_type"
+        if v.lower() in _TYPES:
+            variant, v = ("has_not_type", f"not {v}") if no else ("has_type", v)
+        elif v == "None":
+            variant, v = ("has_value", "not None") if no else ("is_none", None)
         else:
             variant = "has_not_value" if no or verb == "does not equal" else "has_value"
         out.append({"variant": variant, "dependee": name, "value": v})
@@ -254,26 +258,45 @@ def _action(sentence: str) -> tuple[str, str] | None:
     return None
 
 
+def _depender(sentence: str, variant: str, text: str) -> tuple[str, str]:
+    """The parameter that the action is about, this_parameter unless another is named, and the action's text."""
+    if m := re.fullmatch(r"([A-Za-z_][\w.]*) equals (.+)", text):
+        return m[1], m[2]
+    m = _SUBJECT.search(_IF_CLAUSE.sub("", sentence, count=1)) if variant in ("is_ignored", "will_be_set_to") else None
+    return ("this_parameter" if not m or m[1].lower() in _STOP else m[1]), text
+
+
 def extract_dependencies(parameter: str, description: str) -> list[dict]:
-    """{param, variant, dependee, value, condition, action_variant, action} for each dependency of a parameter that its description states, sentence by sentence."""
+    """A dict for each dependency of a parameter that its description states, sentence by sentence; keys as in DEPENDENCIES.
+
+    Conditions joined by "or" are dependencies of their own; of those joined by "and" the last one is the
+    dependency's and the others are in combined_with.
+    """
     out = []
     for sentence in re.split(r"(?<=[a-z\d)])\.\s+(?=[A-Z])|\.$", clean_docstring(description)):
         action = _action(sentence or "")
         clause = re.search(r"\b(?:if|when|unless|for)\b\s+(.*)$", sentence or "", re.I)
         if not action or not clause:
             continue
-        parts = [p for p in re.split(r"\s+(?:or|and)\s+(?=(?:the\s+)?[A-Za-z_][\w.]*\s+(?:is|equals|are|does)\b)", clause[1]) if p]
-        for part in parts:
-            for c in _condition(part):
-                if c["dependee"] != parameter:
-                    out.append({"param": parameter, **c, "condition": sentence.strip(), "action_variant": action[0], "action": action[1]})
+        depender, text = _depender(sentence, *action)
+        also = re.search(r"\b(?:is|are)\s+also\b", clause[1]) is not None
+        parts = re.split(r"\s+(or|and)\s+(?=(?:the\s+)?[A-Za-z_][\w.]*\s+(?:is|equals|are|does|\$))", clause[1])
+        held: list[dict] = []
+        for joint, part in zip(["", *parts[1::2]], parts[0::2], strict=True):
+            for i, c in enumerate(_condition(re.sub(r"\b(is|are)\s+also\b", r"\1", part or ""))):
+                before = [held.pop()] if joint == "and" and i == 0 and held else []
+                held.append(c | {"combined_with": [x for y in before for x in (*y["combined_with"], {k: y[k] for k in ("variant", "dependee", "value")})]})
+        out += [{"param": parameter, **c, "also": also, "condition": sentence.strip(), "action_variant": action[0], "action": text, "depender": depender} for c in held]
     return out
 
 
 # ------------------------------------------------------------- over columns
 
 BOUNDS = "array<struct<base_type:string,min:double,min_inclusive:boolean,max:double,max_inclusive:boolean>>"
-DEPENDENCIES = "array<struct<param:string,variant:string,dependee:string,value:string,condition:string,action_variant:string,action:string>>"
+DEPENDENCIES = (
+    "array<struct<param:string,variant:string,dependee:string,value:string,combined_with:array<struct<variant:string,dependee:string,value:string>>,also:boolean,"
+    "condition:string,action_variant:string,action:string,depender:string>>"
+)
 
 
 def boundaries(type_text, description) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import fnmatch
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,11 +13,54 @@ from .. import schema
 from ..functions import names
 from . import python_source
 
+HIDDEN_FILES_A_TASK = 500
+_TEST = re.compile("/tests?/")
+
+
+def _listed(spark: SparkSession, root: str, pattern: str) -> list[str]:
+    """Paths below root whose file name matches: the file system's own listing, as Spark's readers make it on the driver, too."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(root)
+    found = where.getFileSystem(conf).listFiles(where, True)
+    out = []
+    while found.hasNext():
+        path = found.next().getPath()
+        if fnmatch.fnmatchcase(path.getName(), pattern):
+            out.append(path.toString())
+    return out
+
+
+def _read_hidden(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, content) of files that Spark's readers take for hidden ones. Executors open them through Arrow's file systems."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            texts = []
+            for path in b.column(0).to_pylist():
+                system, inner = fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path[5:])
+                with system.open_input_stream(inner) as f:
+                    texts.append(f.read().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["path", "content"])
+
+    rows = spark.createDataFrame([(x,) for x in paths], "path string")
+    return rows.repartition(max(1, len(paths) // HIDDEN_FILES_A_TASK)).mapInArrow(run, "path string, content string")
+
 
 def scan(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame:
-    """(path, content) of all files below root that match; test folders are left out by the path before anything is read further."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True).text(root)
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")).where(~names.is_test_path("path"))
+    """(path, content) of all files below root that match; test folders are left out by the path before anything is read further.
+
+    Spark's readers skip names that begin with an underscore, which most packages have (__init__.py,
+    _core.py, _internal/): those are listed by the file system and read by tasks of HIDDEN_FILES_A_TASK files.
+    """
+    base = root.rstrip("/")
+    hidden = [x for x in _listed(spark, root, pattern) if "/_" in x.split(base, 1)[-1]]
+    shown = spark.read.schema("value string").text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    if hidden:
+        shown = shown.unionByName(_read_hidden(spark, [x for x in hidden if not _TEST.search(x)]))
+    return shown.where(~names.is_test_path("path"))
 
 
 def exclude(rows: DataFrame, listed: DataFrame, column: str = "path") -> DataFrame:

@@ -55,7 +55,14 @@ def read_usages(spark: SparkSession, path: str) -> DataFrame:
 
 def write_usages(counts: DataFrame, path: str) -> None:
     """One JSON document, entries by falling count and first_seen."""
-    entries = lambda k, v: F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "first_seen", F.col(k).alias("k"), F.col(v).alias("v")))), lambda x: F.struct(x["k"], x["v"]))
+    def earlier(a, b):
+        """By the first field that differs; the entry itself may be a map, which has no order."""
+        out = F.lit(0)
+        for f in ("k", "first_seen", "m"):
+            out = F.when(a[f] < b[f], -1).when(a[f] > b[f], 1).otherwise(out)
+        return out
+
+    entries = lambda k, v: F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "first_seen", F.col(k).alias("k"), F.col(v).alias("v"))), earlier), lambda x: F.struct(x["k"], x["v"]))
     one = lambda kind: counts.where(F.col("kind") == kind).agg(F.map_from_entries(entries("id", "n")).alias(f"{kind}_counts"))
     inner = counts.where("kind = 'value'").groupBy("id").agg(F.map_from_entries(entries("value", "n")).alias("m"), F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"))
     values = inner.agg(F.map_from_entries(entries("id", "m")).alias("value_counts"))
