@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import literals, names, similarity, stats, types
-from ..operators import graph, matching, suggest, usages
+from ..operators import dependencies, graph, matching, suggest, usages
 from ..sources import tables
 from ..streaming import usage_stream
 from . import projections as p
@@ -489,3 +489,22 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*
 )
 def stream_sessions(spark, d):
     return usage_stream.sessions(p.read(spark, d, "events").select("ts", "user_id"))
+
+
+_TOLD = """('f', 'f/a', 'a', 'Ignored when `b` is False. If c is None, then some rows are drawn'), ('f', 'f/b', 'b', 'A flag. When other is set, nothing happens.'), ('f', 'f/c', 'c', 'If b == "x", a ValueError is raised.'), ('f', 'f/e', 'e', ''), ('g', 'g/b', 'b', 'Used if c is given'), ('g', 'g/c', 'c', 'When the b is greater than 3, must be None')"""
+_ANY = lambda c, phrases: f"regexp_matches(lower({c}), '{'|'.join(phrases)}')"
+
+
+@query(
+    f"""WITH p AS (SELECT * FROM (VALUES {_TOLD}) t(function_id, parameter_id, name, description)),
+c AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(description, '[`''"]', '', 'g'), '\\s*!=\\s*', ' does not equal ', 'g'), '\\s*={{1,2}}\\s*', ' equals ', 'g'), '\\s+', ' ', 'g')) AS text FROM p),
+s AS (SELECT function_id, parameter_id, unnest(string_split_regex(text, '\\. +')) AS sentence, generate_subscripts(string_split_regex(text, '\\. +'), 1) - 1 AS nth FROM c),
+m AS (SELECT *, regexp_extract(sentence, '{dependencies.CLAUSE}', 1) AS clause, regexp_extract(sentence, '{dependencies.CLAUSE}', 2) AS subject FROM s),
+x AS (SELECT m.function_id, m.parameter_id, p.parameter_id AS dependee_id, nth, regexp_replace(trim(clause), '^[ ,]+|[ ,.]+$', '', 'g') AS condition, regexp_replace(trim(replace(sentence, clause, '')), '^[ ,]+|[ ,.]+$', '', 'g') AS action
+  FROM m JOIN p ON m.function_id = p.function_id AND m.subject = p.name WHERE m.subject <> '')
+SELECT *, CASE WHEN {_ANY("condition", dependencies.IS_NONE)} THEN 'is_none' WHEN {_ANY("condition", dependencies.HAS_VALUE)} THEN 'has_value' ELSE 'other' END AS condition_kind,
+  CASE WHEN {_ANY("action", dependencies.IGNORED)} THEN 'is_ignored' WHEN {_ANY("action", dependencies.ILLEGAL)} THEN 'is_illegal' ELSE 'other' END AS action_kind FROM x WHERE action <> ''"""
+)
+def sibling_dependencies(spark, d):
+    rows = [("f", "f/a", "a", "Ignored when `b` is False. If c is None, then some rows are drawn"), ("f", "f/b", "b", "A flag. When other is set, nothing happens."), ("f", "f/c", "c", 'If b == "x", a ValueError is raised.'), ("f", "f/e", "e", ""), ("g", "g/b", "b", "Used if c is given"), ("g", "g/c", "c", "When the b is greater than 3, must be None")]
+    return dependencies.sibling_dependencies(spark.createDataFrame(rows, "function_id string, parameter_id string, name string, description string"))

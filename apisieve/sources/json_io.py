@@ -108,3 +108,19 @@ def write_annotations(rows: DataFrame, path: str) -> None:
         one = last.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("target", "a")))).alias(f"{kind}Annotations"))
         out = one if out is None else out.join(one)
     out.select(F.lit(ANNOTATION_VERSION).alias("schemaVersion"), "*").coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_dependencies(rows: DataFrame, path: str) -> None:
+    """One JSON document: function, parameter, list of dependencies in the order of their sentences. rows: what sibling_dependencies gives."""
+    one = F.struct("nth", F.struct("dependee_id", F.struct("condition", F.col("condition_kind").alias("variant")).alias("condition"), F.struct("action", F.col("action_kind").alias("variant")).alias("action")).alias("d"))
+    per = rows.groupBy("function_id", "parameter_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["d"]).alias("found"))
+    functions = per.groupBy("function_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("parameter_id", "found")))).alias("parameters"))
+    functions.select("function_id", "parameters").orderBy("function_id").coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_purity(purity: DataFrame, path: str) -> None:
+    """A JSON line for each module, with its functions by line: Pure, or Impure with the reasons by kind. purity: what operators.purity.analyse gives."""
+    kinds = F.transform("reasons", lambda r: F.substring_index(r, ".", 1))
+    by_kind = F.map_from_entries(F.transform(F.array_distinct(kinds), lambda k: F.struct(k, F.filter("reasons", lambda r: F.substring_index(r, ".", 1) == k))))
+    row = F.struct("line", "fn", F.when(F.col("is_pure"), "Pure").otherwise("Impure").alias("purity"), F.to_json(by_kind).alias("reasons"))
+    purity.groupBy("module").agg(F.array_sort(F.collect_list(row)).alias("functions")).orderBy("module").coalesce(1).write.mode("overwrite").json(path)

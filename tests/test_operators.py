@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from apisieve.functions import similarity
-from apisieve.operators import catalogue, graph, matching, purity, usages
+from apisieve.operators import catalogue, dependencies, graph, matching, purity, usages
 from apisieve.plans import catalogue_queries as fixtures
 from apisieve.sources import files, json_io, tables
 from apisieve.streaming import usage_stream
@@ -153,3 +153,24 @@ def test_running_counts_of_a_stream(spark, tmp_path):
         q.stop()
     assert sorted(map(tuple, spark.table("counts_complete").collect())) == [("f", 3), ("g", 1)]
     assert sorted((str(r.start), r.function_id, r.n) for r in spark.table("counts_append").collect()) == [("2024-01-01 00:00:00", "f", 2), ("2024-01-01 01:00:00", "g", 1)]
+
+
+def test_dependencies_and_their_file(spark, tmp_path):
+    rows = [("f", "f/a", "a", "This parameter is ignored when b is set to False."), ("f", "f/b", "b", "If a is None , then b will be the identity. If x is 3, raises."), ("f", "f/c", "c", None), ("g", "g/a", "a", "If metric is a string, it must be one of a list."), ("g", "g/metric", "metric", "None.")]
+    found = dependencies.sibling_dependencies(spark.createDataFrame(rows, "function_id string, parameter_id string, name string, description string"))
+    told = sorted((r.parameter_id, r.dependee_id, r.condition, r.condition_kind, r.action, r.action_kind) for r in found.collect())
+    assert told == [
+        ("f/a", "f/b", "when b is set to False", "has_value", "This parameter is ignored", "is_ignored"),
+        ("f/b", "f/a", "If a is None", "is_none", "then b will be the identity", "other"),
+        ("g/a", "g/metric", "If metric is a string", "other", "it must be one of a list", "is_illegal"),
+    ]
+    json_io.write_dependencies(found, str(tmp_path / "dependencies"))
+    lines = next(p for p in (tmp_path / "dependencies").iterdir() if p.suffix == ".json").read_text().splitlines()
+    assert [json.loads(x)["function_id"] for x in lines] == ["f", "g"] and json.loads(lines[0])["parameters"]["f/a"][0]["action"]["variant"] == "is_ignored"
+
+
+def test_purity_file(spark, tmp_path):
+    json_io.write_purity(purity.analyse(files.parse_facts(fixtures.library(spark))), str(tmp_path / "purity"))
+    line = json.loads(next(p for p in (tmp_path / "purity").iterdir() if p.suffix == ".json").read_text().splitlines()[0])
+    by = {f["fn"].split(".")[-2]: f for f in line["functions"]}
+    assert by["price"]["purity"] == "Pure" and json.loads(by["log"]["reasons"])["CallOfParameter"] == ["CallOfParameter.ParameterAccess.sink"]
