@@ -12,7 +12,7 @@ from .exact_dedup import normalised
 from .mixing import n_words
 
 #: Tokens of a bin; rows that one task packs, about.
-CAPACITY, SHARD_ROWS = 2048, 8_000
+CAPACITY, SHARD_ROWS = 2048, 2_000
 #: Bits of a bin's source bitmap: of more sources in a shard, some share a bit, which parts more than it must and never less.
 SOURCE_BITS = 64
 #: From so many members in a shard on, a cluster has a bit of its own in the index, so its members skip full levels.
