@@ -17,8 +17,8 @@ SAMPLE, CALIBRATION = 20_000, 96
 BRANCH, LEAF_ROWS, MAX_LEAVES = 8, 400, 1024
 #: Rows of a leaf that one task searches; a larger leaf is dealt over several.
 BLOCK_ROWS = 4096
-#: Leaves that a query visits before it has a bound on its k-th score.
-FIRST_VISITS, RECALL = 4, 0.96
+#: Leaves that a query visits before it has a bound on its k-th score, and how many times as many it has visited before each next bound.
+FIRST_VISITS, WIDEN, RECALL = 4, 4, 0.96
 
 
 class KMeansTree:
@@ -143,8 +143,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL) ->
     1. The tree is fitted on at most SAMPLE vectors, whichever hash first. 2. Every row goes to its leaf.
     3. For CALIBRATION sampled vectors, the true neighbours among all rows are found block by block, and
     visits are widened until their leaves hold `recall` of them. 4. Each query visits FIRST_VISITS leaves,
-    which bounds its k-th score; then as many as calibrated, where only rows not under the bound are passed
-    on. Queries travel to leaves in packs; leaves of more than BLOCK_ROWS rows are dealt over several tasks.
+    which bounds its k-th score; then WIDEN times as many in all, and so on up to the calibrated number, where
+    each round passes on only rows that are not under the bound so far. Queries travel to leaves in packs;
+    leaves of more than BLOCK_ROWS rows are dealt over several tasks.
 
     Vectors that are null, zero, not finite or of another length than the sample's commonest take no part.
     Ties go to the smaller vec_id. Fewer than k other rows: all of them, if visited. Rows that repeat a vec_id
@@ -205,13 +206,18 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL) ->
         packs = queries.mapInArrow(route(first, last), "leaf long, block int, qids binary, bounds binary, q binary")
         return members.groupBy("leaf", "block").cogroup(packs.groupBy("leaf", "block")).applyInPandas(meet, "query_id long, vec_id long, score double")
 
-    queries = index.where(is_query(F.col("vec_id"))).select("vec_id", F.lit(float("-inf")).alias("bound"), "v")
-    best = materialize(_top(visit(queries, 0, FIRST_VISITS), k).drop("rank"), "nearest")
-    if visits > FIRST_VISITS:
-        bound = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("b"))
-        wider = queries.join(bound, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", F.coalesce("b", "bound").alias("bound"), "v")
-        best = best.unionByName(visit(materialize(wider, "queries"), FIRST_VISITS, visits))
-    return _top(best, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    queries = index.where(is_query(F.col("vec_id"))).select("vec_id", "v")
+    asking, best, done = queries.select("vec_id", F.lit(float("-inf")).alias("bound"), "v"), None, 0
+    while True:
+        reach = min(visits, max(FIRST_VISITS, done * WIDEN))
+        found = visit(asking, done, reach)
+        best, done = found if best is None else best.unionByName(found), reach
+        if done >= visits:
+            return _top(best, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        best = materialize(_top(best, k).drop("rank"), "nearest")
+        bound = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("b"))
+        bounded = queries.join(bound, F.col("vec_id") == F.col("query_id"), "left")
+        asking = materialize(bounded.select("vec_id", F.coalesce("b", F.lit(float("-inf"))).alias("bound"), "v"), "queries")
 
 
 def _calibrate(index: DataFrame, tree: KMeansTree, ids: np.ndarray, q: np.ndarray, k: int, recall: float) -> int:
