@@ -152,6 +152,12 @@ class Sampler:
         return out
 
 
+@functools.cache
+def sampler() -> Sampler:
+    """The sampler that all share: each Python worker draws it once from its seed, which costs less than sending its 44 MB."""
+    return Sampler()
+
+
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Sum of least over sum of largest weights; items ascend."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -182,17 +188,17 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     tune(spark)
     docs = docs.drop("class_id", "class_size", "kept")
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("rid"))
-    held = spark.sparkContext.broadcast((frequencies(docs), Sampler()))
+    held = spark.sparkContext.broadcast(frequencies(docs))
 
     def sign(batches):
-        df, sampler = held.value
+        df = held.value
         for b in batches:
             for row, data, at in text_slices(b.column(1)):
                 items, counts, starts = shingles(data, at)
                 w = df.weights(items, counts)
                 n = len(at) - 1
                 sums = np.bincount(np.repeat(np.arange(n), np.diff(starts)), w, n).astype(np.float64)  # whole numbers if there are no items
-                bands = sampler.bands(items, w, starts).view(np.int64).ravel()
+                bands = sampler().bands(items, w, starts).view(np.int64).ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands))
                 yield pa.RecordBatch.from_arrays([b.column(0)[row : row + n], b.column(1)[row : row + n], b.column(2)[row : row + n], b.column(3)[row : row + n], pa.array(sums), lists], names=names)
 
@@ -218,10 +224,10 @@ def _link(rows: DataFrame, groups: DataFrame, held, similarity: float) -> DataFr
     members = materialize(bucketed.join(shared, "bucket").select("bucket", "m", "node", "weight", u.alias("u")), "members")
     texts = rows.select("rid", "text").join(members.select("node").distinct(), F.col("rid") == F.col("node"), "left_semi")
     texts = materialize(texts, "rep-texts")
-    component = none = rows.sparkSession.createDataFrame([], "node long, component long")
+    component = rows.sparkSession.createDataFrame([], "node long, component long")
 
     def verify(batches):
-        df, seen = held.value[0], OrderedDict()
+        df, seen = held.value, OrderedDict()
 
         def bag(node: int, text: str):
             if node not in seen:
@@ -250,7 +256,7 @@ def _link(rows: DataFrame, groups: DataFrame, held, similarity: float) -> DataFr
         return materialize(some.join(found, "node", "left").select("node", *bins), "shared")
 
     def explode(batches):
-        df = held.value[0]
+        df = held.value
         for b in batches:
             for row, data, at in text_slices(b.column(1)):
                 items, counts, starts = shingles(data, at)
@@ -262,7 +268,7 @@ def _link(rows: DataFrame, groups: DataFrame, held, similarity: float) -> DataFr
     unbound = {b: F.lit(_UNBOUND) for b in names_of_bins}
     members = members.withColumns(unbound)
     add = lambda columns: functools.reduce(lambda x, y: x + y, columns)
-    links, low, high = None, 0, 2
+    low, high = 0, 2
     while most and low < most:
         now = members.join(component, "node", "left").select("bucket", "m", "node", "weight", *names_of_bins, "u", F.coalesce("component", "node").alias("class"))
         now = materialize(now, "now")
@@ -285,10 +291,19 @@ def _link(rows: DataFrame, groups: DataFrame, held, similarity: float) -> DataFr
         two = one.join(texts.select(F.col("rid").alias("y"), F.col("text").alias("text_y")), "y").select("x", "y", "text_x", "text_y")
         found = materialize(two.mapInArrow(verify, "a long, b long"), "links")
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            component = connected_components(links)
+            component = materialize(_joined(component, found), "classes")
         low, high = high, high * 8
-    return component if links is not None else none
+    return component
+
+
+def _joined(component: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after further links (a, b): components of the graph whose nodes are the classes so far, so old links aren't gone through again."""
+    of = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"class_{c}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b"))
+    classes = connected_components(between)
+    moved = classes.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    known = component.join(moved, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    return known.unionByName(classes.join(component.select("node"), "node", "left_anti"))
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
