@@ -178,8 +178,9 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     then with 16, 128 and so on, in the order of a hash, until all are done. Members that are already in one
     class are not compared again, so a large group of near copies costs a few comparisons per member, yet no
     pair of different classes in a bucket is left out. Pairs are skipped only if a bound rules the similarity
-    out: two texts share no more than what either shares with any other text of the buckets still open, bin by
-    bin of the shingles' hashes, so that what one lacks and the other has adds up.
+    out: two texts of a large bucket share no more than what either shares with any other text of the large buckets
+    still open, bin by bin of the shingles' hashes, so that what one lacks and the other has adds up. In buckets of up
+    to LARGE_BUCKET members this bound is not used.
 
     Texts without words (null, empty, blank) are all alike as texts go: equal ones are copies, others link
     to none. Repeated rows are copies. Empty tables give no rows. Columns named like the added ones are replaced.
@@ -277,8 +278,10 @@ def _link(rows: DataFrame, groups: DataFrame, held, similarity: float) -> DataFr
         if now.isEmpty():
             break
         if low == 2:  # the first hubs have joined what they could
-            now = now.drop(*names_of_bins).join(shared_weights(now), "node", "left").fillna(_UNBOUND, names_of_bins)
-            # a text that shares less than this with all others together has no near copy left to find
+            # counts are over members of large buckets alone, so they bound nothing in the smaller buckets of the same texts
+            large = {b: F.when(F.col("m") > LARGE_BUCKET, F.col(b)).otherwise(_UNBOUND) for b in names_of_bins}
+            now = now.drop(*names_of_bins).join(shared_weights(now), "node", "left").withColumns(large)
+            # a text that shares less than this with all others of large buckets together has no near copy left to find there
             now = materialize(now.where(add(map(F.col, names_of_bins)) >= least * F.col("weight")), "open")
             members = now.drop("class")
         hubs = now.where((F.col("u") * F.col("m") >= low) & (F.col("u") * F.col("m") < high)).select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("node", "weight", *names_of_bins, "u", "class")])

@@ -212,6 +212,34 @@ def test_near_copies_against_all_pairs(spark, sf_dir):
         assert sum(found[d].kept for d in members) == 1 and {found[d].class_size for d in members} == {len(members)}
 
 
+def test_near_copies_of_a_text_in_a_large_bucket(spark):
+    """One text alone of a group of near copies is in a large bucket, by a passage that is most of it; its copies are in smaller ones only."""
+    rng = np.random.default_rng(45)
+    words = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**9, n))
+    passage = words(120)
+    others = [f"{passage} {words(80)}" for _ in range(150)]
+    one, more = f"{passage} {words(80)}", words(34)
+    group = [one, *(f"{one} {more} {words(1)}" for _ in range(6))]
+    # rows whose hash makes them no first hubs, so that the pairs are left for the round in which bounds hold
+    u = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 40)) / float(1 << 40)
+    late = [r.id for r in spark.range(157).where(u > 0.4).orderBy("id").collect()][:7]
+    texts, left = dict(zip(late, group, strict=True)), iter(others)
+    rows = [(i, texts.get(i) or next(left)) for i in range(157)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    df, bags, bands = near_dedup.frequencies(docs), [], []
+    for _, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        items, counts, at = near_dedup.shingles(data, np.array([0, len(data)]))
+        bags.append((items, df.weights(items, counts)))
+        bands.append(near_dedup.sampler().bands(*bags[-1], at)[0])
+    _, where, m = np.unique(bands, return_inverse=True, return_counts=True)
+    large = m[where].reshape(len(rows), -1) > near_dedup.LARGE_BUCKET
+    assert large[late[0]].any() and not large[late[1:]].any()
+    assert all(near_dedup.weighted_jaccard(bags[late[0]], bags[i]) >= near_dedup.SIMILARITY for i in late[1:])
+    sizes = {r.doc_id: (r.class_id, r.class_size) for r in near_dedup.near_dedup(docs).collect()}
+    assert sizes == {i: (late[0], 7) if i in late else (i, 1) for i in range(157)}
+
+
 def test_consistent_samples_estimate_similarity():
     rng = np.random.default_rng(3)
     items = np.sort(rng.integers(0, 2**64, 900, dtype=np.uint64))
