@@ -13,7 +13,7 @@ from .mixing import n_words
 
 #: Tokens of a bin; rows that one task packs, about.
 CAPACITY, SHARD_ROWS = 2048, 2_000
-#: Bits of a bin's source bitmap: of more sources in a shard, some share a bit, which parts more than it must and never less.
+#: Bits of a bin's source bitmap, for the commonest sources of a shard; each bin has the exact set of its other sources.
 SOURCE_BITS = 64
 #: From so many members in a shard on, a cluster has a bit of its own in the index, so its members skip full levels.
 LARGE_CLUSTER = 24
@@ -22,25 +22,27 @@ LARGE_CLUSTER = 24
 def best_fit(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """The bin of each item (0 < size <= capacity, in the order given), each in the tightest compatible bin.
 
-    Bins are kept by residual. A bin carries a bitmap of its sources and one of its clusters; an item fits
-    if neither has its bit. For every bit the index counts, residual by residual, the bins without it, so
+    Bins are kept by residual. A bin carries a bitmap of its sources and one of its clusters, and exact sets
+    of the sources and clusters that have no bit; an item fits if none of them has its own. For every bit the index counts, residual by residual, the bins without it, so
     the successor search goes from the item's size upwards through residuals that have a bin without its
     source and, if its cluster is large, one without its cluster, and on until a bin is compatible in both;
     of equal residuals the oldest such bin is taken. None compatible: a new bin. clusters < 0 conflict with none.
     """
-    _, source_bit = np.unique(sources, return_inverse=True)
-    source_bit %= SOURCE_BITS
+    _, source, members = np.unique(sources, return_inverse=True, return_counts=True)
+    source_bit = np.zeros(len(members), np.int64)  # bit 0 is every bin's: it stands for sources without a bit
+    source_bit[np.argsort(-members, kind="stable")[:SOURCE_BITS]] = 1 + np.arange(min(len(members), SOURCE_BITS))
     ids, cluster, members = np.unique(clusters, return_inverse=True, return_counts=True)
     large = np.flatnonzero((members >= LARGE_CLUSTER) & (ids >= 0))
-    n_bits = SOURCE_BITS + len(large)
+    n_bits = 1 + SOURCE_BITS + len(large)
     own_bit = np.full(len(ids), -1)
-    own_bit[large] = SOURCE_BITS + np.arange(len(large))
+    own_bit[large] = 1 + SOURCE_BITS + np.arange(len(large))
     without = np.zeros((n_bits, capacity + 1), np.int32)  # bins at a residual that lack a bit
-    lacks, held, residual = [], [], []  # by bin: bits that it lacks, its small clusters, its residual
+    lacks, held, others, residual = [], [], [], []  # by bin: bits that it lacks, its small clusters, its sources without a bit, its residual
     levels: list[dict[bytes, list[int]]] = [{} for _ in range(capacity + 1)]  # bins of a residual by what they lack, oldest first
     out = np.empty(len(sizes), np.int64)
     for i in range(len(sizes)):
-        size, bit, c = int(sizes[i]), int(source_bit[i]), int(cluster[i])
+        size, src, c = int(sizes[i]), int(source[i]), int(cluster[i])
+        bit = int(source_bit[src])
         extra = int(own_bit[c])
         open_ = without[bit, size:] > 0
         if extra >= 0:
@@ -51,7 +53,7 @@ def best_fit(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capac
                 free = lacks[groups[0]]
                 if free[bit] and (extra < 0 or free[extra]):
                     for b in groups:
-                        if extra >= 0 or ids[c] < 0 or c not in held[b]:
+                        if (extra >= 0 or ids[c] < 0 or c not in held[b]) and (bit or src not in others[b]):
                             found = b if found < 0 else min(found, b)
                             break
             if found < 0:
@@ -64,6 +66,7 @@ def best_fit(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capac
             found = len(residual)
             lacks.append(np.ones(n_bits, bool))
             held.append(set())
+            others.append(set())
             residual.append(capacity)
         else:
             key = lacks[found].tobytes()
@@ -72,7 +75,10 @@ def best_fit(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capac
             if not group:
                 del levels[residual[found]][key]
             without[:, residual[found]] -= lacks[found]
-        lacks[found][bit] = False
+        if bit:
+            lacks[found][bit] = False
+        else:
+            others[found].add(src)
         if extra >= 0:
             lacks[found][extra] = False
         else:

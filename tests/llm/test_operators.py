@@ -277,6 +277,15 @@ def test_best_fit_against_brute_force(seed):
     assert packing.best_fit(sizes, sources, clusters, 100).tolist() == brute_best_fit(sizes, sources, clusters, 100)
 
 
+@pytest.mark.parametrize("n_sources", [65, 130, 400])
+def test_best_fit_of_many_sources_against_brute_force(n_sources):
+    rng = np.random.default_rng(n_sources)
+    sizes = np.sort(rng.integers(1, 101, 1500))[::-1]
+    sources, clusters = rng.integers(0, n_sources, 1500), rng.choice([-1, *range(300)], 1500)
+    sources[rng.random(1500) < 0.2] = 7
+    assert packing.best_fit(sizes, sources, clusters, 100).tolist() == brute_best_fit(sizes, sources, clusters, 100)
+
+
 def test_bins_hold_whole_documents_without_conflicts(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     rows = packing.pack(docs, capacity=512).toPandas()
