@@ -13,8 +13,6 @@ from .common import materialize, mix64, read, text_slices, tune, word_hashes
 
 #: Contexts of the trie are this many bytes long at most.
 ORDER = 3
-#: Leaves of the trie (context and next byte) at most; were there more, the rarest would go first.
-MAX_LEAVES = 4_000_000
 #: Words whose counts are broadcast, the commonest (16 bytes each); the others' counts are joined.
 HEAD_WORDS = 1 << 19
 #: The end of a text as a token.
@@ -206,8 +204,8 @@ def lm_score(docs: DataFrame, training) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs.
 
     Training rows (by the condition `training`) are counted in one pass: words with their ends, and byte
-    contexts of up to ORDER bytes. The trie of contexts, which the alphabet bounds and MAX_LEAVES besides
-    (then the rarest leaves go), is broadcast; score is its log10 probability of the text's UTF-8 bytes and end, with
+    contexts of up to ORDER bytes. The trie of all contexts seen, whose size the alphabet alone bounds, is
+    broadcast; score is its log10 probability of the text's UTF-8 bytes and end, with
     escapes of method C and symbol exclusion. base_score sums log10((c + 1) / (N + V + 1)). Counts of the
     HEAD_WORDS commonest words are broadcast and the others' joined, so no key of that join is hot. Words
     are told apart by 64-bit hashes.
@@ -221,8 +219,7 @@ def lm_score(docs: DataFrame, training) -> DataFrame:
     counts = materialize(_counts(rows.where("training")), "counts")
     words = counts.where("kind = 0").select("item", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    leaves = counts.where("kind = 1").select("item", "n")
-    leaves = leaves.where(F.col("n") >= _at_least(leaves, MAX_LEAVES)).toArrow()
+    leaves = counts.where("kind = 1").select("item", "n").toArrow()
     least = _at_least(words, HEAD_WORDS)
     head = words.where(F.col("n") >= least).toArrow()
     order = np.argsort(hashes := head.column("item").to_numpy().view(np.uint64))

@@ -121,6 +121,18 @@ def test_adaptive_code_length_falls():
     assert lm_scoring.PPMTrie().log10("ab" * 200, adapt=True) > lm_scoring.PPMTrie().log10("ab" * 200)
 
 
+def test_lm_score_counts_all_leaves(spark):
+    """Texts of 64 letters at random teach more than four million codes of four bytes, most of them once; all count."""
+    letters = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+    data = letters[np.random.default_rng(5).integers(0, 64, (50, 100_000))]
+    codes = [lm_scoring.gram_codes(x, np.array([0, len(x)]))[0] for x in data]
+    made = lm_scoring.PPMTable(*np.unique(np.concatenate(codes), return_counts=True))
+    assert len(made.code) > 4_000_000
+    docs = spark.createDataFrame([(i, x.tobytes().decode()) for i, x in enumerate(data)], "doc_id long, text string")
+    found = {r.doc_id: r.score for r in lm_scoring.lm_score(docs, F.lit(True)).where("doc_id < 3").collect()}
+    assert found == {i: pytest.approx(made.log10(codes[i]).sum(), rel=1e-9) for i in range(3)}
+
+
 def test_lm_base_score(spark, sf_dir):
     found = {r.doc_id: r for r in registry.QUERIES["op5_lm_scoring"](spark, sf_dir).collect()}
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").collect()
