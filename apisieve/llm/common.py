@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import shared_folder
+
 #: Rows and bytes of one Arrow batch handed to Python; whole texts can be long, so both are bounded.
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 #: Bytes of text that the numpy code works on at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SCRATCH: dict[str, list[str]] = {}
 
@@ -25,21 +26,9 @@ def tune(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one on a local master that has none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.sparkContext.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="apisieve-")
-        else:
-            folder = spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, tag: str, keep: bool = False) -> str:
     """A new path in the shared folder, removed by clear_scratch() (unless keep) or when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/apisieve-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/apisieve-{tag}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -65,10 +65,10 @@ def _groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min(F.struct(-F.col("chars"), F.col("doc_id").isNull(), "doc_id", "rid")).alias("best"), F.count("*").alias("n"))
 
 
-def exact_dedup(docs: DataFrame, incoming: Column | None = None, digest=sha256) -> DataFrame:
-    """Groups of equal normalised texts, one row per row of docs, whose other columns stay.
+def exact_dedup(docs: DataFrame, incoming: Column | None = None, digest=sha256, rid: Column | None = None) -> DataFrame:
+    """Groups of equal normalised texts, one row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, rid.
 
-    Adds keep_id, group_size, kept and text_sha256. incoming tells the rows of the new batch from those of
+    rid is a number of the rows (default: by place). incoming tells the rows of the new batch from those of
     the snapshot (default: by crc32 of doc_id); the result does not depend on it. Steps:
     1. digests of both, in one pass; equal ones are summed per task, so a huge group is a few rows per task;
     2. the snapshot's distinct digests get one binary fuse filter per bucket of KEYS_A_FILTER;
@@ -77,20 +77,20 @@ def exact_dedup(docs: DataFrame, incoming: Column | None = None, digest=sha256)
     4. every group of several rows is checked byte by byte: grouped by digest and text. Texts that differ
        under one digest are told apart by their bytes.
 
-    Null text is empty; null doc_id loses ties; rows repeated in full count each and one stays. Empty
-    tables give no rows. Columns called like the added ones are replaced.
+    Null text is empty; null doc_id loses ties; rows repeated in full count each and one stays. Very long
+    texts are digested and compared whole. Empty tables give no rows. Other columns are ignored.
     """
-    rid, text = F.monotonically_increasing_id(), normalised(F.col("text"))
+    rid, text = F.monotonically_increasing_id() if rid is None else rid, normalised(F.col("text"))
     incoming = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(2)) == 1 if incoming is None else incoming
-    base = docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"), incoming.alias("incoming"), text.alias("norm"))
+    base = docs.select("doc_id", rid.alias("rid"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"), incoming.alias("incoming"), text.alias("norm"))
     base = base.withColumn("key", digest(F.col("norm"))).withColumn("sha", F.col("key") if digest is sha256 else sha256(F.col("norm")))
-    slim = materialize(base.withColumn("rid", rid).drop("norm"), "digests")
+    slim = materialize(base.drop("norm"), "digests")
     merged, clash = _merged(slim, base)
     if clash is not None:
         apart = F.when(F.col("clash"), F.concat("key", F.encode("norm", "utf-8"))).otherwise(F.col("key"))
         base = base.join(clash.withColumn("clash", F.lit(True)), "key", "left").withColumn("clash", F.coalesce("clash", F.lit(False)))
         base = base.withColumn("key", apart).drop("clash")
-        slim = materialize(base.withColumn("rid", rid).drop("norm"), "digests")
+        slim = materialize(base.drop("norm"), "digests")
         merged, _ = _merged(slim, None)
     return slim.join(merged, "key").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("best.rid") == F.col("rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "rid"

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .common import materialize, mix64, read, text_slices, tune, word_hashes
 from .components import connected_components
@@ -22,13 +23,15 @@ SHINGLE, SIMILARITY, ROWS, BANDS = 5, 0.8, 4, 14
 LARGE_BUCKET, BINS = 16, 32
 #: What a text without such counts has in each bin: it bounds nothing.
 _UNBOUND = 1e300
-#: How much idf counts: a shingle's weight is tf * (1 + IDF * ln(N / df)). Stronger weights would split large
-#: groups of near copies: what these share is common just because of them, and their differences are rare.
-IDF = 0.03
-#: Cells and rows of the count-min sketch of document frequencies: 2 MB at every size, and its error is a fixed share of N.
+#: A shingle's weight is tf * idf with idf = ln(1 / f) / ln(1 / RARE), f being its share of all documents, held between
+#: LEAST_IDF and 1: what fewer than a twentieth of the documents have counts in full, a passage that many share counts less.
+#: Unbounded idf would split groups of near copies: what these share is common just because of them, and their differences are rare.
+RARE, LEAST_IDF = 0.05, 0.25
+#: Cells and rows of the count-min sketch of document frequencies. A cell holds the mean shingles per document / CELLS of N
+#: beside its own (0.2 % at 500 words), well under RARE at every number of documents, and idf is 1 wherever f < RARE.
 CELLS, DEPTH = 1 << 18, 2
-_CHUNK = 8192
-_POOL_BITS = 16
+#: Entries of the sampler's pool, and bytes of shingle bags that a task which compares texts remembers.
+_CHUNK, _POOL_BITS, _CACHE_BYTES = 8192, 13, 24 << 20
 
 
 def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +75,8 @@ class Frequencies:
 
     def weights(self, items: np.ndarray, counts: np.ndarray) -> np.ndarray:
         df = np.min([self.table[d][c] for d, c in enumerate(_cells(items))], axis=0) if len(items) else np.zeros(0)
-        return counts * (1.0 + IDF * np.log(max(1, self.n_docs) / np.clip(df, 1, max(1, self.n_docs))))
+        share = np.clip(df / max(1, self.n_docs), 1e-12, 1.0)
+        return counts * np.clip(np.log(share) / np.log(RARE), LEAST_IDF, 1.0)
 
 
 def frequencies(docs: DataFrame) -> Frequencies:
@@ -111,8 +115,9 @@ def frequencies(docs: DataFrame) -> Frequencies:
 class Sampler:
     """Improved consistent weighted sampling: for each of ROWS * BANDS samples the item with the least ln a = ln c - r (t - beta + 1), where t = floor(ln w / r + beta).
 
-    r and c are Gamma(2, 1) and beta uniform, drawn in advance by a pool that an item's hash indexes.
-    Equal (item, t) in a sample have the probability of the weighted Jaccard similarity.
+    r and c are Gamma(2, 1) and beta uniform, drawn in advance by a pool that an item's hash indexes. Equal
+    (item, t) in a sample have the probability of the weighted Jaccard similarity. An item of weight 1, as
+    most are, has t = 0, so its ln a is one number of the pool.
     """
 
     def __init__(self, seed: int = 17):
@@ -121,40 +126,40 @@ class Sampler:
         self.beta = rng.random((k, pool), np.float32)
         self.c = np.log(rng.gamma(2, 1, (k, pool))).astype(np.float32)
         self.odd = rng.integers(0, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.one = self.c - self.r * (1 - self.beta)
 
     def bands(self, items: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """A hash for each text and band; texts without items get none (zeros)."""
+        """A hash for each text and band; texts without items get none (zeros). A text's items ascend, so ties go to the least."""
         full = np.flatnonzero(np.diff(at) > 0)
         out = np.zeros((len(at) - 1, BANDS), np.uint64)
         if not len(full):
             return out
         starts, sizes = at[:-1][full], np.diff(at)[full]
-        log_w = np.log(weights).astype(np.float32)
+        other = np.flatnonzero(weights != 1)
+        log_w = np.log(weights[other]).astype(np.float32)
+        steps = np.zeros(len(items), np.int64)
         with np.errstate(over="ignore"):
             for band in range(BANDS):
                 h = np.full(len(full), band + 1, np.uint64)
                 for k in range(band * ROWS, band * ROWS + ROWS):
-                    spread = items * self.odd[k]
-                    i = (spread >> np.uint64(64 - _POOL_BITS)).astype(np.int64)
-                    r, beta = self.r[k][i], self.beta[k][i]
-                    t = np.floor(log_w / r + beta)
-                    # the hash's other bits part items that share an entry of the pool
-                    a = self.c[k][i] - r * (t - beta + 1) + ((spread >> np.uint64(24)) & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(1e-12)
-                    least = np.minimum.reduceat(a, starts)
-                    hits = np.flatnonzero(a == np.repeat(least, sizes))
-                    where = np.searchsorted(hits, starts)
-                    best = hits[where]
-                    for j in np.flatnonzero(np.diff(np.append(where, len(hits))) > 1):  # ties go to the least item
-                        tied = hits[where[j] : (where[j + 1] if j + 1 < len(where) else len(hits))]
-                        best[j] = tied[np.argmin(items[tied])]
-                    h = mix64(h ^ items[best]) + t[best].astype(np.int64).astype(np.uint64)
+                    i = (items * self.odd[k] >> np.uint64(64 - _POOL_BITS)).astype(np.int64)
+                    a = self.one[k][i]
+                    if len(other):
+                        j = i[other]
+                        r, beta = self.r[k][j], self.beta[k][j]
+                        t = np.floor(log_w / r + beta)
+                        a[other] = self.c[k][j] - r * (t - beta + 1)
+                        steps[other] = t
+                    hits = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, starts), sizes))
+                    best = hits[np.searchsorted(hits, starts)]
+                    h = mix64(h ^ items[best]) + steps[best].astype(np.uint64)
                 out[full, band] = mix64(h)
         return out
 
 
 @functools.cache
 def sampler() -> Sampler:
-    """The sampler that all share: each Python worker draws it once from its seed, which costs less than sending its 44 MB."""
+    """The sampler that all share: each Python worker draws it once from its seed, which costs less than sending it."""
     return Sampler()
 
 
@@ -166,8 +171,8 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(least / total) if total else 1.0
 
 
-def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Classes of near copies: the columns of docs, then class_id, class_size and kept, one row per row of docs.
+def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, whole: bool = False) -> DataFrame:
+    """Classes of near copies: doc_id, rid, class_id, class_size and kept, one row per row of docs, and with `whole` also the row itself as a struct.
 
     Documents are linked if the weighted Jaccard similarity of their TF-IDF shingles is `similarity` or
     more; a class is a connected component, class_id its smallest doc_id (null last), whose row is kept.
@@ -183,12 +188,15 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     to LARGE_BUCKET members this bound is not used.
 
     Texts without words (null, empty, blank) are all alike as texts go: equal ones are copies, others link
-    to none. Repeated rows are copies. Empty tables give no rows. Columns named like the added ones are replaced.
+    to none. Very long texts are compared whole; a task takes such a text by itself. Equal texts are told by sha256. Repeated rows are
+    copies; which of several rows of the smallest doc_id stays is decided by their place. Empty tables give no
+    rows. Other columns than doc_id and text are ignored.
     """
     spark = docs.sparkSession
     tune(spark)
-    docs = docs.drop("class_id", "class_size", "kept")
-    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    others = [c for c in docs.columns if whole and c not in ("doc_id", "text")]
+    carried = F.struct(F.col("text").isNull().alias("no_text"), *others).alias("carried")
+    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("rid"), carried)
     held = spark.sparkContext.broadcast(frequencies(docs))
 
     def sign(batches):
@@ -201,11 +209,12 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 sums = np.bincount(np.repeat(np.arange(n), np.diff(starts)), w, n).astype(np.float64)  # whole numbers if there are no items
                 bands = sampler().bands(items, w, starts).view(np.int64).ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands))
-                yield pa.RecordBatch.from_arrays([b.column(0)[row : row + n], b.column(1)[row : row + n], b.column(2)[row : row + n], b.column(3)[row : row + n], pa.array(sums), lists], names=names)
+                yield pa.RecordBatch.from_arrays([*(c[row : row + n] for c in b.columns), pa.array(sums), lists], names=names)
 
-    schema = "doc_id long, text string, rid long, key binary, weight double, bands array<long>"
-    names = [x.split()[0] for x in schema.split(", ")]
-    rows = materialize(plain.withColumn("key", F.unhex(F.md5("text"))).select("doc_id", "text", "rid", "key").mapInArrow(sign, schema), "signed")
+    keyed = plain.withColumn("key", F.unhex(F.sha2("text", 256))).select("doc_id", "text", "rid", "key", "carried")
+    schema = StructType([*keyed.schema, StructField("weight", DoubleType()), StructField("bands", ArrayType(LongType()))])
+    names = schema.names
+    rows = materialize(keyed.mapInArrow(sign, schema), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     groups = materialize(rows.groupBy("key").agg(first, F.count("*").alias("n")).select("key", "first", F.col("first.rid").alias("rep"), "n"), "texts")
 
@@ -213,7 +222,17 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     groups = groups.join(component, F.col("rep") == F.col("node"), "left").withColumn("class", F.coalesce("component", "rep")).select("key", "first", "n", "class")
     classes = groups.groupBy("class").agg(F.min("first").alias("best"), F.sum("n").alias("class_size"))
     named = groups.select("key", "class").join(classes, "class").select("key", F.col("best.doc_id").alias("class_id"), F.col("best.rid").alias("best_rid"), "class_size")
-    return rows.select("doc_id", "rid", "key").join(named, "key").select("doc_id", "rid", "class_id", "class_size", (F.col("rid") == F.col("best_rid")).alias("kept"))
+    told = rows.select("doc_id", "rid", "key", *(["text", "carried"] if whole else [])).join(named, "key")
+    out = told.select("doc_id", "rid", "class_id", "class_size", (F.col("rid") == F.col("best_rid")).alias("kept"), *(["text", "carried"] if whole else []))
+    if not whole:
+        return out
+    own = {"doc_id": F.col("doc_id"), "text": F.when(~F.col("carried.no_text"), F.col("text"))}
+    return out.select("doc_id", "rid", "class_id", "class_size", "kept", F.struct(*[own.get(c, F.col("carried")[c]).alias(c) for c in docs.columns]).alias("row"))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs that stay, one of each class, as the table held them that was numbered and compared: docs are not read a second time."""
+    return near_dedup(docs, similarity, whole=True).where("kept").select("row.*")
 
 
 def _link(rows: DataFrame, groups: DataFrame, held, similarity: float) -> DataFrame:
@@ -228,15 +247,17 @@ def _link(rows: DataFrame, groups: DataFrame, held, similarity: float) -> DataFr
     component = rows.sparkSession.createDataFrame([], "node long, component long")
 
     def verify(batches):
-        df, seen = held.value, OrderedDict()
+        df, seen, held_bytes = held.value, OrderedDict(), 0
 
         def bag(node: int, text: str):
+            nonlocal held_bytes
             if node not in seen:
-                if len(seen) >= 256:
-                    seen.popitem(last=False)
                 data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                 items, counts, _ = shingles(data, np.array([0, len(data)]))
                 seen[node] = (items, df.weights(items, counts))
+                held_bytes += 16 * len(items)
+                while held_bytes > _CACHE_BYTES and len(seen) > 2:
+                    held_bytes -= 16 * len(seen.popitem(last=False)[1][0])
             seen.move_to_end(node)
             return seen[node]
 
