@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apisieve.llm import exact_dedup, mixing, near_dedup, packing, quality
-from apisieve.llm.common import clear_scratch, read, scratch_path
+from apisieve.llm.common import clear_scratch, materialize, read, scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,36 +20,52 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be of label 1; it learns from the labels' training rows, as in op6."""
+    """Documents that the classifier predicts to be of label 1; it learns from the labels' training rows, as in op6.
+
+    Null, empty and blank texts get the score of no evidence and go or stay together; very long ones are scored whole. Repeated
+    rows have one score. Without usable labels every score is 0.5, and all stay. Other columns than documents' are dropped.
+    """
     clear_scratch(spark)
     docs = _columns(docs)
     scored = quality.quality(docs, read(spark, sf_dir, "labels"), keep=COLUMNS)
     return scored.where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
 
 
-def _numbered(spark: SparkSession, docs: DataFrame, decide) -> DataFrame:
-    """Rows of docs that `decide` keeps. A number made from position tells repeated doc_ids apart; decide returns (rid, kept) rows for the same table."""
-    rows = _columns(docs).withColumn("rid", F.monotonically_increasing_id())
-    kept = decide(_columns(docs)).where("kept").select("rid")
-    return rows.join(kept, "rid", "left_semi").select(*COLUMNS)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs and a number for each row, written once: repeated doc_ids are told apart by it, and all that a stage reads has the same numbers."""
+    return materialize(_columns(docs).withColumn("rid", F.monotonically_increasing_id()), "numbered")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The one row of each group of equal texts that stays."""
+    """The one row of each group of equal texts that stays.
+
+    Null, empty and blank texts are equal, so one of them stays, the longest. Ties go to the smallest doc_id (null last),
+    and of rows that repeat in full one stays. Texts count whole at any length; other columns than documents' are dropped. No rows give none.
+    """
     clear_scratch(spark)
-    return _numbered(spark, docs, exact_dedup.exact_dedup)
+    rows = _numbered(docs)
+    kept = exact_dedup.exact_dedup(rows, rid=F.col("rid")).where("kept").select("rid")
+    return rows.join(kept, "rid", "left_semi").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies, that of the smallest doc_id (null last).
+
+    Texts without words (null, empty, blank) are copies only of equal ones. Rows that repeat in full leave one. Texts count
+    whole at any length; other columns than documents' are dropped. No rows give none.
+    """
     clear_scratch(spark)
-    return _numbered(spark, docs, near_dedup.near_dedup)
+    return near_dedup.keep_one(_columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each repetition of a document; that of a fractional one has the first words only, and their n_chars."""
+    """The mix: a row for each repetition of a document; that of a fractional one has the first words only, and their n_chars.
+
+    Texts without words (null, empty, blank) have no share and go. A null source is a source of its own. Repeated rows count
+    each; ties in the seeded order go by doc_id and size. Very long texts are repeated or cut like others. No rows give none.
+    """
     clear_scratch(spark)
-    docs = _columns(docs).withColumn("rid", F.monotonically_increasing_id())
+    docs = _numbered(docs)
     taken = mixing.mix(docs, carry=("rid",)).where("taken > 0").select(F.col("rid").alias("row"), "size", "taken")
     rows = docs.join(taken, F.col("rid") == F.col("row"))
     whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
@@ -61,7 +77,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of the mix's documents; repetitions of one never share a bin."""
+    """Bins of the mix's documents; repetitions of one never share a bin.
+
+    Texts without words get bin -1. A null source is a source of its own. Texts of more words than a bin holds are cut into
+    several pieces. Ties go by cluster, source and hash. No rows give none; other columns are ignored.
+    """
     clear_scratch(spark)
     return packing.pack(_columns(docs)).drop("rid")
 
