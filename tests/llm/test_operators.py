@@ -98,10 +98,10 @@ def test_water_fill_by_hand(spark):
     assert found == {"b": 30.0, "c": 30.0, "a": 300.0, None: 760.0}
 
 
-TEXTS = ["abracadabra", "", "the cat sat on the mat", "the cat ran", "ünïcode 漢字", "a" * 30]
+TEXTS = ["abracadabra", "", "a\0b\0\0", "the cat sat on the mat", "the cat ran", "ünïcode 漢字", "a" * 30]
 
 
-@pytest.mark.parametrize("probe", [*TEXTS, "zzz the bat", "€", "caté"])
+@pytest.mark.parametrize("probe", [*TEXTS, "zzz the bat", "€", "caté", "\0", "ab\0"])
 def test_ppm_table_is_the_trie(probe):
     trie = lm_scoring.PPMTrie()
     codes = []
@@ -109,7 +109,7 @@ def test_ppm_table_is_the_trie(probe):
         trie.learn(t)
         data = np.frombuffer(t.encode(), np.uint8)
         codes.append(lm_scoring.gram_codes(data, np.array([0, len(data)]))[0])
-    made = lm_scoring.PPMTable(*np.unique(np.concatenate(codes), return_counts=True))
+    made = lm_scoring.PPMTable.of_counts(*np.unique(np.concatenate(codes), return_counts=True))
     data = np.frombuffer(probe.encode(), np.uint8)
     x = lm_scoring.gram_codes(data, np.array([0, len(data)]))[0]
     assert made.log10(x).sum() == pytest.approx(trie.log10(probe), abs=1e-9)
@@ -126,13 +126,30 @@ def test_lm_score_counts_all_leaves(spark):
     letters = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
     data = letters[np.random.default_rng(5).integers(0, 64, (50, 100_000))]
     codes = [lm_scoring.gram_codes(x, np.array([0, len(x)]))[0] for x in data]
-    made = lm_scoring.PPMTable(*np.unique(np.concatenate(codes), return_counts=True))
+    made = lm_scoring.PPMTable.of_counts(*np.unique(np.concatenate(codes), return_counts=True))
     assert len(made.code) > 4_000_000
     docs = spark.createDataFrame([(i, x.tobytes().decode()) for i, x in enumerate(data)], "doc_id long, text string")
     found = {r.doc_id: r.score for r in lm_scoring.lm_score(docs, F.lit(True)).where("doc_id < 3").collect()}
     assert found == {i: pytest.approx(made.log10(codes[i]).sum(), rel=1e-9) for i in range(3)}
 
 
+@pytest.mark.parametrize(("head_words", "head_leaves"), [(1 << 19, 1 << 21), (5, 100), (0, 0)])
+def test_lm_scores_are_the_tries(spark, sf_dir, head_words, head_leaves):
+    """Every document's score by the plain trie of all training texts; also where nearly all leaves and words are joined, none broadcast."""
+    docs = read(spark, sf_dir, "documents").orderBy("doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()
+    rows = [r for r in rows if len(r.text) < 4000]
+    trie = lm_scoring.PPMTrie()
+    for r in rows:
+        if r.doc_id % 7 != 2:
+            trie.learn(r.text)
+    some = docs.where("length(coalesce(text, '')) < 4000")
+    found = {r.doc_id: r.score for r in lm_scoring.lm_score(some, F.col("doc_id") % 7 != 2, head_words, head_leaves).collect()}
+    assert len(found) == len(rows)
+    for r in rows[:: 1 if head_leaves else 3]:
+        assert found[r.doc_id] == pytest.approx(trie.log10(r.text), rel=1e-9)
+
+
 def test_lm_base_score(spark, sf_dir):
     found = {r.doc_id: r for r in registry.QUERIES["op5_lm_scoring"](spark, sf_dir).collect()}
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").collect()
