@@ -6,13 +6,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from .common import materialize, read
 from .exact_dedup import normalised
 from .mixing import n_words
 
-#: Tokens of a bin; rows that one task packs, about.
-CAPACITY, SHARD_ROWS = 2048, 2_000
+#: Tokens of a bin; rows that one task packs in the first pass, about, and shards that one task of the second takes up.
+CAPACITY, SHARD_ROWS, TOGETHER = 2048, 2_000, 16
+#: Bins with less of their capacity in use after the first pass are packed anew in the second.
+FILLED = 0.9
 #: Bits of a bin's source bitmap, for the commonest sources of a shard; each bin has the exact set of its other sources.
 SOURCE_BITS = 64
 #: From so many members in a shard on, a cluster has a bit of its own in the index, so its members skip full levels.
@@ -95,17 +98,36 @@ def best_fit(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capac
     return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, size=None, cluster=None) -> DataFrame:
+def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.sort_values(["last", "cluster", "source", "h", "rid"], ascending=[False, True, True, True, True], na_position="last", ignore_index=True)
+
+
+def _bins(pdf: pd.DataFrame, capacity: int) -> np.ndarray:
+    """Bins of the last pieces of ordered rows, -1 for rows without tokens."""
+    some = (pdf["last"] > 0).to_numpy()
+    bins = np.full(len(pdf), -1, np.int64)
+    clusters, _ = pd.factorize(pdf["cluster"][some])
+    clusters[pdf["no_cluster"].to_numpy()[some]] = -1
+    sources, _ = pd.factorize(pdf["source"][some], use_na_sentinel=False)
+    bins[some] = best_fit(pdf["last"].to_numpy()[some], sources, clusters, capacity)
+    return bins
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, size=None, cluster=None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Bins for documents: doc_id, rid, piece, pieces, start, length, shard, bin, source, cluster; a row for each piece of a document.
 
     size and cluster are columns over docs: tokens (default: white-space words) and duplicate cluster
     (default: equal texts without white space). A document of more than `capacity` tokens is cut into full pieces, each a bin of its own, and
-    a last piece that is packed like the others. Rows go to shards of about SHARD_ROWS by a hash of doc_id
+    a last piece that is packed like the others. Rows go to shards of about shard_rows by a hash of doc_id
     and text, so a source with a third of all rows is spread evenly; a shard is packed by one task, largest
-    first, then by cluster, source and hash. Bins are numbered within shards, so (shard, bin) names one.
+    first, then by cluster, source and hash. In a second pass, the bins that are less than FILLED are taken up and their
+    documents packed anew, those of TOGETHER shards by one task, so that what shards leave part-empty meets. Bins
+    are numbered within shards, so (shard, bin) names one; those of the second pass have shards from the first pass's number on.
 
     Documents without tokens (null, empty or blank text) get one piece of length 0 in bin -1. A null source is a
-    source of its own. Repeated rows are packed each, never in one bin, as they are of one cluster. Empty tables give no rows.
+    source of its own. Repeated rows are packed each, never in one bin, as they are of one cluster; only rows that repeat more than
+    a quarter of shard_rows times are dealt by their place, others by what they hold, whatever the table's layout. Very long
+    texts make many pieces. Empty tables give no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     words = n_words(F.col("text")) if size is None else size
@@ -113,35 +135,39 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, size=None, cluster=None) ->
     # pandas has no long that may be null, so nulls travel as flags
     slim = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "source", words.cast("long").alias("size"), F.coalesce(same.cast("long"), F.lit(0)).alias("cluster"), same.isNull().alias("no_cluster"), F.xxhash64("doc_id", "text").alias("h"))
     slim = materialize(slim.withColumn("rid", F.monotonically_increasing_id()), "sizes")
-    shards = max(1, -(-slim.count() // SHARD_ROWS))
+    shards = max(1, -(-slim.count() // shard_rows))
     full = F.floor((F.col("size") - 1) / capacity).cast("int")  # pieces before the last
     slim = slim.withColumn("before", F.greatest(F.lit(0), full)).withColumn("last", F.col("size") - F.col("before") * capacity)
-    # equal rows have equal hashes, so the row's number deals them over shards too
-    slim = slim.withColumn("shard", F.pmod(F.xxhash64("h", "rid"), F.lit(shards)).cast("int"))
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["last", "cluster", "source", "h", "rid"], ascending=[False, True, True, True, True], na_position="last", ignore_index=True)
-        some = (pdf["last"] > 0).to_numpy()
-        bins = np.full(len(pdf), -1, np.int64)
-        clusters, _ = pd.factorize(pdf["cluster"][some])
-        clusters[pdf["no_cluster"].to_numpy()[some]] = -1
-        sources, _ = pd.factorize(pdf["source"][some], use_na_sentinel=False)
-        bins[some] = best_fit(pdf["last"].to_numpy()[some], sources, clusters, capacity)
-        base = int(bins.max(initial=-1)) + 1
-        before = pdf["before"].to_numpy().astype(np.int64)
-        pieces = before + 1
-        row = np.repeat(np.arange(len(pdf)), pieces)
-        piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        last = piece == before[row]
-        own = base + np.cumsum(~last) - 1
-        return pd.DataFrame({
-            "doc_id": pdf["doc_id"].to_numpy()[row], "no_id": pdf["no_id"].to_numpy()[row], "rid": pdf["rid"].to_numpy()[row], "piece": piece.astype(np.int32), "pieces": pieces[row].astype(np.int32), "start": piece * capacity,
-            "length": np.where(last, pdf["last"].to_numpy()[row], capacity), "shard": pdf["shard"].to_numpy()[row], "bin": np.where(last, bins[row], own), "source": pdf["source"].take(row).array, "cluster": pdf["cluster"].to_numpy()[row], "no_cluster": pdf["no_cluster"].to_numpy()[row],
-        })
-
-    schema = "doc_id long, no_id boolean, rid long, piece int, pieces int, start long, length long, shard int, bin long, source string, cluster long, no_cluster boolean"
-    packed = slim.groupBy("shard").applyInPandas(fill, schema)
-    return packed.withColumn("doc_id", F.expr("if(no_id, null, doc_id)")).withColumn("cluster", F.expr("if(no_cluster, null, cluster)")).drop("no_id", "no_cluster")
+    # crowds of rows that repeat in full: at most 4 of them a shard
+    crowds = slim.groupBy(F.col("h").alias("crowd")).agg(F.count("*").alias("n")).where(F.col("n") * 4 > shard_rows).select("crowd")
+    slim = slim.join(F.broadcast(crowds), F.col("h") == F.col("crowd"), "left")
+    slim = slim.withColumn("shard", F.pmod(F.xxhash64("h", F.when(F.col("crowd").isNotNull(), F.col("rid"))), F.lit(shards)).cast("int")).drop("crowd")
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = _ordered(pdf)
+        pdf["bin"] = _bins(pdf, capacity)
+        used = np.bincount(pdf["bin"] + 1, pdf["last"], pdf["bin"].max() + 2)
+        pdf["open"] = (pdf["bin"] >= 0) & (used[pdf["bin"] + 1] < FILLED * capacity) & (shards > 1)
+        # bins of full pieces are numbered after the others
+        pdf["home"], pdf["own"] = pdf["shard"], pdf["bin"].max() + 1 + np.cumsum(pdf["before"]) - pdf["before"]
+        return pdf
+
+    def second(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = _ordered(pdf)
+        pdf["bin"], pdf["shard"] = _bins(pdf, capacity), shards + pdf["shard"] // TOGETHER
+        return pdf
+
+    schema = StructType([*slim.schema, StructField("bin", LongType()), StructField("open", BooleanType()), StructField("home", IntegerType()), StructField("own", LongType())])
+    packed = materialize(slim.groupBy("shard").applyInPandas(first, schema), "first")
+    again = packed.where("open").groupBy(F.floor(F.col("shard") / TOGETHER)).applyInPandas(second, schema)
+    packed = packed.where("not open").unionByName(again)
+    piece = F.posexplode(F.sequence(F.lit(0), F.col("before"))).alias("piece", "at")
+    packed = packed.select("*", piece)
+    last = F.col("piece") == F.col("before")
+    return packed.select(
+        F.expr("if(no_id, null, doc_id)").alias("doc_id"), "rid", "piece", (F.col("before") + 1).alias("pieces"), (F.col("piece") * F.lit(capacity).cast("long")).alias("start"),
+        F.when(last, F.col("last")).otherwise(F.lit(capacity).cast("long")).alias("length"), F.when(last, F.col("shard")).otherwise(F.col("home")).alias("shard"), F.when(last, F.col("bin")).otherwise(F.col("own") + F.col("piece")).alias("bin"), "source", F.expr("if(no_cluster, null, cluster)").alias("cluster"),
+    )
 
 
 def op10_best_fit_packing(spark, sf_dir: str) -> DataFrame:

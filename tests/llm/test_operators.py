@@ -328,6 +328,37 @@ def test_bins_hold_whole_documents_without_conflicts(spark, sf_dir):
         assert g["start"].tolist() == [0, *np.cumsum(g["length"])[:-1].tolist()] and len(g) == g["pieces"].iloc[0]
 
 
+def test_second_pass_brings_shards_together(spark):
+    """Many small shards leave part-empty bins; the second pass takes them up, and bins come near those of one shard."""
+    rng = np.random.default_rng(4)
+    rows = [(i, f"s{rng.integers(0, 300)}", " ".join(f"w{i}" for _ in range(int(rng.integers(1, 60))))) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    bins = {}
+    for shard_rows in (30, 10_000):
+        got = packing.pack(docs, 100, shard_rows=shard_rows).toPandas()
+        per = got.groupby(["shard", "bin"])
+        assert (per["length"].sum() <= 100).all() and not got.duplicated(["shard", "bin", "source"]).any() and not got.duplicated(["shard", "bin", "cluster"]).any()
+        assert got.groupby("doc_id")["length"].sum().to_dict() == {i: len(t.split()) for i, _, t in rows}
+        bins[shard_rows] = per.ngroups
+    whole = sorted(([len(t.split()), c, s, 0] for c, (_, s, t) in enumerate(rows)), reverse=True)
+    assert bins[10_000] <= bins[30] <= 1.03 * bins[10_000] and bins[10_000] >= sum(x[0] for x in whole) / 100
+
+
+def test_packing_does_not_depend_on_layout(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    one, other = (packing.pack(d, 512, shard_rows=40).drop("rid").toPandas() for d in (docs, docs.repartition(5, "text")))
+    assert table(one) == table(other)
+
+
+def test_packing_against_brute_force(spark, sf_dir):
+    """All bins of one shard, by the plain search over documents in the stated order."""
+    rows = packing.pack(read(spark, sf_dir, "documents"), 2048).toPandas()
+    last = rows[(rows.piece == rows.pieces - 1) & (rows["bin"] >= 0)]
+    hashes = {r.doc_id: r.h for r in read(spark, sf_dir, "documents").select("doc_id", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    order = last.assign(h=last.doc_id.map(hashes)).sort_values(["length", "cluster", "source", "h"], ascending=[False, True, True, True])
+    assert order["bin"].tolist() == brute_best_fit(order["length"], order["source"], order["cluster"].rank(method="dense"), 2048)
+
+
 def test_word_hashes_depend_on_the_word_alone():
     import pyarrow as pa
 
