@@ -1,4 +1,4 @@
-"""Secret scans: regular expressions, and a character convolutional network over every other candidate."""
+"""Secret scans: regular expressions, and a character convolutional network over every candidate, the rules' spans included."""
 
 from __future__ import annotations
 
@@ -17,15 +17,15 @@ KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-#: What the network judges: long runs of the characters that keys are made of, with a digit among them.
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_DIGIT = re.compile(r"[0-9]")
+#: What the network judges beside the rules' spans: runs of the characters that keys are made of. Words are not among them, nor words joined by signs.
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{10,}")
+_WORDS = re.compile(r"[-+/_=]*(?:[A-Za-z]?[a-z]*|[A-Z]+)(?:[-+/_=]+(?:[A-Za-z]?[a-z]*|[A-Z]+))*")
 
 #: Characters of a window and of context on either side; longer candidates are read in overlapping windows.
 WINDOW, CONTEXT = 96, 24
 RECALL = 0.98
-#: Documents whose findings train the network beside the generated ones, whichever hash first.
-SAMPLE_DOCS = 400
+#: Documents whose findings train the network beside the generated ones, whichever hash first, and findings of theirs at most.
+SAMPLE_DOCS, SAMPLE_FINDINGS = 400, 4000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -44,13 +44,18 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
         reach.append(far)
     out = []
     for m in _CANDIDATE.finditer(text):
-        if _DIGIT.search(text, m.start(), m.end()):
+        if not _WORDS.fullmatch(text, m.start(), m.end()):
             i = bisect.bisect_left(starts, m.end())  # spans that begin before the run ends
             if not i or reach[i - 1] <= m.start():
                 out.append(m.span())
     return out
 
 
+def plainly_none(run: str) -> bool:
+    """Whether a run is surely no secret: words and short numbers joined by signs, or at most three different characters."""
+    return len(set(run)) <= 3 or all(p.isalpha() and p[1:].islower() or p.isdigit() and len(p) <= 8 for p in re.split(r"[-+/_=]+", run) if p)
+
+
 def windows(text: str, start: int, end: int) -> np.ndarray:
     """Character codes of the candidate in its context, by windows of WINDOW; codes of the candidate itself are marked by 128."""
     rows, body = [], WINDOW - 2 * CONTEXT
@@ -132,14 +137,26 @@ class CharCNN:
     def probability(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.scale * z + self.shift)))
 
+    def span_logits(self, rows: list[np.ndarray]) -> np.ndarray:
+        """The logit of each span, given its windows: that of the window most like a secret. The threshold is calibrated on this."""
+        if not rows:
+            return np.zeros(0)
+        starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]])
+        return np.maximum.reduceat(self.logits(np.concatenate(rows)), starts)
+
+    def fit_spans(self, rows: list[np.ndarray], y: np.ndarray, rounds: int = 2) -> CharCNN:
+        """Fit on spans of several windows. A span that is none teaches by all its windows; one that is a secret by the window the network now finds the likeliest, first by all."""
+        none = [r for r, label in zip(rows, y, strict=True) if not label]
+        some = [r for r, label in zip(rows, y, strict=True) if label]
+        for _ in range(rounds):
+            x = np.concatenate([*none, *some])
+            self.fit(x, np.repeat([0.0, 1.0], [sum(map(len, none)), sum(map(len, some))]), epochs=10 // rounds)
+            some = [r[[int(self.logits(r).argmax())]] for r in some]
+        return self
+
     def finds(self, text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-        """Of each span, whether a window of it reaches the threshold."""
-        if not spans:
-            return np.zeros(0, bool)
-        rows = [windows(text, a, b) for a, b in spans]
-        p = self.probability(self.logits(np.concatenate(rows)))
-        ends = np.cumsum([len(r) for r in rows])
-        return np.maximum.reduceat(p, np.concatenate([[0], ends[:-1]])) >= self.threshold
+        """The calibrated probability of each span to be a secret."""
+        return self.probability(self.span_logits([windows(text, a, b) for a, b in spans]))
 
 
 def generated_findings(n: int = 1500, seed: int = 3) -> list[tuple[str, int, int, int]]:
@@ -173,47 +190,77 @@ def generated_findings(n: int = 1500, seed: int = 3) -> list[tuple[str, int, int
     return out
 
 
+def _sampled(docs: DataFrame, sample: int) -> list:
+    """(windows, label) of labelled findings in the rows of `sample` doc_ids, whichever hash first, SAMPLE_FINDINGS at most.
+
+    Labelled 1 are the rules' spans, 0 the runs that are plainly none; other runs have no label and take no part, as
+    they may be secrets that the rules miss. Findings are cut out on the executors, so what comes to the
+    driver is bounded, however often a doc_id is repeated and however long texts are.
+    """
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("text").rlike(r"[A-Za-z0-9+/_=-]{10,}"))
+    chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for text in b.column(1).to_pylist():
+                spans = base_spans(text)
+                found = [(windows(text, s, e), 1) for s, _, e in spans]
+                found += [(windows(text, s, e), 0) for s, e in candidates(text, spans) if plainly_none(text[s:e])]
+                # at most 64 windows of a finding; all of them unless it has over 3,000 characters
+                out += [(w[:64].astype(np.uint8).tobytes(), y) for w, y in found]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.binary()), pa.array([y for _, y in out], pa.int32())], names=["windows", "label"])
+
+    found = rows.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(cut, "windows binary, label int").distinct()
+    return found.orderBy(F.xxhash64("windows"), "windows", "label").limit(SAMPLE_FINDINGS).collect()
+
+
 def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> CharCNN:
-    """A network from generated findings and those of `sample` documents: runs that a rule's span covers are secrets, the others are not."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("text").rlike(r"[A-Za-z0-9+/_=-]{16,}"))
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    found = [(t, a, b, y) for t, a, b, y in generated_findings()]
-    for r in sorted(rows.join(F.broadcast(chosen), "doc_id").collect(), key=lambda r: (r.doc_id, r.text)):
-        spans = base_spans(r.text)
-        found += [(r.text, a, b, 0) for a, b in candidates(r.text, spans)]
-        found += [(r.text, s, e, 1) for s, _, e in spans]
-    codes = [(windows(t, a, b)[0], y) for t, a, b, y in found]
-    x, y = np.stack([c for c, _ in codes]), np.array([v for _, v in codes], float)
-    kept = np.random.default_rng(1).random(len(y)) < 0.75
-    net = CharCNN().fit(x[kept], y[kept])
-    return net.calibrate(net.logits(x[~kept]), y[~kept])
+    """A network from generated findings and those of `sample` documents, with a threshold that a RECALL of held-out generated secrets, which no rule finds, reaches."""
+    made = [(windows(t, a, b), y) for t, a, b, y in generated_findings()]
+    kept = np.random.default_rng(1).random(len(made)) < 0.75
+    found = [(np.frombuffer(r.windows, np.uint8).reshape(-1, WINDOW).astype(np.int64), r.label) for r in _sampled(docs, sample)]
+    teach = [x for x, k in zip(made, kept, strict=True) if k] + found
+    net = CharCNN().fit_spans([w for w, _ in teach], np.array([y for _, y in teach]))
+    held = [x for x, k in zip(made, kept, strict=True) if not k]
+    return net.calibrate(net.span_logits([w for w, _ in held]), np.array([y for _, y in held], float))
 
 
 def _joined(spans: list[tuple[int, int, int]], kinds: tuple[str, ...]) -> str:
     return ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan_texts(texts, net: CharCNN | None) -> list[tuple[int, int, int, str, str]]:
-    """(n_assign, n_access, n_hex, base_sha256, spans) of each text; null counts as empty."""
-    out, kinds = [], (*KINDS, "model")
+def scan_texts(texts, net: CharCNN | None) -> list[tuple[int, int, int, str, str, list[float]]]:
+    """(n_assign, n_access, n_hex, base_sha256, spans, scores) of each text; null counts as empty. The network sees the spans of all texts together."""
+    out, kinds, asked = [], (*KINDS, "model"), []
     for text in texts:
-        text = text or ""
-        base = base_spans(text)
-        n = [0, 0, 0]
-        for _, k, _ in base:
-            n[k] += 1
-        runs = candidates(text, base) if net is not None else []
-        more = [(a, 3, b) for (a, b), yes in zip(runs, net.finds(text, runs), strict=True) if yes] if runs else []
-        out.append((*n, hashlib.sha256(_joined(base, kinds).encode()).hexdigest(), _joined(sorted(base + more), kinds)))
+        base = base_spans(text or "")
+        more = [(s, 3, e) for s, e in candidates(text, base)] if net is not None and text else []
+        asked.append((base, more))
+    p = np.zeros(0)
+    if net is not None:
+        p = net.probability(net.span_logits([windows(t, s, e) for t, (base, more) in zip(texts, asked, strict=True) for s, _, e in base + more]))
+    at = 0
+    for base, more in asked:
+        both = base + more
+        mine = p[at : at + len(both)] if net is not None else np.full(len(both), np.nan)
+        at += len(both)
+        kept = sorted((span, float(x)) for i, (span, x) in enumerate(zip(both, mine, strict=True)) if i < len(base) or x >= net.threshold)
+        n = [sum(k == j for _, k, _ in base) for j in range(3)]
+        out.append((*n, hashlib.sha256(_joined(base, kinds).encode()).hexdigest(), _joined([x for x, _ in kept], kinds), [x for _, x in kept]))
     return out
 
 
 def secret_scan(docs: DataFrame, net: CharCNN | None = None) -> DataFrame:
-    """Spans of secrets in every whole text: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+    """Spans of secrets in every whole text: doc_id, n_assign, n_access, n_hex, base_sha256, spans, scores.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind (assign, access, hex,
-    model); those of kind model are candidates outside the rules' spans that the network takes for
-    secrets. Null and empty texts have none. Repeated rows are each scanned; other columns are ignored.
+    model). The network scores every candidate in its context, the rules' spans as well: scores has each span's
+    probability. The rules' spans stay at any score; those of kind model are the others that reach the calibrated threshold. Candidates
+    outside the rules are runs of ten or more key characters that are not words.
+
+    Null and empty texts have none. Very long texts and candidates are scanned whole, in overlapping windows. Repeated rows
+    are each scanned, with equal results. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -221,15 +268,12 @@ def secret_scan(docs: DataFrame, net: CharCNN | None = None) -> DataFrame:
 
     def apply(batches):
         for b in batches:
-            found = list(zip(*scan_texts(b.column(1).to_pylist(), held.value), strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in found[:3]), *(pa.array(x, pa.string()) for x in found[3:])], names=names)
-
-    schema = docs.select("doc_id").schema
-    for c in ("n_assign", "n_access", "n_hex"):
-        schema = schema.add(c, "long")
-    schema = schema.add("base_sha256", "string").add("spans", "string")
-    names = schema.names
-    return docs.select("doc_id", "text").mapInArrow(apply, schema)
+            found = list(zip(*scan_texts(b.column(1).to_pylist(), held.value), strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in found[:3]), *(pa.array(x, pa.string()) for x in found[3:5]), pa.array(found[5], pa.list_(pa.float64()))], names=names)
+
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, scores array<double>"
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "scores"]
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(apply, schema)
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
