@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import read, text_slices, tune, word_hashes
 
-#: Labelled documents that training takes at most, chosen by a hash of doc_id; whole texts come to the driver, some 3 kB each.
-SAMPLE_DOCS = 3000
+#: Labelled documents that training takes at most, in the order of a hash of doc_id, and the bytes of their whole texts, which come to the driver.
+SAMPLE_DOCS, SAMPLE_BYTES = 3000, 48 << 20
 BUCKET_BITS, DIM, EPOCHS, RATE = 17, 16, 6, 1.0
 THRESHOLD = 0.3
 _BUCKETS = 1 << BUCKET_BITS
@@ -103,12 +103,34 @@ def score_column(column, weights: np.ndarray, bias: float) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Subwords:
-    """A model from at most `sample` labelled rows, whichever hash first; null labels and unlabelled texts take no part, and of a doc_id's several labels the highest counts."""
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> list:
+    """(doc_id, text, quality) of at most `most` labelled documents and `most_bytes` of text, in the order of doc_id's hash.
+
+    Null labels and unlabelled texts take no part, and of a doc_id's several labels the highest counts. Of several rows
+    of one doc_id one is taken, that of the least hash, so repeated ids bring no more to the driver. A text that would pass the
+    bound of bytes ends the sample.
+    """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
+    chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    texts = texts.withColumn("h", F.xxhash64("text")).withColumn("size", F.octet_length("text"))
+    one = texts.groupBy("doc_id").agg(F.min(F.struct("h", "size")).alias("one"))
+    sizes, ids = 0, []
+    for r in one.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "one.h", "one.size").collect():  # `most` rows at most
+        sizes += r.size
+        if sizes > most_bytes:
+            break
+        ids.append((r.doc_id, r.h))
+    if not ids:
+        return []
+    picked = docs.sparkSession.createDataFrame(ids, "doc_id long, h long")
+    rows = texts.join(F.broadcast(picked), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "text", "quality").collect()
+    return sorted(rows, key=lambda r: r.doc_id)
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> Subwords:
+    """A model from the sample of labelled documents."""
+    rows = sample(docs, labels, most)
     return Subwords().fit([bag(r.text) for r in rows], np.array([int(r.quality > 0) for r in rows], np.int64))
 
 
@@ -136,7 +158,8 @@ def held_out(doc_id):
 def quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Scores for all documents by a model of the labels' training rows (those not held out).
 
-    Without usable labels every score is 0.5. Repeated rows, ties and extra columns have no effect on a row's score.
+    Without usable labels every score is 0.5. Null and empty texts get the score of no evidence, very long ones are scored
+    whole. Repeated rows, ties and extra columns have no effect on a row's score. An empty table gives no rows.
     """
     model = train(docs, labels.where(~held_out(F.col("doc_id"))))
     return score(docs, model, ["doc_id"] if keep is None else keep)

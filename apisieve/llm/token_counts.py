@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +37,11 @@ def revisions(before: DataFrame, after: DataFrame) -> DataFrame:
 class Rollup:
     """Totals of documents and tokens by source, language and tokenizer version in a folder of any Hadoop file system.
 
-    Every commit writes a whole new version (v=N/totals and v=N/batches, the ids of all batches so far)
-    and then creates v=N/DONE without overwriting, which publishes it: a version without DONE is not read,
-    and is written anew after a crash. A batch id that is already among the batches changes nothing, so
-    deliveries may be repeated. Totals add up, so a commit reads the last totals and the batch, not the documents.
+    A commit writes a whole new version of the totals to a folder of its own, w=<unique>/totals, and its batch id to w=<unique>/batch, and then
+    creates the file DONE-N, whose text names that folder, without overwriting. That publishes version N: of two
+    committers at once one creates it, and the other starts over from what the first has published. Folders that
+    no DONE names are not read. Batch ids of all versions together are those that were applied; one among them
+    changes nothing, so deliveries may be repeated. Totals add up, so a commit reads the last totals and the batch, not the documents.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -46,43 +49,85 @@ class Rollup:
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def version(self) -> int:
-        """The last published version, 0 before any."""
+    def _published(self) -> dict[int, str]:
+        """Versions and the folders that hold them."""
         if not self._fs.exists(self._path(self.folder)):
-            return 0
+            return {}
         names = [x.getPath().getName() for x in self._fs.listStatus(self._path(self.folder))]
-        done = [int(n[2:]) for n in names if n.startswith("v=") and self._fs.exists(self._path(f"{self.folder}/{n}/DONE"))]
-        return max(done, default=0)
+        return {int(n[5:]): self._text(f"{self.folder}/{n}") for n in names if n.startswith("DONE-")}
+
+    def _text(self, path: str) -> str:
+        stream = self._fs.open(self._path(path))
+        try:
+            return stream.readUTF()
+        finally:
+            stream.close()
+
+    def _write(self, path: str, text: str) -> None:
+        """Create the file; fails if it is there."""
+        stream = self._fs.create(self._path(path), False)
+        try:
+            stream.writeUTF(text)
+        finally:
+            stream.close()
+
+    def version(self) -> int:
+        """The last published version, 0 before any."""
+        return max(self._published(), default=0)
 
     def totals(self, version: int | None = None) -> DataFrame:
-        v = self.version() if version is None else version
-        return self.spark.read.schema(TOTALS_SCHEMA).parquet(f"{self.folder}/v={v}/totals") if v else self.spark.createDataFrame([], TOTALS_SCHEMA)
+        done = self._published()
+        v = max(done, default=0) if version is None else version
+        return self.spark.read.schema(TOTALS_SCHEMA).parquet(f"{self.folder}/{done[v]}/totals") if v else self.spark.createDataFrame([], TOTALS_SCHEMA)
 
-    def batches(self) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema("batch_id string").parquet(f"{self.folder}/v={v}/batches") if v else self.spark.createDataFrame([], "batch_id string")
+    def batches(self) -> list[str]:
+        """Ids of all batches applied, in their order."""
+        return [self._text(f"{self.folder}/{where}/batch") for _, where in sorted(self._published().items())]
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Apply a batch of signed deltas; False if it was applied before.
 
         Deltas are summed per task before the shuffle, so a hot source is one row per task. Keys may be
-        null, each null a key of its own. Groups whose totals come to nothing are dropped.
+        null, each null a key of its own. Repeated rows count each. Groups whose totals come to nothing are dropped. An
+        empty batch makes a version with the same totals. Other columns than the keys, d_docs and d_tokens are ignored.
         """
-        v, known = self.version(), self.batches()
-        if not known.where(F.col("batch_id") == batch_id).isEmpty():
-            return False
-        old = self.totals().select(*KEYS, F.col("n_docs").alias("d_docs"), F.col("n_tokens").alias("d_tokens"))
+        while True:
+            if batch_id in self.batches():
+                return False
+            v = self.version()
+            where = self.prepare(batch_id, deltas, v)
+            if self.publish(where, v + 1):
+                return True
+
+    def prepare(self, batch_id: str, deltas: DataFrame, version: int) -> str:
+        """Write what the batch makes of a version's totals to a new folder, whose name it returns."""
+        old = self.totals(version).select(*KEYS, F.col("n_docs").alias("d_docs"), F.col("n_tokens").alias("d_tokens"))
         new = old.unionByName(deltas.select(*KEYS, "d_docs", "d_tokens")).groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
-        where = f"{self.folder}/v={v + 1}"
-        new.where("n_docs <> 0 or n_tokens <> 0").write.mode("overwrite").parquet(f"{where}/totals")
-        known.unionByName(self.spark.createDataFrame([(batch_id,)], "batch_id string")).write.mode("overwrite").parquet(f"{where}/batches")
-        self._fs.create(self._path(f"{where}/DONE"), False).close()
+        where = f"w={uuid.uuid4().hex}"
+        new.where("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{self.folder}/{where}/totals")
+        self._write(f"{self.folder}/{where}/batch", batch_id)
+        return where
+
+    def publish(self, where: str, version: int) -> bool:
+        """Make the folder that version, unless another has."""
+        if version in self._published():
+            return False
+        try:
+            self._write(f"{self.folder}/DONE-{version}", where)
+        except Exception:  # the file system's error for a file that is there, whatever its name
+            if version in self._published():
+                return False
+            raise
         return True
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
     """Totals after four deliveries over all documents: all inserted with words-1; those not in English
-    revised to words-2; that batch once more; texts of under 20 words deleted."""
+    revised to words-2; that batch once more; texts of under 20 words deleted.
+
+    Null and empty texts count no tokens, so they are among the deleted. Null sources and languages are keys of their
+    own. Very long texts are counted whole, repeated rows each. An empty table gives no rows. Other columns are ignored.
+    """
     docs = read(spark, sf_dir, "documents")
     counts = materialize(docs.select("source", "lang", *[count_tokens(F.col("text"), v).alias(v) for v in TOKENIZERS]), "counts")
     of = lambda rows, v: rows.select("source", "lang", F.lit(v).alias("tokenizer_version"), F.col(v).alias("n_tokens"))

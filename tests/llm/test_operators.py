@@ -232,6 +232,29 @@ def test_rollup_is_idempotent(spark):
     assert [tuple(x)[3:] for x in r.totals(1).orderBy("n_docs").collect()] == [(1, 1), (2, 12)] and r.version() == 3
 
 
+def test_two_committers_at_once(spark):
+    """Both read version 1; what the first has published stays, and the other starts over from it."""
+    r = token_counts.Rollup(spark, scratch_path(spark, "test-rollup"))
+    rows = lambda n: token_counts.inserts(spark.createDataFrame([("a", "en", "v", n)], "source string, lang string, tokenizer_version string, n_tokens long"))
+    r.commit("0", rows(1))
+    first, second = r.prepare("1", rows(10), 1), r.prepare("2", rows(100), 1)
+    assert r.publish(second, 2) and not r.publish(first, 2)
+    assert [tuple(x)[3:] for x in r.totals().collect()] == [(2, 101)] and r.batches() == ["0", "2"]
+    assert r.commit("1", rows(10)) and [tuple(x)[3:] for x in r.totals().collect()] == [(3, 111)]
+    assert r.commit("none", rows(1).limit(0)) and r.version() == 4 and [tuple(x)[3:] for x in r.totals().collect()] == [(3, 111)]
+    assert r.commit("twice", token_counts.deletes(spark.createDataFrame([("a", "en", "v", 1)] * 2, "source string, lang string, tokenizer_version string, n_tokens long")))
+    assert [tuple(x)[3:] for x in r.totals().collect()] == [(1, 109)]
+
+
+def test_quality_sample_is_bounded(spark):
+    """One doc_id on very many rows brings one text to the driver, and bytes are bounded too."""
+    rows = spark.range(100_000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(3, 1), (4, 0), (5, 1)], "doc_id long, quality int")
+    more = spark.createDataFrame([(4, "x" * 1000), (5, None)], "doc_id long, text string")
+    assert [r.doc_id for r in quality.sample(rows.union(more), labels)] == [3, 4, 5]
+    assert sum(len(r.text) for r in quality.sample(rows.union(more), labels, most_bytes=900)) <= 900
+
+
 def test_fuse_filter():
     keys = np.random.default_rng(1).integers(0, 2**64, 20_000, dtype=np.uint64)
     made = fuse.BinaryFuse.from_row(*fuse.BinaryFuse.build(keys).to_row())
