@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read, scratch_path, text_bytes, tune
 
-#: Input bytes (as stored) of one output file.
-FILE_BYTES = 32 << 20
+#: Input bytes (as stored) of one output file, bytes of a stripe as the writer counts them, and rows of an entry of the row index.
+FILE_BYTES, STRIPE_BYTES, STRIDE = 24 << 20, 8 << 20, 2000
 #: Words whose ids a Python worker remembers; beyond, it starts over.
 CACHE_WORDS = 900_000
 
@@ -26,18 +27,40 @@ _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{
 _OTHER = re.compile(r"[^\x09-\x0d\x20-\x7e\xa0-\xff]|<\|")
 
 
+#: The normalizer and pre-tokenizer that the above is made for, as the tokenizer's JSON states them (fixed values).
+_CUTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def cuts_words(tokenizer_json: str) -> bool:
+    """Whether the tokenizer cuts text as WordEncoder does: the same normalizer and pre-tokenizer, nothing after, special tokens in <| only, and no dropout."""
+    made = json.loads(tokenizer_json)
+    special = all(t["content"].startswith("<|") for t in made.get("added_tokens") or [])
+    return special and made["model"].get("type") == "BPE" and not made["model"].get("dropout") and all(made.get(k) == v for k, v in _CUTS.items())
+
+
 class WordEncoder(dict):
-    """Ids of texts under a tokenizer that cuts lower-case words before byte-pair encoding.
+    """Ids of texts under any tokenizer; under one that cuts lower-case words before byte-pair encoding, word by word.
 
-    Encoding a word apart from its neighbours gives the same ids as within the text, so each distinct word
-    is encoded once by the library's model and remembered: the texts repeat most of their words.
+    There, encoding a word apart from its neighbours gives the same ids as within the text, so each distinct word
+    is encoded once by the library's model and remembered: the texts repeat most of their words. Under
+    other tokenizers the library encodes whole texts.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.model = self.tokenizer.model
+        self.model, self.by_words = self.tokenizer.model, cuts_words(tokenizer_json)
         shown = [*range(33, 127), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -55,7 +78,7 @@ class WordEncoder(dict):
         return n
 
     def encode(self, text: str) -> np.ndarray:
-        if _OTHER.search(text):
+        if not self.by_words or _OTHER.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(self) > CACHE_WORDS:
             self._reset()
@@ -73,13 +96,16 @@ class WordEncoder(dict):
 _ENCODERS: dict[int, WordEncoder] = {}
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2) -> None:
+def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, files: int | None = None, stripe_bytes: int = STRIPE_BYTES, stride: int = STRIDE) -> None:
     """Encode docs (doc_id, text) and write ORC files to path, in ascending doc_id order (null last) over the files' part numbers.
 
     Columns: part (the file's number), local_start (ids before the row in its file), doc_id, ids (with the
     end id). Rows are dealt by ranges of doc_id and, within one doc_id, of the text's hash, so repeated ids
-    do not land in one task. ids are written as ORC integers (run-length encoded), a stripe holds some 64 MB,
-    a row index entry 2000 rows; doc_id has a Bloom filter per entry.
+    do not land in one task. ids are written as ORC integers (run-length encoded); a file has stripes of some stripe_bytes,
+    which are read in parallel, a row index entry holds `stride` rows, and doc_id has a Bloom filter per entry.
+
+    Null and empty texts have the end id alone. Very long texts are encoded whole, one row each. An empty table makes files
+    without rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -87,7 +113,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
         held = spark.sparkContext.broadcast(f.read())
     text = F.coalesce("text", F.lit(""))
     order = [F.col("doc_id").asc_nulls_last(), F.col("h").asc()]
-    n = max(2, -(-text_bytes(docs) // FILE_BYTES))
+    n = files or max(2, -(-text_bytes(docs) // FILE_BYTES))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h")).repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def encode(batches):
@@ -106,7 +132,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
 
     schema = "part int, local_start long, doc_id long, ids array<int>"
     writer = rows.mapInArrow(encode, schema).write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
-    writer.option("orc.row.index.stride", "2000").option("orc.create.index", "true").option("orc.stripe.size", str(64 << 20)).option("compression", "zstd").orc(path)
+    writer.option("orc.row.index.stride", str(stride)).option("orc.create.index", "true").option("orc.stripe.size", str(stripe_bytes)).option("compression", "zstd").orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -136,7 +162,7 @@ def op2_token_output(spark, sf_dir: str) -> DataFrame:
     """All documents' ids through ORC files and back.
 
     Null texts are empty and have the end id alone; repeated doc_ids follow one another by their texts'
-    hashes; an empty table makes no rows.
+    hashes; very long texts are encoded whole; an empty table makes no rows; other columns are ignored.
     """
     import public_tokenizers
 

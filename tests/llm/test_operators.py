@@ -54,11 +54,36 @@ def test_tokens_round_trip(spark, sf_dir, tmp_path):
     assert "PushedFilters" in plan and "doc_id" in plan[plan.index("PushedFilters") :]
 
 
-def test_word_encoder_is_the_library():
+def test_stripes_and_bloom_filters(spark, tmp_path):
+    """Files have several stripes; an id within the statistics' range that no row has is ruled out by Bloom filters alone, and one that is there costs one index entry a file."""
+    import public_tokenizers
+    from pyarrow import orc
+
+    docs = spark.range(12_000).select((F.col("id") * 2).alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    path = tmp_path / "orc"
+    token_output.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), str(path), files=2, stripe_bytes=1 << 16, stride=1000)
+    files = [orc.ORCFile(str(f)) for f in sorted(path.glob("*.orc"))]
+    assert len(files) == 2 and all(f.nstripes >= 2 and f.row_index_stride == 1000 for f in files) and sum(f.nrows for f in files) == 12_000
+    stripes = [f.read_stripe(i, columns=["doc_id"]).column("doc_id").to_pylist() for f in files for i in range(f.nstripes)]
+    assert [x for s in stripes for x in s] == list(range(0, 24_000, 2))
+
+    def rows_read(doc_id):
+        found = token_output.read_tokens(spark, str(path), [doc_id])
+        n = len(found.collect())
+        leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return n, leaf.metrics().apply("numOutputRows").value()
+
+    assert rows_read(7000) == (1, 1000)
+    absent = [rows_read(i) for i in (3001, 9001, 15001, 21001)]
+    assert all(n == 0 for n, _ in absent) and sum(read for _, read in absent) <= 1000  # a false positive in a hundred entries
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_word_encoder_is_the_library(name):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    name = public_tokenizers.path("word_bpe_49k.json")
+    name = public_tokenizers.path(name)
     with open(name, encoding="utf-8") as f:
         coder = token_output.WordEncoder(f.read())
     library = Tokenizer.from_file(name)
