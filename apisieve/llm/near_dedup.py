@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
+import zlib
 from collections import OrderedDict
 
 import numpy as np
@@ -32,6 +33,8 @@ RARE, LEAST_IDF = 0.05, 0.25
 CELLS, DEPTH = 1 << 18, 2
 #: Entries of the sampler's pool, and bytes of shingle bags that a task which compares texts remembers.
 _CHUNK, _POOL_BITS, _CACHE_BYTES = 8192, 13, 24 << 20
+#: The size of the Bloom filter of texts that are compared at all: 2^26 bits, 8 MB, at every size of the table.
+_SCREEN_BITS = 26
 
 
 def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,17 +245,18 @@ def _link(rows: DataFrame, groups: DataFrame, held, similarity: float) -> DataFr
     shared = bucketed.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     u = F.pmod(F.xxhash64("node", F.lit(23)), F.lit(1 << 40)) / float(1 << 40)
     members = materialize(bucketed.join(shared, "bucket").select("bucket", "m", "node", "weight", u.alias("u")), "members")
-    texts = rows.select("rid", "text").join(members.select("node").distinct(), F.col("rid") == F.col("node"), "left_semi")
-    texts = materialize(texts, "rep-texts")
+    nodes = materialize(members.select("node").distinct(), "nodes")
+    some = _screened(rows.select("rid", "text"), nodes).mapInArrow(_packed, "rid long, text binary")
+    texts = materialize(some.join(nodes, F.col("rid") == F.col("node"), "left_semi"), "rep-texts")
     component = rows.sparkSession.createDataFrame([], "node long, component long")
 
     def verify(batches):
         df, seen, held_bytes = held.value, OrderedDict(), 0
 
-        def bag(node: int, text: str):
+        def bag(node: int, packed: bytes):
             nonlocal held_bytes
             if node not in seen:
-                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                data = np.frombuffer(zlib.decompress(packed), np.uint8)
                 items, counts, _ = shingles(data, np.array([0, len(data)]))
                 seen[node] = (items, df.weights(items, counts))
                 held_bytes += 16 * len(items)
@@ -280,7 +284,7 @@ def _link(rows: DataFrame, groups: DataFrame, held, similarity: float) -> DataFr
     def explode(batches):
         df = held.value
         for b in batches:
-            for row, data, at in text_slices(b.column(1)):
+            for row, data, at in text_slices(pa.array([zlib.decompress(x) for x in b.column(1).to_pylist()]).cast(pa.large_string())):
                 items, counts, starts = shingles(data, at)
                 nodes = np.repeat(b.column(0)[row : row + len(at) - 1].to_numpy(), np.diff(starts))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(items.view(np.int64)), pa.array(df.weights(items, counts))], names=["node", "item", "w"])
@@ -320,6 +324,33 @@ def _link(rows: DataFrame, groups: DataFrame, held, similarity: float) -> DataFr
     return component
 
 
+def _packed(batches):
+    """Compressed texts: they go through several shuffles, and twice as fast this way."""
+    for b in batches:
+        column = b.column(1).cast(pa.large_binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress(x, 1) for x in column.to_pylist()], pa.binary())], names=["rid", "text"])
+
+
+def _screened(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows whose rid may be among the nodes, by a Bloom filter of 2^_SCREEN_BITS bits, whatever the number of nodes: so texts that no
+    bucket pairs with another are not shuffled. What passes by chance is left to the join."""
+    spots = lambda c: [F.shiftrightunsigned(F.xxhash64(c, F.lit(seed)), 64 - _SCREEN_BITS) for seed in (3, 5)]
+    words = nodes.select(F.explode(F.array(*spots("node"))).alias("spot")).groupBy(F.shiftright("spot", 6).alias("word"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 AS int))")).alias("bits")).toArrow()
+    table = np.zeros(1 << (_SCREEN_BITS - 6), np.uint64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    held = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may(a: pd.Series, b: pd.Series) -> pd.Series:
+        hit = np.ones(len(a), bool)
+        for spot in (a.to_numpy(), b.to_numpy()):
+            hit &= (held.value[spot >> 6] >> (spot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return pd.Series(hit)
+
+    return rows.where(may(*spots("rid")))
+
+
 def _joined(component: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) after further links (a, b): components of the graph whose nodes are the classes so far, so old links aren't gone through again."""
     of = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"class_{c}"))
