@@ -246,8 +246,7 @@ def _link(rows: DataFrame, groups: DataFrame, held, similarity: float) -> DataFr
     u = F.pmod(F.xxhash64("node", F.lit(23)), F.lit(1 << 40)) / float(1 << 40)
     members = materialize(bucketed.join(shared, "bucket").select("bucket", "m", "node", "weight", u.alias("u")), "members")
     nodes = materialize(members.select("node").distinct(), "nodes")
-    some = _screened(rows.select("rid", "text"), nodes).mapInArrow(_packed, "rid long, text binary")
-    texts = materialize(some.join(nodes, F.col("rid") == F.col("node"), "left_semi"), "rep-texts")
+    texts = materialize(_screened(rows, nodes).join(nodes, F.col("rid") == F.col("node"), "left_semi"), "rep-texts")
     component = rows.sparkSession.createDataFrame([], "node long, component long")
 
     def verify(batches):
@@ -324,16 +323,10 @@ def _link(rows: DataFrame, groups: DataFrame, held, similarity: float) -> DataFr
     return component
 
 
-def _packed(batches):
-    """Compressed texts: they go through several shuffles, and twice as fast this way."""
-    for b in batches:
-        column = b.column(1).cast(pa.large_binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress(x, 1) for x in column.to_pylist()], pa.binary())], names=["rid", "text"])
-
-
 def _screened(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows whose rid may be among the nodes, by a Bloom filter of 2^_SCREEN_BITS bits, whatever the number of nodes: so texts that no
-    bucket pairs with another are not shuffled. What passes by chance is left to the join."""
+    """(rid, text) of rows whose rid may be among the nodes, by a Bloom filter of 2^_SCREEN_BITS bits, whatever the number of nodes: so texts
+    that no bucket pairs with another are not shuffled. What passes by chance is left to the join. Texts are
+    compressed, as they go through several shuffles."""
     spots = lambda c: [F.shiftrightunsigned(F.xxhash64(c, F.lit(seed)), 64 - _SCREEN_BITS) for seed in (3, 5)]
     words = nodes.select(F.explode(F.array(*spots("node"))).alias("spot")).groupBy(F.shiftright("spot", 6).alias("word"))
     words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 AS int))")).alias("bits")).toArrow()
@@ -341,14 +334,16 @@ def _screened(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     held = rows.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def may(a: pd.Series, b: pd.Series) -> pd.Series:
-        hit = np.ones(len(a), bool)
-        for spot in (a.to_numpy(), b.to_numpy()):
-            hit &= (held.value[spot >> 6] >> (spot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-        return pd.Series(hit)
-
-    return rows.where(may(*spots("rid")))
+    def pick(batches):
+        for b in batches:
+            hit = np.ones(b.num_rows, bool)
+            for spot in (b.column(2).to_numpy(), b.column(3).to_numpy()):
+                hit &= (held.value[spot >> 6] >> (spot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            some = b.select([0, 1]).filter(pa.array(hit))
+            packed = [zlib.compress(x, 1) for x in some.column(1).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(packed, pa.binary())], names=["rid", "text"])
+
+    return rows.select("rid", "text", *spots("rid")).mapInArrow(pick, "rid long, text binary")
 
 
 def _joined(component: DataFrame, links: DataFrame) -> DataFrame:
