@@ -166,7 +166,7 @@ def extract_literals(description: str, type_text: str) -> set[str]:
 
 # ------------------------------------------------------------- call order
 
-_NAME = r"(?::\w+:)?[`'\"]{0,2}([~\w][\w.~]*)[`'\"]{0,2}(?:\(\))?"
+_NAME = r"(?::\w+:)?[`'\"]{0,2}([~\w](?:[\w.~]*\w)?)[`'\"]{0,2}(?:\(\))?"
 
 
 def extract_called_after(function: str, description: str) -> tuple[list[str], str] | None:
