@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 
-
+#: Nodes of a weakly connected component that one task takes on whole; pairs of nodes and edges that a task takes on together, about.
+LOCAL_NODES, LOCAL_PAIRS, LOCAL_EDGES = 1000, 1_000_000, 200_000
 #: Rounds after which the tables of single rounds are written together, so that plans stay short.
 _TOGETHER = 8
 
@@ -30,11 +32,106 @@ def _grow(start: DataFrame, step) -> DataFrame:
             every = cut(every)
 
 
+def components(edges: DataFrame, save=cut) -> DataFrame:
+    """(node, component) of the undirected graph of edges (a, b); a component is its smallest node.
+
+    Every round takes the smallest label among neighbours and then the label's own label, so paths halve.
+    Sums before the shuffles keep a node with very many edges from gathering them in one task; the
+    joins that such a node skews are inner joins, which adaptive execution splits. Rounds end when no
+    label changes. Loops and repeated edges do no harm; no edges give no rows. save writes a round's table.
+    """
+    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct()
+    both = save(both)
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label"))
+    while True:
+        labels = save(labels)
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        lower = labels.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("low"))
+        lower = save(lower)
+        if lower.where("low < label").isEmpty():
+            return labels.select("node", F.col("label").alias("component"))
+        jump = lower.select(F.col("node").alias("of"), F.col("low").alias("further"))
+        labels = lower.join(jump, F.col("low") == F.col("of")).select("node", F.least("low", "further").alias("label"))
+
+
+def _parts(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges of components of LOCAL_NODES nodes or fewer, with a bucket of components that one task takes on together, and the other edges."""
+    of = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    sizes = of.groupBy("component").agg(F.count("*").alias("nodes"))
+    known = cut(edges.join(of, F.col("src") == F.col("node"), "left").withColumn("component", F.coalesce("component", "src")).select("src", "dst", "component"))
+    sizes = cut(known.groupBy("component").agg(F.count("*").alias("edges")).join(sizes, "component", "left").withColumn("nodes", F.coalesce("nodes", F.lit(1))))
+    small = (F.col("nodes") <= LOCAL_NODES) & (F.col("edges") <= LOCAL_EDGES)
+    work = sizes.where(small).agg(F.sum(F.greatest(F.col("nodes") * F.col("nodes") / LOCAL_PAIRS, F.col("edges") / LOCAL_EDGES))).first()[0] or 0
+    told = known.join(sizes.where(small).select("component", F.lit(True).alias("small")), "component", "left")
+    local = told.where("small").withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(int(work) + 1)))
+    return local.select("bucket", "src", "dst"), told.where("small IS NULL").select("src", "dst")
+
+
+def _onward(pdf: pd.DataFrame) -> dict:
+    out: dict = {}
+    for a, b in zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True):
+        out.setdefault(a, []).append(b)
+    return out
+
+
+def _reach(pdf: pd.DataFrame) -> pd.DataFrame:
+    onward, src, dst = _onward(pdf), [], []
+    for a in onward:
+        seen, todo = set(), [a]
+        while todo:
+            for x in onward.get(todo.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        src += [a] * len(seen)
+        dst += seen
+    return pd.DataFrame({"src": src, "dst": dst})
+
+
+def _mutual(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Nodes on cycles by depth-first search over edges, then over reversed ones in the order that nodes were left."""
+    onward, left, seen = _onward(pdf), [], set()
+    back = _onward(pdf.rename(columns={"src": "dst", "dst": "src"}))
+    for a in onward:
+        todo = [(a, iter(onward[a]))] if a not in seen else []
+        seen.add(a)
+        while todo:
+            node, rest = todo[-1]
+            x = next((y for y in rest if y not in seen), None)
+            if x is None:
+                left.append(node)
+                todo.pop()
+            else:
+                seen.add(x)
+                todo.append((x, iter(onward.get(x, ()))))
+    taken, rows = set(), []
+    for a in reversed(left):
+        members, todo = [], [a] if a not in taken else []
+        taken.add(a)
+        while todo:
+            members.append(todo.pop())
+            more = [y for y in dict.fromkeys(back.get(members[-1], ())) if y not in taken]
+            taken.update(more)
+            todo += more
+        if len(members) > 1 or members and a in onward.get(a, ()):
+            rows += [(m, min(members)) for m in members]
+    return pd.DataFrame(rows, columns=["node", "component"])
+
+
 def closure(edges: DataFrame) -> DataFrame:
-    """All (src, dst) pairs joined by a path of one edge or more. As many rows as there are such pairs, so for graphs whose closure is wanted whole; spread() needs none."""
+    """All (src, dst) pairs joined by a path of one edge or more.
+
+    As many rows as there are such pairs, so for graphs whose closure is wanted whole; spread() needs none. Weakly connected
+    components of up to LOCAL_NODES nodes are closed by one task each, many of them together; larger ones go round by round.
+    """
     edges = cut(edges.select("src", "dst").distinct())
-    onward = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    return _grow(edges, lambda fresh: fresh.join(onward, "dst").select("src", F.col("next").alias("dst")))
+    local, large = _parts(edges)
+    near = local.groupBy("bucket").applyInPandas(_reach, edges.schema)
+    if large.isEmpty():
+        return near
+    large = cut(large)
+    onward = large.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+    return near.unionByName(_grow(large, lambda fresh: fresh.join(onward, "dst").select("src", F.col("next").alias("dst"))))
 
 
 def spread(edges: DataFrame, facts: DataFrame) -> DataFrame:
@@ -49,11 +146,53 @@ def spread(edges: DataFrame, facts: DataFrame) -> DataFrame:
     return _grow(facts.select("fn", *others), lambda fresh: fresh.join(callers, "fn").select(F.col("caller").alias("fn"), *others))
 
 
-def cycles(reach: DataFrame) -> DataFrame:
-    """(node, component): nodes on cycles and the least node of their strongly connected component."""
-    a, b = reach.alias("a"), reach.alias("b")
-    mutual = a.join(b, (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select(F.col("a.src").alias("node"), F.col("a.dst").alias("other"))
-    return mutual.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component"))
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, component): nodes on cycles and the least node of their strongly connected component.
+
+    No closure is needed. Weakly connected components of up to LOCAL_NODES nodes are searched by one task each, many of them
+    together. In larger ones, every node takes the least node that reaches it as its colour; those of a colour
+    that reach the node it is named by are a strong component, which goes, and the rest is coloured anew.
+    """
+    edges = cut(edges.select("src", "dst").distinct())
+    kind = edges.schema["src"].dataType.simpleString()
+    local, large = _parts(edges)
+    found = local.groupBy("bucket").applyInPandas(_mutual, f"node {kind}, component {kind}")
+    loops = edges.where("src = dst").select(F.col("src").alias("node"))
+    left = cut(large.where("src <> dst"))
+    lonely = large.where("src = dst")
+    done = None
+    while not left.isEmpty():
+        nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+        colours = cut(_least_before(nodes, left))
+        same = cut(_inside(left, colours))
+        strong = _grow(colours.where("node = colour"), lambda fresh, e=same: fresh.join(e, (F.col("dst") == F.col("node")) & (F.col("of") == F.col("colour"))).select(F.col("src").alias("node"), "colour"))
+        strong = cut(strong)
+        done = strong if done is None else done.unionByName(strong)
+        gone = strong.select("node")
+        left = cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    if done is None:
+        return found.unionByName(lonely.select(F.col("src").alias("node"), F.col("src").alias("component")))
+    sizes = done.groupBy("colour").agg(F.count("*").alias("n"))
+    whole = done.join(sizes, "colour").join(loops.withColumn("loop", F.lit(True)), "node", "left").where("n > 1 OR loop").select("node", F.col("colour").alias("component"))
+    alone = lonely.select(F.col("src").alias("node")).join(done.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
+    return found.unionByName(whole).unionByName(alone)
+
+
+def _least_before(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, colour): the least node that reaches a node, itself included; only nodes whose colour fell pass it on."""
+    colours = changed = cut(nodes.select("node", F.col("node").alias("colour")))
+    while True:
+        told = changed.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("new"))
+        now = cut(colours.join(told, "node", "left").select("node", F.least("colour", F.coalesce("new", "colour")).alias("colour"), (F.coalesce("new", "colour") < F.col("colour")).alias("fell")))
+        changed, colours = now.where("fell").select("node", "colour"), now.select("node", "colour")
+        if changed.isEmpty():
+            return colours
+
+
+def _inside(edges: DataFrame, colours: DataFrame) -> DataFrame:
+    """(src, dst, of): edges between nodes of one colour."""
+    a, b = colours.toDF("src", "of"), colours.toDF("dst", "to")
+    return edges.join(a, "src").join(b, "dst").where(F.col("of") == F.col("to")).select("src", "dst", "of")
 
 
 def propagate(functions: DataFrame, edges: DataFrame, reasons: DataFrame) -> DataFrame:

@@ -400,14 +400,17 @@ def duplicate_resolution(spark, d):
 
 
 def _edges(spark, d) -> DataFrame:
-    """Users in the order of their errors of small k: each calls the next."""
-    e = p.read(spark, d, "events").where("event_type = 'error' AND cast(get_json_object(props, '$.k') AS int) < 8").select("user_id", "ts", "event_id")
-    # next within a month would not cross months; the whole filtered order is meant, some 160 rows per 10,000 events
-    rows = e.withColumn("dst", F.lead("user_id").over(Window.orderBy("ts", "event_id")))
-    return rows.where("dst IS NOT NULL AND dst <> user_id").select(F.col("user_id").alias("src"), "dst").distinct()
+    """Orders as functions: each calls its customer's next one, and in the building segment the last calls the first."""
+    o = p.read(spark, d, "orders").join(p.read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    first = F.when(F.col("c_mktsegment") == "BUILDING", F.first("o_orderkey").over(w))
+    rows = o.select(F.col("o_orderkey").alias("src"), F.coalesce(F.lead("o_orderkey").over(w), first).alias("dst"))
+    return rows.where("dst IS NOT NULL AND dst <> src").distinct()
 
 
-_EDGES_SQL = """e AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events WHERE event_type = 'error' AND (props::JSON->>'$.k')::INT < 8),
+_EDGES_SQL = """e AS (
+  SELECT o_orderkey AS src, coalesce(lead(o_orderkey) OVER w, CASE WHEN c_mktsegment = 'BUILDING' THEN first_value(o_orderkey) OVER w END) AS dst
+  FROM orders JOIN customer ON o_custkey = c_custkey WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
 edges AS (SELECT DISTINCT src, dst FROM e WHERE dst IS NOT NULL AND src <> dst)"""
 _REACH_SQL = f"""WITH RECURSIVE {_EDGES_SQL},
 reach(src, dst) AS (SELECT src, dst FROM edges UNION SELECT r.src, x.dst FROM reach r JOIN edges x ON r.dst = x.src)"""
@@ -420,25 +423,27 @@ def call_graph_closure(spark, d):
 
 @query(f"{_REACH_SQL} SELECT a.src AS node, least(a.src, min(a.dst)) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src")
 def call_graph_cycles(spark, d):
-    return graph.cycles(graph.closure(_edges(spark, d)))
+    return graph.cycles(_edges(spark, d))
 
 
-_REASONS_SQL = "r AS (SELECT DISTINCT user_id AS fn, 'FileWrite.' || event_type AS reason, 'FileWrite' AS kind FROM events WHERE event_type = 'purchase' AND user_id % 5 = 0 UNION SELECT DISTINCT user_id, 'NonLocalVariableRead.' || event_type, 'NonLocalVariableRead' FROM events WHERE event_type = 'click' AND user_id % 7 = 0)"
+_REASONS_SQL = """r AS (SELECT o_orderkey AS fn, 'FileWrite.' || o_orderpriority AS reason, 'FileWrite' AS kind FROM orders WHERE o_orderstatus = 'F'
+  UNION SELECT o_orderkey, 'NonLocalVariableRead.' || o_orderstatus, 'NonLocalVariableRead' FROM orders WHERE o_totalprice > 200000)"""
 
 
 def _reasons(spark, d) -> DataFrame:
-    e = p.read(spark, d, "events").select("user_id", "event_type")
-    pick = lambda t, m, k: e.where((F.col("event_type") == t) & (F.col("user_id") % m == 0)).select(F.col("user_id").alias("fn"), F.concat(F.lit(k + "."), "event_type").alias("reason"), F.lit(k).alias("kind"))
-    return pick("purchase", 5, "FileWrite").unionByName(pick("click", 7, "NonLocalVariableRead")).distinct()
+    """Finished orders write a file, dear ones read a variable."""
+    o = p.read(spark, d, "orders")
+    row = lambda k, c: (F.col("o_orderkey").alias("fn"), F.concat(F.lit(k + "."), c).alias("reason"), F.lit(k).alias("kind"))
+    return o.where("o_orderstatus = 'F'").select(*row("FileWrite", "o_orderpriority")).unionByName(o.where("o_totalprice > 200000").select(*row("NonLocalVariableRead", "o_orderstatus"))).distinct()
 
 
 @query(
-    f"""{_REACH_SQL}, {_REASONS_SQL}, f AS (SELECT DISTINCT user_id AS fn FROM events),
+    f"""{_REACH_SQL}, {_REASONS_SQL}, f AS (SELECT o_orderkey AS fn FROM orders),
 every AS (SELECT fn, reason FROM r UNION SELECT src, reason FROM reach JOIN r ON dst = fn)
 SELECT f.fn, count(reason) = 0 AS is_pure, coalesce(string_agg(reason, ',' ORDER BY reason), '') AS reasons FROM f LEFT JOIN every USING (fn) GROUP BY 1"""
 )
 def purity_propagation(spark, d):
-    functions = p.read(spark, d, "events").select(F.col("user_id").alias("fn")).distinct()
+    functions = p.read(spark, d, "orders").select(F.col("o_orderkey").alias("fn"))
     return graph.propagate(functions, _edges(spark, d), _reasons(spark, d)).withColumn("reasons", F.array_join("reasons", ","))
 
 

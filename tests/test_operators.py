@@ -90,7 +90,23 @@ def test_closure_and_cycles(spark):
     reach = graph.closure(edges)
     assert sorted(map(tuple, reach.collect())) == sorted(reachable(EDGES))
     assert sorted(map(tuple, graph.cycles(reach).collect())) == [(1, 1), (2, 1), (3, 1), (6, 6)]
-    assert graph.closure(edges.limit(0)).isEmpty()
+    assert sorted(map(tuple, graph.cycles(edges).collect())) == [(1, 1), (2, 1), (3, 1), (6, 6)]
+    assert graph.closure(edges.limit(0)).isEmpty() and graph.cycles(edges.limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize("nodes", [0, 12, 1000])
+def test_large_components_go_round_by_round(spark, monkeypatch, nodes):
+    """Results don't depend on what one task may take on: nothing, some components, all."""
+    import random
+
+    monkeypatch.setattr(graph, "LOCAL_NODES", nodes)
+    pick = random.Random(3)
+    pairs = [(100 * c + pick.randrange(k), 100 * c + pick.randrange(k)) for c, k in enumerate((4, 9, 12, 30, 40)) for _ in range(k + k // 5)] + [(900, 900)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    reach = reachable(pairs)
+    assert sorted(map(tuple, graph.closure(edges).collect())) == sorted(reach)
+    mutual = {n: min(x for x in {a for a, b in reach if b == n} & {b for a, b in reach if a == n}) for n in {a for a, b in reach if a == b}}
+    assert dict(map(tuple, graph.cycles(edges).collect())) == mutual
 
 
 def test_propagation(spark):
