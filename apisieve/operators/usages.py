@@ -37,11 +37,13 @@ def count_usages(calls: DataFrame, bound: DataFrame, order: str = "call_id") ->
     """(kind, id, value, n, first_seen): a call adds one to its function, to its class if it is of a method, and to each bound parameter and value.
 
     calls: function_id, class_id (null for plain functions) and the order column; bound: parameter_id, value and the order column.
+    Either may have a column times: how often the call is made, where equal ones were counted together.
     """
     seen = F.min(order).alias("first_seen")
-    functions = calls.groupBy(F.lit("function").alias("kind"), F.col("function_id").alias("id")).agg(F.count("*").alias("n"), seen)
-    classes = calls.where(F.col("class_id").isNotNull()).groupBy(F.lit("class").alias("kind"), F.col("class_id").alias("id")).agg(F.count("*").alias("n"), seen)
-    values = bound.groupBy(F.col("parameter_id").alias("id"), "value").agg(F.count("*").alias("n"), seen)
+    times = lambda rows: (F.sum("times") if "times" in rows.columns else F.count("*")).alias("n")
+    functions = calls.groupBy(F.lit("function").alias("kind"), F.col("function_id").alias("id")).agg(times(calls), seen)
+    classes = calls.where(F.col("class_id").isNotNull()).groupBy(F.lit("class").alias("kind"), F.col("class_id").alias("id")).agg(times(calls), seen)
+    values = bound.groupBy(F.col("parameter_id").alias("id"), "value").agg(times(bound), seen)
     parameters = values.groupBy(F.lit("parameter").alias("kind"), "id").agg(F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"))
     return classes.unionByName(functions).unionByName(parameters).withColumn("value", F.lit(None).cast("string")).unionByName(values.withColumn("kind", F.lit("value"))).select("kind", "id", "value", "n", "first_seen")
 

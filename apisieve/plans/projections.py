@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
+
 SEEN = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
@@ -38,10 +40,17 @@ PARAMETERS = [
 ]
 
 
-def bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each argument that a call writes out: those equal to the default are left out for flag and discount."""
-    pairs = ", ".join(f"'{name}', {value}" for name, value, _, _ in PARAMETERS)
-    rows = calls(spark, sf_dir).selectExpr("function_id", "seen", f"stack({len(PARAMETERS)}, {pairs}) AS (name, value)")
+def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of one function with the same arguments counted together, before any of them is taken apart: function_id, a column for each value, times, the first seen."""
+    values = [f"{value} AS {name}" for name, value, _, _ in PARAMETERS]
+    rows = calls(spark, sf_dir).selectExpr("function_id", "seen", *values)
+    return cut(rows.groupBy("function_id", *[name for name, *_ in PARAMETERS]).agg(F.count("*").alias("times"), F.min("seen").alias("seen")))
+
+
+def bound(spark: SparkSession, sf_dir: str, grouped: DataFrame | None = None) -> DataFrame:
+    """One row for each argument that a call writes out, with how often: those equal to the default are left out for flag and discount."""
+    pairs = ", ".join(f"'{name}', {name}" for name, *_ in PARAMETERS)
+    rows = (repeats(spark, sf_dir) if grouped is None else grouped).selectExpr("function_id", "seen", "times", f"stack({len(PARAMETERS)}, {pairs}) AS (name, value)")
     left_out = ((F.col("name") == "flag") & (F.col("value") == "'A'")) | ((F.col("name") == "discount") & (F.col("value") == "0.00"))
     return rows.where(~left_out).withColumn("parameter_id", F.concat_ws("/", "function_id", "name"))
 

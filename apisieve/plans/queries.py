@@ -93,16 +93,13 @@ def usage_remove_prefix_cascade(spark, d):
     return usages.remove_cascade(counts, values(spark, "('shop/Brand#1')", "prefix")).select("id", "n")
 
 
-def _seen_number(spark, d) -> DataFrame:
-    """Value counts whose first_seen is a number: the rank of the earliest row among a parameter's values."""
-    v = p.bound(spark, d).groupBy("parameter_id", "value").agg(F.count("*").alias("n"), F.min("seen").alias("seen"))
-    return v.withColumn("first_seen", F.row_number().over(Window.partitionBy("parameter_id").orderBy("seen")).cast("long")).drop("seen")
-
-
 def _implicit(spark, d) -> DataFrame:
-    v = _seen_number(spark, d)
+    """Value counts with implicit defaults. first_seen is a number: the rank of the earliest row among a parameter's values. All counts come from one table of repeated calls."""
+    grouped = p.repeats(spark, d)
+    v = p.bound(spark, d, grouped).groupBy("parameter_id", "value").agg(F.sum("times").alias("n"), F.min("seen").alias("seen"))
+    v = v.withColumn("first_seen", F.row_number().over(Window.partitionBy("parameter_id").orderBy("seen")).cast("long")).drop("seen")
     pc = v.groupBy("parameter_id").agg(F.sum("n").alias("n"))
-    fc = p.calls(spark, d).groupBy("function_id").agg(F.count("*").alias("n"))
+    fc = grouped.groupBy("function_id").agg(F.sum("times").alias("n"))
     return usages.implicit_defaults(v, p.parameters(spark, d), pc, fc)
 
 
