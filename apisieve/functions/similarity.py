@@ -143,11 +143,24 @@ def function_similarity(a, b) -> Column:
     return _mean([lists("code_lines"), name_similarity(a("name"), b("name")), lists("members"), id_similarity(a("id"), b("id"))], [doc_similarity(a("description"), b("description"))])
 
 
+def type_similarity(a, b) -> Column:
+    """Of the names of types: 1 if neither is known, 0 if one is."""
+    none = lambda side: side("types").isNull()
+    return F.when(none(a) & none(b), 1.0).when(none(a) | none(b), 0.0).otherwise(list_similarity(a("types"), b("types")))
+
+
+def attribute_similarity(a, b) -> Column:
+    return _mean([name_similarity(a("name"), b("name")), type_similarity(a, b)], [])
+
+
+def result_similarity(a, b) -> Column:
+    return name_similarity(a("name"), b("name"))
+
+
 def parameter_similarity(a, b) -> Column:
-    types = F.when(a("types").isNull() & b("types").isNull(), 1.0).when(a("types").isNull() | b("types").isNull(), 0.0).otherwise(list_similarity(a("types"), b("types")))
-    terms = [name_similarity(a("name"), b("name")), types, assignment_similarity(a("assigned_by"), b("assigned_by")), id_similarity(a("id"), b("id"))]
+    terms = [name_similarity(a("name"), b("name")), type_similarity(a, b), assignment_similarity(a("assigned_by"), b("assigned_by")), id_similarity(a("id"), b("id"))]
     return _mean(terms, [default_similarity(a("default_value"), b("default_value")), doc_similarity(a("description"), b("description"))])
 
 
 #: What a differ computes by kind; further kinds or other measures may be registered.
-SIMILARITIES = {"class": class_similarity, "function": function_similarity, "parameter": parameter_similarity}
+SIMILARITIES = {"class": class_similarity, "function": function_similarity, "parameter": parameter_similarity, "attribute": attribute_similarity, "result": result_similarity}

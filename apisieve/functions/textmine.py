@@ -211,7 +211,7 @@ _IF_CLAUSE = re.compile(r"\b(?:if|when|unless)\b\s+(.+?)(?:,|\bthen\b|$)", re.I)
 _BRACKETED = re.compile(r"\((?:if|when)\s", re.I)
 _ACCEPTED = re.compile(r"\bonly\s+(\S+)\s+(?:is|are)\s+(?:accepted|allowed|supported)\b", re.I)
 _PREFER = re.compile(r"^\s*prefer\s+(.+?)\s+(?:if|when)\b", re.I)
-_CLAUSE = re.compile(rf"(?:the\s+)?{_PARAM}\s+({_VERBS})\s+(?:(not)\s+)?(?:an?\s+|the\s+)?([\w.\-*+]+)((?:(?:\s*,\s+[\w.\-*+]+)*\s*,?\s+(?:or|and)\s+[\w.\-*+]+(?!\s+(?:{_VERBS}|will|must)))?)")
+_CLAUSE = re.compile(rf"(?:the\s+)?{_PARAM}\s+({_VERBS})\s+(?:(not)\s+)?(?:an?\s+|the\s+)?([\w.\-*+#/:]+)((?:(?:\s*,\s+[\w.\-*+#/:]+)*\s*,?\s+(?:or|and)\s+[\w.\-*+#/:]+(?!\s+(?:{_VERBS}|will|must)))?)")
 _RELATION = re.compile(rf"{_PARAM}\s+\$(GEQ|LEQ|GT|LT)\$\s+([\w.\-]+)")
 _STOP = {"this", "it", "that", "there", "value", "a", "an", "the", "parameter"}
 

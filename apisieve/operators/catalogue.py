@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
@@ -45,6 +45,11 @@ def public_only(catalogue: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return catalogue | {"functions": functions, "classes": classes, "parameters": catalogue["parameters"].where("is_public")}
 
 
+def requirement(default_value: Column) -> Column:
+    """optional for a parameter with a default, else required."""
+    return F.when(default_value.isNotNull(), "optional").otherwise("required")
+
+
 def summary(catalogue: dict[str, DataFrame]) -> DataFrame:
     """kind, total and public: counts of classes, functions and parameters."""
     one = lambda k, t: catalogue[t].agg(F.count("*").alias("total"), F.count_if("is_public").alias("public")).select(F.lit(k).alias("kind"), "total", "public")

@@ -56,9 +56,8 @@ def short_edit_pairs(v1: DataFrame, v2: DataFrame, threshold: float = CREATE) ->
     a = v1.select("kind", F.col("id").alias("v1_id"), F.col("name").alias("n1"), F.explode(reach).alias("len"))
     b = v2.select("kind", F.col("id").alias("v2_id"), F.col("name").alias("n2"), F.length("name").alias("len"))
     longer = F.greatest(F.length("n1"), F.length("n2"), F.lit(1))
-    near = F.levenshtein(F.col("n1"), F.col("n2"), 255)
-    rows = a.join(b, ["kind", "len"]).withColumn("similarity", 1 - near / longer)
-    return rows.where((near >= 0) & (F.col("similarity") >= threshold)).select("kind", "v1_id", "v2_id", "similarity")
+    rows = a.join(b, ["kind", "len"]).withColumn("similarity", 1 - F.levenshtein(F.col("n1"), F.col("n2")) / longer)
+    return rows.where(F.col("similarity") >= threshold).select("kind", "v1_id", "v2_id", "similarity")
 
 
 def merge_prefix(pairs: DataFrame, gap: float = GAP) -> DataFrame:
@@ -212,9 +211,22 @@ def map_api(v1: DataFrame, v2: DataFrame, threshold: float = CREATE, gap: float
     return sure.unionByName(simple.where(single)).unionByName(strict).unionByName(late)
 
 
-def report(mappings: DataFrame) -> DataFrame:
-    """Lines similarity|v1|v2| of a mapping table, similarity with four significant digits; attributes and results don't appear."""
+#: The kinds that a report tells of.
+REPORTED = ("class", "function", "parameter")
+
+
+def report(mappings: DataFrame, v1: DataFrame | None = None, v2: DataFrame | None = None) -> DataFrame:
+    """(kind, similarity, line): lines similarity|`v1`|`v2`| of a mapping table, similarity with four significant digits; attributes and results don't appear.
+
+    With both versions' elements, lines with - for those that are in no mapping follow.
+    """
     number = F.regexp_replace(F.format_string("%.4f", F.col("similarity")), r"(\.\d*?)0+$", "$1")
     number = F.when(F.endswith(number, F.lit(".")), F.concat(number, F.lit("0"))).otherwise(number)
-    line = F.concat(number, F.lit("|"), F.array_join("v1_ids", ", "), F.lit("|"), F.array_join("v2_ids", ", "), F.lit("|"))
-    return mappings.where(F.col("kind").isin("class", "function", "parameter")).select("kind", "similarity", line.alias("line"))
+    line = F.format_string("%s|`%s`|`%s`|", number, F.array_join("v1_ids", ", "), F.array_join("v2_ids", ", "))
+    out = mappings.where(F.col("kind").isin(*REPORTED)).select("kind", "similarity", line.alias("line"))
+    if v1 is None or v2 is None:
+        return out
+    held = mappings.select("kind", F.explode("v1_ids").alias("v1_id"), "v2_ids").select("kind", "v1_id", F.explode("v2_ids").alias("v2_id"))
+    rest = unmapped(v1, v2, held).where(F.col("kind").isin(*REPORTED))
+    alone = F.when(F.col("version") == 1, F.format_string("-|`%s`||", F.col("id"))).otherwise(F.format_string("-||`%s`|", F.col("id")))
+    return out.unionByName(rest.select("kind", F.lit(None).cast("double").alias("similarity"), alone.alias("line")))

@@ -68,13 +68,13 @@ _MUTE = ""
 
 
 def analyse(facts: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """module, fn, line, is_pure, reasons of every function: own reasons and those of all that it calls, which go up the call graph."""
+    """module, fn, name, line, is_pure, reasons of every function: own reasons and those of all that it calls, which go up the call graph."""
     facts = cut(facts)  # sources are parsed once for all the joins over their facts
     functions, edges, reasons = resolve(facts, known)
     # impure without a reason that can be named: calls of exceptions and their like
     out = graph.propagate(functions, edges, reasons.withColumn("reason", F.coalesce("reason", F.lit(_MUTE))))
-    lines = facts.where("fact = 'function'").select("fn", "module", "line")
-    return out.join(lines, "fn").select("module", "fn", "line", "is_pure", F.filter("reasons", lambda r: r != _MUTE).alias("reasons"))
+    lines = facts.where("fact = 'function'").select("fn", "module", "name", "line")
+    return out.join(lines, "fn").select("module", "fn", "name", "line", "is_pure", F.filter("reasons", lambda r: r != _MUTE).alias("reasons"))
 
 
 def package_report(purity: DataFrame, modules: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from apisieve.functions import similarity
 from apisieve.operators import catalogue, dependencies, graph, matching, purity, usages
-from apisieve.plans import catalogue_queries as fixtures
+from tests import fixtures
 from apisieve.sources import files, json_io, tables
 from apisieve.streaming import usage_stream
 
