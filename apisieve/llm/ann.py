@@ -5,8 +5,8 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,30 +106,29 @@ class _Block:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, x = ids[order], np.ascontiguousarray(x[order] + 0.0)  # no negative zeros
+        ids, x = ids[order], np.ascontiguousarray(x[order] + 0.0)  # no negative zeros
         rows = x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
-        _, first, self.group = np.unique(rows, return_index=True, return_inverse=True)
+        _, first, group = np.unique(rows, return_index=True, return_inverse=True)
         self.x = x[first]
-        members = np.argsort(self.group, kind="stable")
-        starts = np.searchsorted(self.group[members], np.arange(len(first) + 1))
-        self.members = [self.ids[members[a:b]] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-
-    def top(self, qids: np.ndarray, q: np.ndarray, bounds: np.ndarray, k: int):
-        """For each query its k best of this block's rows but itself, if not under its bound: (query, id, score)."""
-        scores = q @ self.x.T
-        out = []
-        for i in range(len(q)):
-            s = scores[i]
-            least = bounds[i]
-            if len(s) > k + 1:
-                least = max(least, np.partition(s, len(s) - k - 1)[len(s) - k - 1])
-            at = np.flatnonzero(s >= least - 1e-9)
-            if not len(at):
-                continue
-            exact = (self.x[at] * q[i]).sum(1)
-            pairs = [(-e, m) for e, j in zip(exact.tolist(), at.tolist(), strict=True) for m in self.members[j][: k + 1].tolist() if m != qids[i]]
-            out += [(int(qids[i]), m, -e) for e, m in sorted(pairs)[:k] if -e >= bounds[i]]
-        return out
+        # ids by group, ascending in each, and where each group's begin
+        self.ids = ids[np.argsort(group, kind="stable")]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=len(first)))])
+
+    def top(self, qids: np.ndarray, q: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each query its k best of this block's rows but itself, if not under its bound: queries' ids, rows' ids, scores."""
+        scores, n = q @ self.x.T, len(self.x)
+        least = bounds if n <= k + 1 else np.maximum(bounds, np.partition(scores, n - k - 1, axis=1)[:, n - k - 1])
+        at, group = np.nonzero(scores >= least[:, None] - 1e-9)
+        exact = (self.x[group] * q[at]).sum(1)
+        size = np.minimum(self.starts[group + 1] - self.starts[group], k + 1)
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        at, exact, ids = np.repeat(at, size), np.repeat(exact, size), self.ids[np.repeat(self.starts[group], size) + place]
+        fine = (ids != qids[at]) & (exact >= bounds[at])
+        at, exact, ids = at[fine], exact[fine], ids[fine]
+        order = np.lexsort((ids, -exact, at))
+        at, exact, ids = at[order], exact[order], ids[order]
+        best = np.arange(len(at)) - np.searchsorted(at, at) < k
+        return qids[at[best]], ids[best], exact[best]
 
 
 def _top(rows: DataFrame, k: int) -> DataFrame:
@@ -140,9 +139,10 @@ def _top(rows: DataFrame, k: int) -> DataFrame:
 def search(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL) -> DataFrame:
     """The k vectors of largest inner product for each query row, among all other rows: query_id, rank, vec_id, score.
 
-    1. The tree is fitted on at most SAMPLE vectors, whichever hash first. 2. Every row goes to its leaf.
-    3. For CALIBRATION sampled vectors, the true neighbours among all rows are found block by block, and
-    visits are widened until their leaves hold `recall` of them. 4. Each query visits FIRST_VISITS leaves,
+    1. The tree is fitted on at most SAMPLE vectors, whichever hash first. 2. Every row goes to its leaf, and the index is
+    partitioned by leaf and block once. 3. For CALIBRATION other vectors, which the tree has not seen (in a table of
+    fewer than twice as many, it has), the true neighbours among all rows are found block by block, and visits
+    are widened until their leaves hold `recall` of them. 4. Each query visits FIRST_VISITS leaves,
     which bounds its k-th score; then WIDEN times as many in all, and so on up to the calibrated number, where
     each round passes on only rows that are not under the bound so far. Queries travel to leaves in packs;
     leaves of more than BLOCK_ROWS rows are dealt over several tasks.
@@ -153,17 +153,18 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL) ->
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    sample = usable(vectors).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    sample = usable(vectors).orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION + SAMPLE).toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], schema)
     lengths = np.array([len(v) for v in sample.column("v").to_pylist()])
     dim = int(np.bincount(lengths).argmax())
     sample = sample.filter(pa.array(lengths == dim))
     ids, x = sample.column("vec_id").to_numpy(), _matrix(sample.column("v"))
+    asked, fitted = x[:CALIBRATION], x[CALIBRATION:] if len(x) >= 2 * CALIBRATION else x
     rows = usable(vectors, dim)
     n = rows.count()
-    leaves = min(MAX_LEAVES, max(1, n // LEAF_ROWS), max(1, len(x) // 16))
-    tree = spark.sparkContext.broadcast(KMeansTree.fit(x, max(1, 2 * len(x) // leaves)))
+    leaves = min(MAX_LEAVES, max(1, n // LEAF_ROWS), max(1, len(fitted) // 16))
+    tree = spark.sparkContext.broadcast(KMeansTree.fit(fitted, max(1, 2 * len(fitted) // leaves)))
 
     def place(batches):
         for b in batches:
@@ -173,10 +174,12 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL) ->
     index = materialize(rows.mapInArrow(place, "leaf long, vec_id long, v array<double>"), "leaves")
     counts = {r.leaf: r.n for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # MAX_LEAVES rows at most
     blocks = np.array([-(-counts.get(i, 0) // BLOCK_ROWS) for i in range(tree.value.n_leaves)], np.int64)
-    visits = _calibrate(index, tree.value, ids[:CALIBRATION], x[:CALIBRATION], k, recall)
+    visits = _calibrate(index, tree.value, ids[:CALIBRATION], asked, k, recall)
 
     sizes = spark.createDataFrame([(i, int(max(1, b))) for i, b in enumerate(blocks)], "leaf long, blocks int")  # MAX_LEAVES rows at most
     members = index.join(F.broadcast(sizes), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).drop("blocks")
+    # kept in its partitions for all rounds; what a lost executor held is made anew from the written index
+    members = members.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "leaf", "block").persist(StorageLevel.DISK_ONLY)
 
     def route(first: int, last: int):
         def pack(batches):
@@ -193,18 +196,20 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL) ->
 
         return pack
 
-    def meet(mine: pd.DataFrame, packs: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(mine) and len(packs):
-            block = _Block(mine["vec_id"].to_numpy(), np.stack(mine["v"].to_numpy()))
-            for p in packs.itertuples():
-                qids = np.frombuffer(p.qids, np.int64)
-                found += block.top(qids, np.frombuffer(p.q, np.float64).reshape(len(qids), -1), np.frombuffer(p.bounds, np.float64), k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+    def meet(mine: pa.Table, packs: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if mine.num_rows and packs.num_rows:
+            block = _Block(mine.column("vec_id").to_numpy(), _matrix(mine.column("v")))
+            for qids, bounds, q in zip(*(packs.column(c).to_pylist() for c in ("qids", "bounds", "q")), strict=True):
+                qids = np.frombuffer(qids, np.int64)
+                for i in range(0, len(qids), 512):  # scores of so many queries at a time
+                    some = slice(i, i + 512)
+                    found.append(block.top(qids[some], np.frombuffer(q, np.float64).reshape(len(qids), -1)[some], np.frombuffer(bounds, np.float64)[some], k))
+        return pa.table([pa.array(np.concatenate([f[j] for f in found])) for j in range(3)], names=["query_id", "vec_id", "score"])
 
     def visit(queries: DataFrame, first: int, last: int) -> DataFrame:
         packs = queries.mapInArrow(route(first, last), "leaf long, block int, qids binary, bounds binary, q binary")
-        return members.groupBy("leaf", "block").cogroup(packs.groupBy("leaf", "block")).applyInPandas(meet, "query_id long, vec_id long, score double")
+        return members.groupBy("leaf", "block").cogroup(packs.groupBy("leaf", "block")).applyInArrow(meet, "query_id long, vec_id long, score double")
 
     queries = index.where(is_query(F.col("vec_id"))).select("vec_id", "v")
     asking, best, done = queries.select("vec_id", F.lit(float("-inf")).alias("bound"), "v"), None, 0
@@ -213,7 +218,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL) ->
         found = visit(asking, done, reach)
         best, done = found if best is None else best.unionByName(found), reach
         if done >= visits:
-            return _top(best, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            out = materialize(_top(best, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "found")
+            members.unpersist()
+            return out
         best = materialize(_top(best, k).drop("rank"), "nearest")
         bound = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("b"))
         bounded = queries.join(bound, F.col("vec_id") == F.col("query_id"), "left")
@@ -228,8 +235,8 @@ def _calibrate(index: DataFrame, tree: KMeansTree, ids: np.ndarray, q: np.ndarra
             if b.num_rows:
                 found = _Block(b.column(1).to_numpy(), _matrix(b.column(2)))
                 leaf = dict(zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True))
-                out = [(a, m, s, leaf[m]) for a, m, s in found.top(ids, q, np.full(len(q), -np.inf), k)]
-                yield pa.RecordBatch.from_pylist([dict(zip(("query_id", "vec_id", "score", "leaf"), r, strict=True)) for r in out], schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("leaf", pa.int64())]))
+                asking, near, score = found.top(ids, q, np.full(len(q), -np.inf), k)
+                yield pa.RecordBatch.from_arrays([pa.array(asking), pa.array(near), pa.array(score), pa.array([leaf[m] for m in near.tolist()], pa.int64())], names=["query_id", "vec_id", "score", "leaf"])
 
     true = _top(index.mapInArrow(nearest, "query_id long, vec_id long, score double, leaf long"), k).select("query_id", "leaf").collect()
     order = {int(i): {leaf: r for r, leaf in enumerate(tree.best_bins(v, tree.n_leaves))} for i, v in zip(ids, q, strict=True)}

@@ -32,6 +32,27 @@ def test_neighbours_reach_recall(spark):
     assert (found.groupby("query_id")["rank"].max() == 20).all()
 
 
+def test_neighbours_of_the_embeddings(spark):
+    """Recall of the registered query against all rows of its table, and its scores and order."""
+    d = "/root/testdata/sf0.01"
+    rows = {r.vec_id: np.array(r.embedding, float) for r in read(spark, d, "embeddings").where("embedding IS NOT NULL").collect() if len(r.embedding)}
+    rows = {i: v for i, v in rows.items() if np.isfinite(v).all() and v.any()}
+    ids = np.array(sorted(rows))
+    x = np.stack([rows[i] for i in ids])
+    found = registry.QUERIES["op1_ann"](spark, d).toPandas()
+    queries = [i for i in ids if i % 20 == 0]
+    assert set(found.query_id) == set(queries)
+    hits = 0
+    for q, g in found.groupby("query_id"):
+        g = g.sort_values("rank")
+        score = x @ rows[q]
+        others = ids != q
+        true = ids[others][np.lexsort((ids[others], -score[others]))][:20]
+        hits += len(set(true) & set(g.vec_id))
+        assert list(zip(-g.score, g.vec_id, strict=True)) == sorted(zip(-g.score, g.vec_id, strict=True)) and q not in set(g.vec_id)
+    assert hits / (20 * len(queries)) >= 0.9
+
+
 def test_tokens_round_trip(spark, sf_dir, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
