@@ -159,12 +159,15 @@ def value_annotation_summary(spark, d):
     return _value_annotations(spark, d).groupBy("variant").agg(F.count("*").alias("n"))
 
 
-_KN = "(16, 20), (20, 20), (11, 20), (1240, 2400), (3, 5), (60, 100), (9, 12)"
-
-
-@query(f"SELECT k, n, round(2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))), 6) AS p FROM (SELECT k, n, unnest(range(k, n + 1)) AS i FROM (VALUES {_KN}) t(k, n)) GROUP BY 1, 2")
+@query(
+    """WITH t AS (SELECT p_partkey, p_partkey + 1 AS n, (p_partkey + 2) // 2 + ((p_partkey + 1) // 2 * p_size) // 100 AS k FROM part)
+SELECT p_partkey, k, n, round(2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) + 1e-9, 6) AS p FROM (SELECT *, unnest(range(k, n + 1)) AS i FROM t) GROUP BY 1, 2, 3"""
+)
 def value_binomial_pvalue(spark, d):
-    return values(spark, _KN, "k, n").select("k", "n", F.round(stats.fair_coin_p(F.col("k"), F.col("n")), 6).alias("p"))
+    """k of n uses for every part: n grows with its number, k lies above half of it by its size."""
+    n = F.col("p_partkey") + 1
+    rows = p.read(spark, d, "part").select("p_partkey", F.expr("(p_partkey + 2) div 2 + ((p_partkey + 1) div 2 * p_size) div 100").alias("k"), n.alias("n"))
+    return rows.select("p_partkey", "k", "n", F.round(stats.fair_coin_p(F.col("k"), F.col("n")) + 1e-9, 6).alias("p"))
 
 
 @query(f"WITH {p.CALLS_SQL}, {_CATALOGUE_SQL} SELECT 'remove' AS kind, id AS target, 'I removed this function because it has no known usages.' AS comment FROM catalogue WHERE id NOT IN (SELECT function_id FROM calls)")
@@ -174,48 +177,42 @@ def remove_annotations(spark, d):
 
 # ---------------------------------------------------------------- types
 
-_NAMES = "('max_ITER__x'), ('penalty'), ('_solver'), ('a_b_c'), ('l1_ratio'), ('x')"
+
+_NAME_SQL = "concat(CASE WHEN p_partkey % 3 = 0 THEN '_' ELSE '' END, replace(p_name, ' ', CASE WHEN p_partkey % 2 = 0 THEN '_' ELSE '__' END), '_', p_type)"
 
 
 @query(
-    f"""SELECT name, array_to_string([upper(w[1]) || lower(w[2:]) FOR w IN string_split(name, '_') IF w <> ''], '') AS enum_name,
+    f"""SELECT p_partkey, array_to_string([upper(w[1]) || lower(w[2:]) FOR w IN string_split(name, '_') IF w <> ''], '') AS enum_name,
  CASE WHEN i = '' OR regexp_matches(i, '^[0-9]') THEN '_' || i ELSE i END AS instance_name
-FROM (SELECT name, array_to_string([y FOR y IN [upper(regexp_replace(w, '[^A-Za-z0-9_]', '', 'g')) FOR w IN regexp_split_to_array(name || '-' || name || '+.9', '[_.-]')] IF y <> ''], '_') AS i FROM (VALUES {_NAMES}) t(name))"""
+FROM (SELECT p_partkey, name, array_to_string([y FOR y IN [upper(regexp_replace(w, '[^A-Za-z0-9_]', '', 'g')) FOR w IN regexp_split_to_array(p_size || '-' || p_brand || '+.9', '[_.-]')] IF y <> ''], '_') AS i FROM (SELECT *, {_NAME_SQL} AS name FROM part))"""
 )
 def enum_names(spark, d):
-    return values(spark, _NAMES, "name").select("name", types.enum_name(F.col("name")).alias("enum_name"), types.enum_instance_name(F.concat("name", F.lit("-"), "name", F.lit("+.9"))).alias("instance_name"))
+    rows = p.read(spark, d, "part").withColumn("name", F.expr(_NAME_SQL))
+    value = F.concat(F.col("p_size").cast("string"), F.lit("-"), "p_brand", F.lit("+.9"))
+    return rows.select("p_partkey", types.enum_name(F.col("name")).alias("enum_name"), types.enum_instance_name(value).alias("instance_name"))
 
 
-_TEXTS = "('Float in the range [0, 1]'), ('int in range (0, 5]'), ('of interval of [-1.5, infinity)'), ('float in the range (negative_infinity, 3]'), ('nothing here'), ('')"
-_RANGE_SQL = r"(float|int)? (?:in|of) (?:the )?(?:range|interval) (?:of )?`?([\[(])([-+]?\d+(?:.\d*)?|negative_infinity), ([-+]?\d+(?:.\d*)?|infinity)([\])])`?"
+_TEXTS = """CASE p_partkey % 5 WHEN 0 THEN concat('Float in the range [0, ', p_size, ']') WHEN 1 THEN concat('int in range (', p_size, ', ', p_size + 5, '] here') WHEN 2 THEN concat('is of interval of [-1.5, infinity) ', p_name)
+ WHEN 3 THEN concat('float in the range (negative_infinity, ', p_size, ')') ELSE p_name END"""
 
 
 @query(
-    f"""WITH t AS (SELECT d, regexp_extract(d, '{_RANGE_SQL}', ['b', 'l', 'lo', 'hi', 'r']) AS m FROM (VALUES {_TEXTS}) t(d) WHERE regexp_matches(d, '{_RANGE_SQL}'))
-SELECT d AS description, m.b = 'int' AS discrete,
- CASE WHEN m.lo = 'negative_infinity' THEN 0 ELSE try_cast(m.lo AS DOUBLE) END AS lo, CASE WHEN m.lo = 'negative_infinity' THEN 2 WHEN m.l = '[' THEN 0 ELSE 1 END AS lo_type,
- CASE WHEN m.hi = 'infinity' THEN 0 ELSE try_cast(m.hi AS DOUBLE) END AS hi, CASE WHEN m.hi = 'infinity' THEN 2 WHEN m.r = ']' THEN 0 ELSE 1 END AS hi_type FROM t"""
+    """SELECT p_partkey, p_partkey % 5 = 1 AS discrete, [0, p_size, -1.5, 0][p_partkey % 5 + 1]::DOUBLE AS lo, [0, 1, 0, 2][p_partkey % 5 + 1] AS lo_type, [p_size, p_size + 5, 0, p_size][p_partkey % 5 + 1]::DOUBLE AS hi, [0, 0, 2, 1][p_partkey % 5 + 1] AS hi_type
+FROM part WHERE p_partkey % 5 < 4"""
 )
 def boundary_from_text(spark, d):
-    rows = values(spark, _TEXTS, "description").withColumn("b", types.boundary(F.col("description"))).where("b IS NOT NULL").withColumn("i", types.interval(F.col("b")))
-    return rows.select("description", F.col("i.isDiscrete").alias("discrete"), F.col("i.lowerIntervalLimit").alias("lo"), F.col("i.lowerLimitType").alias("lo_type"), F.col("i.upperIntervalLimit").alias("hi"), F.col("i.upperLimitType").alias("hi_type"))
-
-
-_TYPES = "('int or float'), ('str, optional'), ('int, float, or None'), ('bool, default=False'), ('array-like,  or   None'), ('')"
+    """Stated ranges of all descriptions, as intervals; descriptions without one give no row."""
+    rows = p.read(spark, d, "part").withColumn("b", types.boundary(F.expr(_TEXTS))).where("b IS NOT NULL").withColumn("i", types.interval(F.col("b")))
+    return rows.select("p_partkey", F.col("i.isDiscrete").alias("discrete"), F.col("i.lowerIntervalLimit").alias("lo"), F.col("i.lowerLimitType").alias("lo_type"), F.col("i.upperIntervalLimit").alias("hi"), F.col("i.upperLimitType").alias("hi_type"))
 
 
 @query(
-    rf"""WITH t AS (SELECT s, regexp_replace(regexp_replace(regexp_replace(s, '\s+', ' ', 'g'), 'default=.*', ' '), ' ?, ?or | or ', ', ', 'g') AS f FROM (VALUES {_TYPES}) t(s))
-SELECT s AS type, unnest([trim(x) FOR x IN string_split(f, ',') IF trim(x) <> '']) AS member FROM t"""
+    """SELECT p_partkey, unnest(CASE p_partkey % 4 WHEN 0 THEN [p_type, p_brand] WHEN 1 THEN [p_type, 'None', p_brand] WHEN 2 THEN [p_type] ELSE ['array-like', 'None'] END) AS member FROM part"""
 )
 def type_split_or(spark, d):
-    return values(spark, _TYPES, "type").select("type", F.explode(types.simple_types(F.col("type"))).alias("member"))
-
-
-@query()
-def type_parse(spark, d):
-    rows = values(spark, "('{\"a\", \"b\"} or int, default=1', ''), ('float', 'float in the range [0, 1]'), ('(int, int) or (float, float), str', '')", "type, description")
-    return rows.withColumn("types", types.parse_type("type", "description"))
+    text = "CASE p_partkey % 4 WHEN 0 THEN concat(p_type, ' or ', p_brand) WHEN 1 THEN concat(p_type, ', None, or ', p_brand) WHEN 2 THEN concat(p_type, ', default=', p_size) ELSE 'array-like,  or   None' END"
+    rows = p.read(spark, d, "part").withColumn("type", F.expr(text))
+    return rows.select("p_partkey", F.explode(types.simple_types(F.col("type"))).alias("member"))
 
 
 @query(_CLASS_SQL + " SELECT parameter_id, name FROM parameters WHERE NOT EXISTS (SELECT 1 FROM v WHERE target = parameter_id AND variant = 'constant')")
@@ -246,18 +243,18 @@ def boundary_annotations(spark, d):
 
 # ---------------------------------------------------------------- names
 
-_QNAMES = "('pkg.mod.f', false, false), ('pkg._mod.f', false, false), ('pkg._mod.f', true, false), ('pkg.mod._f', true, true), ('pkg.mod.C.__init__', false, false), ('pkg._m.C.g', false, true)"
+_QNAME_SQL = "concat('pkg.', CASE WHEN p_partkey % 2 = 0 THEN '_' ELSE '' END, 'mod', p_size, '.', CASE WHEN p_partkey % 3 = 0 THEN '_f' WHEN p_partkey % 3 = 1 THEN '__init__' ELSE 'f' END)"
 
 
 @query(
-    f"""SELECT qname, reexported, parent_reexported, NOT (starts_with(n, '_') AND NOT ends_with(n, '__')) AND (reexported OR parent_reexported OR len([s FOR s IN string_split(qname, '.')[:-2] IF starts_with(s, '_')]) = 0) AS public,
- len([s FOR s IN string_split(qname, '.') IF starts_with(s, '_')]) = 0 AS open_module
-FROM (SELECT *, string_split(qname, '.')[-1] AS n FROM (VALUES {_QNAMES}) t(qname, reexported, parent_reexported))"""
+    """SELECT p_partkey, p_partkey % 3 <> 0 AND (p_partkey % 5 = 0 OR p_partkey % 7 = 0 OR p_partkey % 2 = 1) AS public, p_partkey % 2 = 1 AND p_partkey % 3 = 2 AS open_module FROM part"""
 )
 def public_filter(spark, d):
-    rows = values(spark, _QNAMES, "qname, reexported, parent_reexported")
+    """Every second module and every third name is private; every fifth element is re-exported, every seventh has such a parent."""
     q = F.col("qname")
-    return rows.withColumn("public", names.is_public(names.last_name(q), q, F.col("reexported"), F.col("parent_reexported"))).withColumn("open_module", names.is_public_module(q))
+    rows = p.read(spark, d, "part").withColumn("qname", F.expr(_QNAME_SQL))
+    public = names.is_public(names.last_name(q), q, F.expr("p_partkey % 5 = 0"), F.expr("p_partkey % 7 = 0"))
+    return rows.select("p_partkey", public.alias("public"), names.is_public_module(q).alias("open_module"))
 
 
 @query(
@@ -327,48 +324,53 @@ def gap_prefix_merge(spark, d):
     return merged.join(best, "v1_id").select("v1_id", "n", "best", (F.size("v2_ids") > 1).alias("merged"))
 
 
-_SHAPES = "(0.9, 1, 1), (0.84, 1, 1), (0.8, 1, 3), (0.76, 2, 1), (0.74, 1, 1), (0.95, 2, 2)"
-
-
 @query(
-    f"""SELECT similarity::DOUBLE AS similarity, CASE WHEN a > 1 AND b > 1 THEN 'n:m' WHEN a > 1 THEN 'n:1' WHEN b > 1 THEN '1:n' ELSE '1:1' END AS shape,
- CASE WHEN (a > 1 AND b > 1) OR similarity < 0.75 THEN 'unsure' ELSE 'reliable' END AS store,
- CASE WHEN NOT (a > 1 AND b > 1) AND similarity >= 0.75 AND similarity < 0.85 THEN 'unsure' ELSE '' END AS review FROM (VALUES {_SHAPES}) t(similarity, a, b)"""
+    """SELECT p_partkey, CASE WHEN a > 1 AND b > 1 THEN 'n:m' WHEN a > 1 THEN 'n:1' WHEN b > 1 THEN '1:n' ELSE '1:1' END AS shape, CASE WHEN (a > 1 AND b > 1) OR s < 75 THEN 'unsure' ELSE 'reliable' END AS store,
+ CASE WHEN NOT (a > 1 AND b > 1) AND s >= 75 AND s < 85 THEN 'unsure' ELSE '' END AS review FROM (SELECT p_partkey, 50 + p_size AS s, p_partkey % 3 + 1 AS a, p_partkey % 2 + 1 AS b FROM part)"""
 )
 def similarity_routing(spark, d):
-    rows = values(spark, _SHAPES, "similarity, a, b")
-    ids = lambda c: F.transform(F.sequence(F.lit(1), F.col(c)), lambda i: i.cast("string"))
-    return matching.route(matching.shape(rows.select(F.col("similarity").cast("double").alias("similarity"), ids("a").alias("v1_ids"), ids("b").alias("v2_ids")))).select("similarity", "shape", "store", "review")
+    ids = lambda n: F.transform(F.sequence(F.lit(1), F.expr(n)), lambda i: i.cast("string"))
+    rows = p.read(spark, d, "part").select("p_partkey", ((F.col("p_size") + 50) / 100).alias("similarity"), ids("CAST(p_partkey % 3 + 1 AS INT)").alias("v1_ids"), ids("CAST(p_partkey % 2 + 1 AS INT)").alias("v2_ids"))
+    return matching.route(matching.shape(rows)).select("p_partkey", "shape", "store", "review")
 
 
-_DEFAULT_ROWS = "('1', '1', 1.0), ('1', '2', 0.5), ('1.5', '1.5', 1.0), ('1.5', '2.5', 0.0), ('True', 'False', 1.0), ('''a''', '''a''', 1.0), ('''a''', '''b''', 0.5), ('None', 'None', 1.0), ('None', '1', 0.0), ('1', '1.0', 1.0), (NULL, NULL, -1.0), (NULL, '1', 0.0), ('f(x)', 'f(x)', 0.0)"
+_DEFAULTS_SQL = "CASE p_partkey % 6 WHEN 0 THEN CAST(p_size AS STRING) WHEN 1 THEN concat(p_size, '.5') WHEN 2 THEN CASE WHEN p_size % 2 = 0 THEN 'True' ELSE 'False' END WHEN 3 THEN concat(chr(39), p_brand, chr(39)) WHEN 4 THEN 'None' END"
 
 
-@query(f"SELECT a, b, s::DOUBLE AS similarity FROM (VALUES {_DEFAULT_ROWS}) t(a, b, s)")
+@query(
+    f"""WITH v AS (SELECT p_partkey, p_partkey % 6 AS form, p_size, p_brand, {_DEFAULTS_SQL.replace("STRING", "VARCHAR")} AS v FROM part)
+SELECT a.p_partkey, CASE WHEN a.v IS NULL AND b.v IS NULL THEN -1 WHEN a.v IS NULL OR b.v IS NULL THEN 0 WHEN a.form <> b.form THEN CASE WHEN a.form IN (0, 1) AND b.form IN (0, 1) AND a.v::DOUBLE = b.v::DOUBLE THEN 1 ELSE 0 END WHEN a.v = b.v THEN 1 WHEN a.form = 1 THEN 0
+  WHEN a.form = 2 THEN 1 ELSE 0.5 END::DOUBLE AS similarity FROM v a JOIN v b ON b.p_partkey = a.p_partkey + 6 * (1 + a.p_size % 2) + CASE WHEN a.p_size % 5 = 0 THEN 1 ELSE 0 END"""
+)
 def default_value_similarity(spark, d):
-    rows = values(spark, _DEFAULT_ROWS, "a, b, s")
-    return rows.select("a", "b", literals.default_similarity(F.col("a"), F.col("b")).alias("similarity"))
+    """Defaults of every part and one some places on, of the same form or the next: whole and broken numbers, flags, texts, None, nothing."""
+    v = p.read(spark, d, "part").select("p_partkey", "p_size", F.expr(_DEFAULTS_SQL).alias("v"))
+    rows = v.alias("a").join(v.alias("b"), F.expr("b.p_partkey = a.p_partkey + 6 * (1 + a.p_size % 2) + CASE WHEN a.p_size % 5 = 0 THEN 1 ELSE 0 END"))
+    return rows.select("a.p_partkey", literals.default_similarity(F.col("a.v"), F.col("b.v")).alias("similarity"))
 
 
-_TRAIT_ROWS = "('IMPLICIT', -1, 0.0), ('POSITION_ONLY', 0, 0.0), ('POSITION_OR_NAME', 0, 0.5), ('NAME_ONLY', 0, 1.0), ('POSITIONAL_VARARG', 1, 0.0), ('NAMED_VARARG', 1, 1.0)"
+#: Similarities of parameter assignments (fixed values): rows and columns in the order of the kinds above them.
+_ASSIGNED = ["IMPLICIT", "POSITION_ONLY", "POSITION_OR_NAME", "NAME_ONLY", "POSITIONAL_VARARG", "NAMED_VARARG"]
 
 
 @query(
-    f"""WITH t(k, v, b) AS (VALUES {_TRAIT_ROWS})
-SELECT x.k AS a, y.k AS b, round(1 - 0.3 * CASE WHEN x.k = y.k THEN 0 WHEN x.v < 0 THEN 1 + y.v * (1 + (y.b = 1)::INT) WHEN y.v < 0 THEN 1 + x.v * (1 + (x.b = 1)::INT) ELSE abs(x.v - y.v) + abs(x.b - y.b) END, 6)::DOUBLE AS similarity FROM t x, t y"""
+    f"""WITH t(k, v, b) AS (VALUES ('IMPLICIT', -1, 0.0), ('POSITION_ONLY', 0, 0.0), ('POSITION_OR_NAME', 0, 0.5), ('NAME_ONLY', 0, 1.0), ('POSITIONAL_VARARG', 1, 0.0), ('NAMED_VARARG', 1, 1.0)),
+p AS (SELECT p_partkey, {_ASSIGNED!r}[p_partkey % 6 + 1] AS a, {_ASSIGNED!r}[p_size % 6 + 1] AS b FROM part)
+SELECT p_partkey, round(1 - 0.3 * CASE WHEN x.k = y.k THEN 0 WHEN x.v < 0 THEN 1 + y.v * (1 + (y.b = 1)::INT) WHEN y.v < 0 THEN 1 + x.v * (1 + (x.b = 1)::INT) ELSE abs(x.v - y.v) + abs(x.b - y.b) END, 6)::DOUBLE AS similarity FROM p JOIN t x ON p.a = x.k JOIN t y ON p.b = y.k"""
 )
 def assignment_similarity(spark, d):
-    kinds = spark.createDataFrame([(k,) for k in similarity._TRAITS], "a string")
-    both = kinds.join(F.broadcast(kinds.withColumnRenamed("a", "b")))
-    return both.select("a", "b", similarity.assignment_similarity(F.col("a"), F.col("b")).alias("similarity"))
+    kind = lambda c: F.element_at(F.array(*[F.lit(k) for k in _ASSIGNED]), (F.col(c) % 6 + 1).cast("int"))
+    return p.read(spark, d, "part").select("p_partkey", similarity.assignment_similarity(kind("p_partkey"), kind("p_size")).alias("similarity"))
 
 
-_LITERAL_ROWS = "('None'), ('True'), ('1'), ('-1.5e3'), ('1_000'), (' 2 '), ('nan'), ('''auto'''), (''''), ('f(x)'), (''), ('5d'), ('.5'), ('\"x\"')"
+_LITERAL_TEXT = """CASE p_partkey % 10 WHEN 0 THEN 'None' WHEN 1 THEN CASE WHEN p_size % 2 = 0 THEN 'True' ELSE 'False' END WHEN 2 THEN CAST(p_size AS STRING) WHEN 3 THEN concat('-', p_size, '.5e3') WHEN 4 THEN concat(p_size, '_000')
+ WHEN 5 THEN concat(chr(39), p_brand, chr(39)) WHEN 6 THEN concat('f(', p_size, ')') WHEN 7 THEN '' WHEN 8 THEN concat('"', p_brand, '"') ELSE concat(' .', p_size, ' ') END"""
 
 
-@query(f"SELECT v AS value, {_LITERAL_SQL.format(v='v')} AS kind FROM (VALUES {_LITERAL_ROWS}) t(v)")
+@query("SELECT p_partkey, ['none', 'boolean', 'number', 'number', 'number', 'string', NULL, NULL, NULL, 'number'][p_partkey % 10 + 1] AS kind FROM part")
 def default_literal_kind(spark, d):
-    return values(spark, _LITERAL_ROWS.replace("('''')", "(chr(39))"), "value").select("value", literals.kind(F.col("value")).alias("kind"))
+    rows = p.read(spark, d, "part").withColumn("value", F.expr(_LITERAL_TEXT))
+    return rows.select("p_partkey", literals.kind(F.col("value")).alias("kind"))
 
 
 @query("SELECT n_name AS target, arg_min(c_custkey, (-c_acctbal, c_custkey)) AS mapping FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
@@ -380,17 +382,20 @@ def mapping_first_match(spark, d):
     return matching.first_match(annotations, mappings).select("target", "mapping")
 
 
-_DUP_ROWS = "('rename', 'a/b', 'new', ''), ('rename', 'a/b', 'other', 'wrong'), ('rename', 'a/b', 'new', 'unsure'), ('move', 'a/b', 'm', 'correct'), ('remove', 'a/c', 'x', 'unsure'), ('remove', 'a/c', 'x', 'unsure')"
+_REVIEW_SQL = "CASE o_orderpriority WHEN '1-URGENT' THEN 'correct' WHEN '2-HIGH' THEN '' WHEN '3-MEDIUM' THEN 'unsure' ELSE 'wrong' END"
 
 
 @query(
-    f"""WITH t(kind, target, payload, r) AS (VALUES {_DUP_ROWS}),
-g AS (SELECT kind, target, arg_min(payload, (CASE r WHEN 'correct' THEN 0 WHEN '' THEN 1 WHEN 'unsure' THEN 2 ELSE 3 END, payload)) AS payload, arg_min(r, (CASE r WHEN 'correct' THEN 0 WHEN '' THEN 1 WHEN 'unsure' THEN 2 ELSE 3 END, payload)) AS r, count(*) AS n, count(DISTINCT payload) AS k FROM t GROUP BY 1, 2)
+    f"""WITH t AS (SELECT o_orderstatus AS kind, o_custkey AS target, floor(o_totalprice / 100000)::INT::VARCHAR AS payload, {_REVIEW_SQL} AS r FROM orders),
+o AS (SELECT *, CASE r WHEN 'correct' THEN 0 WHEN '' THEN 1 WHEN 'unsure' THEN 2 ELSE 3 END AS o FROM t),
+f AS (SELECT *, row_number() OVER (PARTITION BY kind, target ORDER BY o, payload) AS nth FROM o),
+g AS (SELECT kind, target, max(payload) FILTER (nth = 1) AS payload, max(r) FILTER (nth = 1) AS r, count(*) AS n, count(DISTINCT payload) AS k FROM f GROUP BY 1, 2)
 SELECT kind, target, payload, k - 1 AS conflicts, CASE WHEN k > 1 THEN 'unsure' ELSE r END AS reviewResult, n FROM g"""
 )
 def duplicate_resolution(spark, d):
-    out = matching.duplicates(values(spark, _DUP_ROWS, "kind, target, payload, reviewResult"))
-    return out.withColumn("conflicts", F.size("conflicts").cast("long"))
+    """Orders as annotations of their customers, the same ones several times."""
+    rows = p.read(spark, d, "orders").select(F.col("o_orderstatus").alias("kind"), F.col("o_custkey").alias("target"), F.floor(F.col("o_totalprice") / 100000).cast("int").cast("string").alias("payload"), F.expr(_REVIEW_SQL).alias("reviewResult"))
+    return matching.duplicates(rows).withColumn("conflicts", F.size("conflicts").cast("long"))
 
 
 # ---------------------------------------------------------------- graph
@@ -465,15 +470,15 @@ def reads_before_use(spark, d):
     return rows.groupBy(F.col("r.event_id").alias("read_id")).agg(F.count("*").alias("definitions"), F.min("w.event_id").alias("first_definition"))
 
 
-_MODES = "('a.txt', 'r'), ('b.txt', 'w'), ('c.txt', 'r+b'), ('d.txt', 'ab'), ('e.txt', 'zz')"
+_MODE_SQL = "concat(substring('rwaxz', CAST(p_partkey % 5 AS INT) + 1, 1), CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'b' WHEN 2 THEN 't+' ELSE '+b' END)"
 
 
 @query(
-    f"""SELECT file, mode, CASE WHEN mode NOT IN ('r', 'w', 'r+b', 'ab') THEN 'UNKNOWN' WHEN contains(mode, '+') THEN 'READ_WRITE' WHEN starts_with(mode, 'r') THEN 'READ' ELSE 'WRITE' END AS effect FROM (VALUES {_MODES}) t(file, mode)"""
+    f"""SELECT p_partkey, {_MODE_SQL} AS mode, CASE WHEN p_partkey % 5 = 4 THEN 'UNKNOWN' WHEN p_size % 4 > 1 THEN 'READ_WRITE' WHEN p_partkey % 5 = 0 THEN 'READ' ELSE 'WRITE' END AS effect FROM part"""
 )
 def open_mode_effects(spark, d):
-    rows = values(spark, _MODES, "file, mode")
-    return rows.join(F.broadcast(tables.frame(spark, "open_modes")), "mode", "left").select("file", "mode", F.coalesce("effect", F.lit("UNKNOWN")).alias("effect"))
+    rows = p.read(spark, d, "part").withColumn("mode", F.expr(_MODE_SQL))
+    return rows.join(F.broadcast(tables.frame(spark, "open_modes")), "mode", "left").select("p_partkey", "mode", F.coalesce("effect", F.lit("UNKNOWN")).alias("effect"))
 
 
 # ---------------------------------------------------------------- what the streaming operators give on a whole table
@@ -493,20 +498,20 @@ def stream_sessions(spark, d):
     return usage_stream.sessions(p.read(spark, d, "events").select("ts", "user_id"))
 
 
-_TOLD = """('f', 'f/a', 'a', 'Ignored when `b` is False. If c is None, then some rows are drawn'), ('f', 'f/b', 'b', 'A flag. When other is set, nothing happens.'), ('f', 'f/c', 'c', 'If b == "x", a ValueError is raised.'), ('f', 'f/e', 'e', ''), ('g', 'g/b', 'b', 'Used if c is given'), ('g', 'g/c', 'c', 'When the b is greater than 3, must be None')"""
-_ANY = lambda c, phrases: f"regexp_matches(lower({c}), '{'|'.join(phrases)}')"
+_CLAUSES = """CASE p_partkey % 5 WHEN 0 THEN concat('Ignored when `mode` is ', p_brand) WHEN 1 THEN concat('The size of ', p_name, '. If mode is None, then ', p_size, ' rows are drawn') WHEN 2 THEN 'If mode == "x", a ValueError is raised.'
+ WHEN 3 THEN 'When other is set, nothing happens.' ELSE concat('About ', p_name, '.') END"""
 
 
 @query(
-    f"""WITH p AS (SELECT * FROM (VALUES {_TOLD}) t(function_id, parameter_id, name, description)),
-c AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(description, '[`''"]', '', 'g'), '\\s*!=\\s*', ' does not equal ', 'g'), '\\s*={{1,2}}\\s*', ' equals ', 'g'), '\\s+', ' ', 'g')) AS text FROM p),
-s AS (SELECT function_id, parameter_id, unnest(string_split_regex(text, '\\. +')) AS sentence, generate_subscripts(string_split_regex(text, '\\. +'), 1) - 1 AS nth FROM c),
-m AS (SELECT *, regexp_extract(sentence, '{dependencies.CLAUSE}', 1) AS clause, regexp_extract(sentence, '{dependencies.CLAUSE}', 2) AS subject FROM s),
-x AS (SELECT m.function_id, m.parameter_id, p.parameter_id AS dependee_id, nth, regexp_replace(trim(clause), '^[ ,]+|[ ,.]+$', '', 'g') AS condition, regexp_replace(trim(replace(sentence, clause, '')), '^[ ,]+|[ ,.]+$', '', 'g') AS action
-  FROM m JOIN p ON m.function_id = p.function_id AND m.subject = p.name WHERE m.subject <> '')
-SELECT *, CASE WHEN {_ANY("condition", dependencies.IS_NONE)} THEN 'is_none' WHEN {_ANY("condition", dependencies.HAS_VALUE)} THEN 'has_value' ELSE 'other' END AS condition_kind,
-  CASE WHEN {_ANY("action", dependencies.IGNORED)} THEN 'is_ignored' WHEN {_ANY("action", dependencies.ILLEGAL)} THEN 'is_illegal' ELSE 'other' END AS action_kind FROM x WHERE action <> ''"""
+    """WITH f AS (SELECT *, 'shop/' || p_brand AS function_id, p_partkey = min(p_partkey) OVER (PARTITION BY p_brand) AS first FROM part)
+SELECT function_id, function_id || '/' || CASE WHEN first THEN 'mode' ELSE 'p' || p_partkey END AS parameter_id, function_id || '/mode' AS dependee_id, CASE p_partkey % 5 WHEN 1 THEN 1 ELSE 0 END AS nth,
+ CASE p_partkey % 5 WHEN 0 THEN 'when mode is ' || p_brand WHEN 1 THEN 'If mode is None' ELSE 'If mode equals x' END AS condition, CASE p_partkey % 5 WHEN 0 THEN 'Ignored' WHEN 1 THEN 'then ' || p_size || ' rows are drawn' ELSE 'a ValueError is raised' END AS action,
+ ['other', 'is_none', 'has_value'][p_partkey % 5 + 1] AS condition_kind, CASE p_partkey % 5 WHEN 0 THEN 'is_ignored' WHEN 1 THEN 'other' ELSE 'is_illegal' END AS action_kind
+FROM f WHERE p_partkey % 5 < 3"""
 )
 def sibling_dependencies(spark, d):
-    rows = [("f", "f/a", "a", "Ignored when `b` is False. If c is None, then some rows are drawn"), ("f", "f/b", "b", "A flag. When other is set, nothing happens."), ("f", "f/c", "c", 'If b == "x", a ValueError is raised.'), ("f", "f/e", "e", ""), ("g", "g/b", "b", "Used if c is given"), ("g", "g/c", "c", "When the b is greater than 3, must be None")]
-    return dependencies.sibling_dependencies(spark.createDataFrame(rows, "function_id string, parameter_id string, name string, description string"))
+    """Brands as functions, parts as their parameters, of which the first is called mode: clauses about it, sentence by sentence."""
+    part = p.read(spark, d, "part").withColumn("function_id", F.concat(F.lit("shop/"), "p_brand"))
+    first = part.groupBy("function_id").agg(F.min("p_partkey").alias("first"))
+    rows = part.join(F.broadcast(first), "function_id").withColumn("name", F.when(F.col("p_partkey") == F.col("first"), "mode").otherwise(F.concat(F.lit("p"), "p_partkey")))
+    return dependencies.sibling_dependencies(rows.select("function_id", F.concat_ws("/", "function_id", "name").alias("parameter_id"), "name", F.expr(_CLAUSES).alias("description")))
