@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 from ..functions.similarity import SIMILARITIES
+from . import graph
 
 CREATE, GAP = 0.61, 0.23
 SURE, LIKELY = 0.85, 0.75
@@ -47,17 +48,20 @@ def candidates(v1: DataFrame, v2: DataFrame, score, threshold: float = CREATE, g
 
 
 def short_edit_pairs(v1: DataFrame, v2: DataFrame, threshold: float = CREATE) -> DataFrame:
-    """Pairs of names with 1 - edit distance / longer length >= threshold, by blocks instead of all pairs.
+    """Pairs of names with 1 - edit distance / longer length >= threshold, by blocks of lengths instead of all pairs.
 
-    Names within d edits share one of d + 1 pieces of the shorter one; here the necessary condition is on
-    lengths: |la - lb| / max(la, lb) <= 1 - threshold, so a name only meets lengths in that range.
+    |la - lb| / max(la, lb) <= 1 - threshold is necessary, so a name only meets lengths in that range. Each distinct name is
+    compared once, however many elements have it.
     """
+    names = lambda v: v.select("kind", "name").distinct()
     reach = F.sequence(F.ceil(F.length("name") * threshold).cast("int"), F.floor(F.length("name") / threshold).cast("int"))
-    a = v1.select("kind", F.col("id").alias("v1_id"), F.col("name").alias("n1"), F.explode(reach).alias("len"))
-    b = v2.select("kind", F.col("id").alias("v2_id"), F.col("name").alias("n2"), F.length("name").alias("len"))
+    a = names(v1).select("kind", F.col("name").alias("n1"), F.explode(reach).alias("len"))
+    b = names(v2).select("kind", F.col("name").alias("n2"), F.length("name").alias("len"))
     longer = F.greatest(F.length("n1"), F.length("n2"), F.lit(1))
-    rows = a.join(b, ["kind", "len"]).withColumn("similarity", 1 - F.levenshtein(F.col("n1"), F.col("n2")) / longer)
-    return rows.where(F.col("similarity") >= threshold).select("kind", "v1_id", "v2_id", "similarity")
+    near = a.join(b, ["kind", "len"]).withColumn("similarity", 1 - F.levenshtein(F.col("n1"), F.col("n2")) / longer).where(F.col("similarity") >= threshold)
+    one = v1.select("kind", F.col("id").alias("v1_id"), F.col("name").alias("n1"))
+    two = v2.select("kind", F.col("id").alias("v2_id"), F.col("name").alias("n2"))
+    return near.join(one, ["kind", "n1"]).join(two, ["kind", "n2"]).select("kind", "v1_id", "v2_id", "similarity")
 
 
 def merge_prefix(pairs: DataFrame, gap: float = GAP) -> DataFrame:
@@ -93,22 +97,29 @@ def _collapse(rows):
     return done
 
 
-def merge_shared(mappings: DataFrame, component: DataFrame | None = None) -> DataFrame:
+def merge_shared(mappings: DataFrame) -> DataFrame:
     """Mappings that share v2 elements become one: kind, similarity, v1_ids, v2_ids.
 
-    Similarities are means taken in v1's order, so each connected component is folded in that order by one
-    task; components are small, as they join elements of one API by likeness. component: (kind, v1_id,
-    component), or else a kind's mappings are folded together.
+    Similarities are means taken in v1's order, so each connected component of mappings that share elements is folded in that
+    order by one task; mappings that share none stay as they are.
     """
     import pandas as pd
 
-    rows = mappings.withColumn("component", F.lit(0).cast("long")) if component is None else mappings.join(component, ["kind", "v1_id"])
+    rows = cut(mappings.select("kind", "v1_id", "similarity", "v2_ids", "ord1"))
+    pairs = rows.select("kind", "v1_id", F.explode("v2_ids").alias("v2_id"))
+    several = pairs.groupBy("kind", "v2_id").agg(F.count("*").alias("n")).where("n > 1").select("kind", "v2_id")
+    node = lambda side, c: F.concat_ws("|", F.lit(side), "kind", c)
+    links = pairs.join(several, ["kind", "v2_id"]).select(node("1", "v1_id").alias("a"), node("2", "v2_id").alias("b"))
+    of = graph.components(links).withColumnRenamed("node", "a")
+    told = rows.withColumn("a", node("1", "v1_id")).join(of, "a", "left")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out = _collapse(pdf.to_dict("records"))
         return pd.DataFrame({"kind": pdf["kind"].iloc[0], "similarity": [x[0] for x in out], "v1_ids": [x[1] for x in out], "v2_ids": [x[2] for x in out]})
 
-    return rows.groupBy("kind", "component").applyInPandas(fold, "kind string, similarity double, v1_ids array<string>, v2_ids array<string>")
+    alone = told.where("component IS NULL").select("kind", "similarity", F.array("v1_id").alias("v1_ids"), "v2_ids")
+    shared = told.where("component IS NOT NULL").drop("a").groupBy("kind", "component")
+    return alone.unionByName(shared.applyInPandas(fold, "kind string, similarity double, v1_ids array<string>, v2_ids array<string>"))
 
 
 def shape(mappings: DataFrame) -> DataFrame:
