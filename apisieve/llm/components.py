@@ -1,30 +1,13 @@
-"""Connected components of an undirected graph, as joins that end in written tables."""
+"""Connected components whose tables are scratch tables of this subpackage."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..operators import graph
 from .common import materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for edges (a, b) of longs; a component is its smallest node.
-
-    Every round takes the smallest label among neighbours and then the label's own label, so paths halve.
-    Sums before the shuffles keep a node with very many edges from gathering them in one task; the
-    joins that such a node skews are inner joins, which adaptive execution splits. Rounds end when no
-    label changes. Loops and repeated edges do no harm; no edges give no rows.
-    """
-    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct()
-    both = materialize(both, "edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label"))
-    while True:
-        labels = materialize(labels, "labels")
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("low"))
-        lower = materialize(lower, "lower")
-        if lower.where("low < label").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
-        jump = lower.select(F.col("node").alias("of"), F.col("low").alias("further"))
-        labels = lower.join(jump, F.col("low") == F.col("of")).select("node", F.least("low", "further").alias("label"))
+    """(node, component) for edges (a, b) of longs, as operators.graph.components gives it; its tables go with clear_scratch()."""
+    return graph.components(edges, lambda df: materialize(df, "labels"))

@@ -104,10 +104,14 @@ def _merged(slim: DataFrame, base: DataFrame | None) -> tuple[DataFrame, DataFra
     n_buckets = -(-max(old.count(), new.count(), 1) // KEYS_A_FILTER)
     filters = materialize(build_filters(old, n_buckets), "fuse")
     seen = new.join(screen(new, filters, n_buckets), "key")
-    hits = seen.where("maybe").select("key", F.col("best").alias("b2"), F.col("n").alias("n2"))
+    hits = materialize(seen.where("maybe").select("key", F.col("best").alias("b2"), F.col("n").alias("n2")), "hits")
     fresh = seen.where(~F.col("maybe")).select("key", "best", "n")
-    both = old.join(hits, "key", "full").select("key", F.least("best", "b2").alias("best"), (F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"))
-    merged = materialize(both.unionByName(fresh), "groups")
+    # only hits meet the snapshot, which is not shuffled as long as they are few enough to be broadcast
+    few = hits.count() <= BROADCAST_DIGESTS
+    both = materialize(old.join(F.broadcast(hits) if few else hits, "key", "left").select("key", F.least("best", "b2").alias("best"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.col("b2").isNotNull().alias("hit")), "both")
+    met = both.where("hit").select("key")  # of the hits, those that are in the snapshot; the others came through the filter by chance
+    chance = hits.join(F.broadcast(met) if few else met, "key", "left_anti").select("key", F.col("b2").alias("best"), F.col("n2").alias("n"))
+    merged = materialize(both.drop("hit").unionByName(fresh).unionByName(chance), "groups")
     if base is None:
         return merged, None
     several = merged.where("n > 1").select("key")

@@ -136,6 +136,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, size=None, cluster=None, sha
     slim = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "source", words.cast("long").alias("size"), F.coalesce(same.cast("long"), F.lit(0)).alias("cluster"), same.isNull().alias("no_cluster"), F.xxhash64("doc_id", "text").alias("h"))
     slim = materialize(slim.withColumn("rid", F.monotonically_increasing_id()), "sizes")
     shards = max(1, -(-slim.count() // shard_rows))
+    groups = -(-shards // TOGETHER)
     full = F.floor((F.col("size") - 1) / capacity).cast("int")  # pieces before the last
     slim = slim.withColumn("before", F.greatest(F.lit(0), full)).withColumn("last", F.col("size") - F.col("before") * capacity)
     # crowds of rows that repeat in full: at most 4 of them a shard
@@ -154,12 +155,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, size=None, cluster=None, sha
 
     def second(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = _ordered(pdf)
-        pdf["bin"], pdf["shard"] = _bins(pdf, capacity), shards + pdf["shard"] // TOGETHER
+        pdf["bin"], pdf["shard"] = _bins(pdf, capacity), shards + pdf["shard"] % groups
         return pdf
 
     schema = StructType([*slim.schema, StructField("bin", LongType()), StructField("open", BooleanType()), StructField("home", IntegerType()), StructField("own", LongType())])
     packed = materialize(slim.groupBy("shard").applyInPandas(first, schema), "first")
-    again = packed.where("open").groupBy(F.floor(F.col("shard") / TOGETHER)).applyInPandas(second, schema)
+    again = packed.where("open").groupBy(F.pmod("shard", F.lit(groups))).applyInPandas(second, schema)
     packed = packed.where("not open").unionByName(again)
     piece = F.posexplode(F.sequence(F.lit(0), F.col("before"))).alias("piece", "at")
     packed = packed.select("*", piece)
