@@ -229,7 +229,7 @@ def source_errors(spark, d):
     return files.parse_calls(clients(spark, d), "shop").where("error IS NOT NULL").select("path", "error")
 
 
-# ---------------------------------------------------------------- purity: a module for every part, of one of ten forms
+# ---------------------------------------------------------------- purity: a module for every part, of one of sixteen forms
 
 _BODIES = [
     # (lines, line of f, reasons of f, further functions as (name, line, reasons))
@@ -243,6 +243,15 @@ _BODIES = [
     (["'def f(x: int) -> int:'", "'    y: dict = {k: v for k, v in x}'", "'    return y'"], 1, [], []),
     (["concat('def f(x):')", "concat('    with open(''data', p_size, '.txt'') as h:')", "'        return h.read()'"], 1, ["'FileRead.StringLiteral.data' || p_size || '.txt'"], []),
     (["'seen = 1'", "''", "'def f(xs):'", "'    return [seen for seen in xs]'"], 3, [], []),
+    (
+        ["'class Box:'", "'    limit = 9'", "''", "'    def __init__(self, size):'", "'        self.size = size'", "''", "'    @property'", "'    def full(self):'", "'        return self.size > self.limit'", "''", "'def f(box):'", "'    return box.full'"],
+        11, ["'NonLocalVariableRead.InstanceVariable.Box.size'", "'NonLocalVariableRead.ClassVariable.Box.limit'"], [("__init__", 4, []), ("full", 8, ["'NonLocalVariableRead.InstanceVariable.Box.size'", "'NonLocalVariableRead.ClassVariable.Box.limit'"])],
+    ),
+    (["'class Base:'", "'    def __init__(self):'", "'        print(1)'", "''", "'class Child(Base):'", "'    pass'", "''", "'def f():'", "'    return Child()'"], 8, ["'FileWrite.Builtin.print'"], [("__init__", 2, ["'FileWrite.Builtin.print'"])]),
+    (["'class A(Exception):'", "'    x = 1'", "''", "'class B:'", "'    x = 2'", "''", "'def f(o):'", "'    return o.x'", "''", "'def g():'", "'    return A.x'"], 7, ["'NonLocalVariableRead.ClassVariable.A.x'", "'NonLocalVariableRead.ClassVariable.B.x'"], [("g", 10, ["'NonLocalVariableRead.ClassVariable.A.x'"])]),
+    (["'try:'", "'    from math import floor'", "'except ImportError:'", "'    floor = None'", "''", "'def f(x):'", "'    import time'", "'    return floor(x) + time.time()'"], 6, ["'NativeCall.math.floor'", "'NativeCall.time.time'"], []),
+    (["'double = lambda x: x * 2'", "'class C:'", "'    show = lambda self: print(self)'", "''", "'def f(c):'", "'    return c.show() + double(1)'"], 5, ["'FileWrite.Builtin.print'"], [("double", 1, []), ("show", 3, ["'FileWrite.Builtin.print'"])]),
+    (["concat('LIMIT', p_size, ' = 3')", "''", "'def f(xs):'", "concat('    return [x for x in xs if x > LIMIT', p_size, ']')"], 3, ["'NonLocalVariableRead.GlobalVariable.LIMIT' || p_size"], []),
 ]
 
 
@@ -276,11 +285,50 @@ def purity_package_report(spark, d):
     """One row per module: its functions by line, each pure or impure by the kinds of its reasons."""
     modules = pure_modules(spark, d)
     rows = purity.package_report(purity.analyse(files.parse_facts(modules)), modules.select("module"))
-    one = lambda f: F.concat_ws(":", F.element_at(F.split(F.substring_index(f["fn"], ".line", 1), r"\."), -1), f["line"].cast("string"), F.concat_ws(".", f["purity"], F.array_join(F.array_sort(F.map_keys(f["counts"])), ".")))
+    one = lambda f: F.concat_ws(":", f["name"], f["line"].cast("string"), F.concat_ws(".", f["purity"], F.array_join(F.array_sort(F.map_keys(f["counts"])), ".")))
     told = F.transform("functions", one)
     return rows.select("module", F.regexp_replace(F.array_join(told, " "), "Pure\\.", "Pure").alias("functions"))
 
 
+@query("SELECT 'shop.m' || p_partkey AS module, unnest(CASE p_partkey % 16 WHEN 11 THEN ['Child'] WHEN 12 THEN ['A'] ELSE [] END) AS klass, CASE p_partkey % 16 WHEN 11 THEN 'Base' ELSE 'Exception' END AS base, CASE p_partkey % 16 WHEN 11 THEN 'class' ELSE 'builtin' END AS kind FROM part")
+def class_bases(spark, d):
+    """Bases of all classes: classes of the module, or builtins."""
+    return purity.bases(files.parse_facts(pure_modules(spark, d)))
+
+
+@query(
+    """WITH c AS (SELECT 'shop/' || p_brand AS package, unnest(CASE p_partkey % 16 WHEN 10 THEN ['Box'] WHEN 11 THEN ['Base', 'Child'] WHEN 12 THEN ['A', 'B'] WHEN 14 THEN ['C'] ELSE [] END) AS name, p_partkey FROM part)
+SELECT package, name, 'shop.m' || max(p_partkey) AS module FROM c GROUP BY 1, 2"""
+)
+def package_classes(spark, d):
+    """Brands as packages, whose modules are their parts: of classes of one name the last module's counts."""
+    packages = p.read(spark, d, "part").select(F.concat(F.lit("shop.m"), "p_partkey").alias("module"), F.concat(F.lit("shop/"), "p_brand").alias("package"), F.col("p_partkey").alias("ord"))
+    return purity.combined(files.parse_facts(pure_modules(spark, d)), packages)[0]
+
+
+@query(
+    """WITH c AS (
+  SELECT 'shop/' || p_brand AS package, p_partkey, unnest(CASE p_partkey % 16 WHEN 4 THEN ['f', 'g'] WHEN 6 THEN ['f', 'even', 'odd'] WHEN 12 THEN ['f', 'g'] WHEN 14 THEN ['f', 'double'] ELSE ['f'] END) AS name FROM part)
+SELECT package, name, count(*) AS n, 'shop.m' || min(p_partkey) AS first FROM c GROUP BY 1, 2"""
+)
+def package_functions(spark, d):
+    """Functions of one name in a package stand together, in the order of their modules."""
+    packages = p.read(spark, d, "part").select(F.concat(F.lit("shop.m"), "p_partkey").alias("module"), F.concat(F.lit("shop/"), "p_brand").alias("package"), F.col("p_partkey").alias("ord"))
+    rows = purity.combined(files.parse_facts(pure_modules(spark, d)), packages)[1]
+    return rows.select("package", "name", F.size("fns").cast("long").alias("n"), F.substring_index(F.col("fns")[0], ".", 2).alias("first"))
+
+
+@query(
+    """SELECT 'shop.m' || p_partkey AS module, v.* FROM part, (VALUES ('x', 'read', 2, 0), ('a', 'read', 3, 2), ('a', 'read', 3, 3), ('a', 'reassign', 3, 2), ('a', 'read', 4, 2), ('a', 'read', 4, 3)) v(name, kind, line, defined)"""
+)
+def local_references(spark, d):
+    """Local reads with all earlier definitions, and reassignments with those before them."""
+    text = "concat_ws(chr(10), 'def f(x):', '    a = x', concat('    a = a + ', p_size), '    return a', '')"
+    rows = p.read(spark, d, "part").selectExpr("concat('shop.m', p_partkey) AS module", f"{text} AS content").repartition(max(2, spark.sparkContext.defaultParallelism))
+    links = purity.local_links(cut(files.parse_facts(rows)))
+    return links.select(F.substring_index("fn", ".", 2).alias("module"), "name", "kind", "line", F.coalesce("defined", F.lit(0)).alias("defined"))
+
+
 # ---------------------------------------------------------------- two versions of an API: a function and a parameter for every part
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import names
-from . import python_source
+from . import python_source, scopes
 
 HIDDEN_FILES_A_TASK = 500
 _TEST = re.compile("/tests?/")
@@ -123,7 +123,7 @@ def parse_facts(files: DataFrame) -> DataFrame:
     """Facts for purity: module and the columns of FACTS."""
 
     def run(module: pd.Series, content: pd.Series) -> pd.Series:
-        return pd.Series([python_source.purity_facts(c, m) for m, c in zip(module, content, strict=True)], dtype=object)
+        return pd.Series([scopes.module_facts(c, m) for m, c in zip(module, content, strict=True)], dtype=object)
 
     return files.select("module", F.explode(F.pandas_udf(run, FACTS)("module", "content")).alias("f")).select("module", "f.*")
 

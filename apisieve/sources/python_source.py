@@ -216,117 +216,3 @@ def calls(source: str, package: str) -> tuple[list[dict], str | None]:
                 "positional": [ast.unparse(a) for a in node.args], "keywords": [{"name": k.arg, "value": ast.unparse(k.value)} for k in node.keywords],
             })
     return out, None
-
-
-# ------------------------------------------------------------- facts for purity
-
-
-def purity_facts(source: str, module: str) -> list[dict]:
-    """Rows (fn, name, klass, line, fact, target, receiver, n_args, keywords, extra) about every function of a module, named lambdas among them.
-
-    fact is function, class, call, read, write, open or import. Anonymous lambdas and inner functions that aren't called by
-    name belong to the function around them. Reads are of module variables, writes of module, class and instance ones.
-    """
-    tree, error = parse(source)
-    if tree is None:
-        return [{"fn": None, "name": module, "klass": None, "line": None, "fact": "error", "target": error, "receiver": None, "n_args": None, "keywords": None, "extra": None}]
-    rows: list[dict] = []
-
-    def row(fn, fact, target, line, name=None, klass=None, receiver=None, n_args=None, keywords=None, extra=None):
-        rows.append({"fn": fn, "name": name, "klass": klass, "line": line, "fact": fact, "target": target, "receiver": receiver, "n_args": n_args, "keywords": keywords, "extra": extra})
-
-    variables, imports, functions, classes = set(), {}, {}, {}
-
-    def targets(node):
-        for t in node.targets if isinstance(node, ast.Assign) else [node.target]:
-            for x in ast.walk(t):
-                if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Store):
-                    yield x.id
-
-    for node in tree.body:
-        if isinstance(node, (ast.Assign, ast.AnnAssign, ast.AugAssign)):
-            if not isinstance(getattr(node, "value", None), ast.Lambda):
-                variables.update(targets(node))
-        elif isinstance(node, ast.Import):
-            imports |= {a.asname or a.name.split(".")[0]: a.name for a in node.names}
-        elif isinstance(node, ast.ImportFrom):
-            imports |= {a.asname or a.name: f"{node.module}.{a.name}" for a in node.names}
-    members: dict[str, str] = {}  # class and instance variables by name, over all classes
-    for c in (n for n in ast.walk(tree) if isinstance(n, ast.ClassDef)):
-        classes[c.name] = c
-        for node in c.body:
-            if isinstance(node, (ast.Assign, ast.AnnAssign)):
-                members |= {t: f"ClassVariable.{c.name}.{t}" for t in targets(node)}
-        members |= {a["name"]: f"InstanceVariable.{c.name}.{a['name']}" for a in instance_attributes(c, c.name)}
-
-    def body_of(f):
-        return [f.body] if isinstance(f, ast.Lambda) else f.body
-
-    def analyse(f, name, klass):
-        fn = f"{module}.{(klass + '.') if klass else ''}{name}.line{f.lineno}"
-        a = f.args
-        params = [x.arg for x in [*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))]]
-        least = len(a.posonlyargs + a.args) - len(a.defaults) - (1 if klass else 0)
-        most = None if a.vararg else len(a.posonlyargs + a.args) - (1 if klass else 0)
-        row(fn, "function", name, f.lineno, name, klass, n_args=max(0, least), keywords=params, extra=None if most is None else str(most))
-        nested = [n for b in body_of(f) for n in ast.walk(b) if isinstance(n, _FUNCTIONS)]
-        for n in nested:
-            analyse(n, n.name, None)
-        inner = {id(x) for n in nested for x in ast.walk(n) if x is not n}
-        nodes = [n for b in body_of(f) for n in ast.walk(b) if id(n) not in inner]
-        told = {g for n in nodes if isinstance(n, ast.Global) for g in n.names}
-        local = {n.id for n in nodes if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)} - told | set(params) | {n.name for n in nested}
-        called = {id(n.func) for n in nodes if isinstance(n, ast.Call)}
-        for n in nodes:
-            if isinstance(n, ast.Name) and n.id in variables and n.id not in local:
-                row(fn, "write" if isinstance(n.ctx, (ast.Store, ast.Del)) else "read", f"GlobalVariable.{n.id}", n.lineno)
-            elif isinstance(n, ast.Name) and n.id in told and isinstance(n.ctx, ast.Store):
-                row(fn, "write", f"GlobalVariable.{n.id}", n.lineno)
-            elif isinstance(n, ast.Attribute) and id(n) not in called:
-                chain = _chain(n)
-                if chain and chain[0] in imports and chain[0] not in local:
-                    row(fn, "read", f"Import.{imports[chain[0]]}.{'.'.join(chain[1:])}", n.lineno)
-                elif n.attr in members:
-                    store = isinstance(n.ctx, (ast.Store, ast.Del))
-                    mine = name in ("__init__", "__new__", "__post_init__") and chain and params and chain[0] == params[0]
-                    if not mine:
-                        row(fn, "write" if store else "read", members[n.attr], n.lineno)
-            elif isinstance(n, (ast.Subscript, ast.Attribute)) and isinstance(n.ctx, (ast.Store, ast.Del)):
-                root = n.value
-                while isinstance(root, (ast.Subscript, ast.Attribute)):
-                    root = root.value
-                if isinstance(root, ast.Name) and root.id in variables and root.id not in local:
-                    row(fn, "write", f"GlobalVariable.{root.id}", n.lineno)
-            if isinstance(n, ast.Call):
-                chain = _chain(n.func)
-                keys = [k.arg for k in n.keywords if k.arg]
-                if chain == ["open"] and "open" not in local:
-                    file = n.args[0] if n.args else None
-                    mode = n.args[1] if len(n.args) > 1 else None
-                    shown = None if file is None else f"StringLiteral.{file.value}" if isinstance(file, ast.Constant) else f"ParameterAccess.{ast.unparse(file)}"
-                    text = "r" if mode is None else mode.value if isinstance(mode, ast.Constant) else None
-                    row(fn, "open", shown, n.lineno, extra=text)
-                elif chain is None:
-                    row(fn, "call", n.func.attr if isinstance(n.func, ast.Attribute) else ast.unparse(n.func), n.lineno, receiver="?", n_args=len(n.args), keywords=keys)
-                elif len(chain) == 1:
-                    kind = "parameter" if chain[0] in params else "import" if chain[0] in imports and chain[0] not in local else "name"
-                    row(fn, "call", imports[chain[0]] if kind == "import" else chain[0], n.lineno, receiver=None if kind == "name" else kind, n_args=len(n.args), keywords=keys)
-                elif chain[0] in imports and chain[0] not in local:
-                    row(fn, "call", ".".join([imports[chain[0]], *chain[1:]]), n.lineno, receiver="import", n_args=len(n.args), keywords=keys)
-                else:
-                    row(fn, "call", chain[-1], n.lineno, receiver=chain[0], n_args=len(n.args), keywords=keys)
-
-    for node in tree.body:
-        if isinstance(node, _FUNCTIONS):
-            analyse(node, node.name, None)
-        elif isinstance(node, (ast.Assign, ast.AnnAssign)) and isinstance(getattr(node, "value", None), ast.Lambda):
-            for name in targets(node):
-                analyse(node.value, name, None)
-    for c in classes.values():
-        row(None, "class", c.name, c.lineno, c.name)
-        for f in c.body:
-            if isinstance(f, _FUNCTIONS):
-                analyse(f, f.name, c.name)
-    for alias, origin in imports.items():
-        row(None, "import", origin, None, alias)
-    return rows

@@ -25,22 +25,40 @@ EFFECTS = {
 }
 
 
+#: Builtins of Python (fixed values): exceptions, and functions, types and constants.
+EXCEPTIONS = """
+ArithmeticError AssertionError AttributeError BaseException BaseExceptionGroup BlockingIOError BrokenPipeError BufferError BytesWarning ChildProcessError ConnectionAbortedError ConnectionError
+ConnectionRefusedError ConnectionResetError DeprecationWarning EOFError EncodingWarning EnvironmentError Exception ExceptionGroup FileExistsError FileNotFoundError FloatingPointError FutureWarning
+GeneratorExit IOError ImportError ImportWarning IndentationError IndexError InterruptedError IsADirectoryError KeyError KeyboardInterrupt LookupError MemoryError ModuleNotFoundError NameError
+NotADirectoryError NotImplementedError OSError OverflowError PendingDeprecationWarning PermissionError ProcessLookupError PythonFinalizationError RecursionError ReferenceError ResourceWarning
+RuntimeError RuntimeWarning StopAsyncIteration StopIteration SyntaxError SyntaxWarning SystemError SystemExit TabError TimeoutError TypeError UnboundLocalError UnicodeDecodeError UnicodeEncodeError
+UnicodeError UnicodeTranslateError UnicodeWarning UserWarning ValueError Warning ZeroDivisionError
+"""
+BUILTINS = """
+Ellipsis False None NotImplemented True abs aiter all anext any ascii bin bool breakpoint bytearray bytes callable chr classmethod compile complex delattr dict dir divmod enumerate eval exec filter
+float format frozenset getattr globals hasattr hash help hex id input int isinstance issubclass iter len list locals map max memoryview min next object oct open ord pow print property range repr
+reversed round set setattr slice sorted staticmethod str sum super tuple type vars zip
+"""
+#: Methods of str, bytes, list, dict, set, tuple, int and float (fixed values).
+METHODS = """
+add append as_integer_ratio bit_count bit_length capitalize casefold center clear conjugate copy count decode denominator difference difference_update discard encode endswith expandtabs extend find
+format format_map from_bytes fromhex fromkeys get hex imag index insert intersection intersection_update is_integer isalnum isalpha isascii isdecimal isdigit isdisjoint isidentifier islower isnumeric
+isprintable isspace issubset issuperset istitle isupper items join keys ljust lower lstrip maketrans numerator partition pop popitem real remove removeprefix removesuffix replace reverse rfind rindex
+rjust rpartition rsplit rstrip setdefault sort split splitlines startswith strip swapcase symmetric_difference symmetric_difference_update title to_bytes translate union update upper values zfill
+"""
+#: Modules of Python's library that are not written in Python (fixed values).
+NATIVE = "array atexit binascii builtins cmath errno faulthandler fcntl gc grp itertools marshal math mmap msvcrt posix pwd pyexpat resource select sys syslog termios time unicodedata winreg winsound xxsubtype zlib".split()
+
+
 def builtin_purity() -> list[tuple[str, bool, list[str]]]:
     """(name, is_pure, reasons) of Python's builtins: exceptions, None and Ellipsis count as impure without a reason."""
-    import builtins
-
-    out = []
-    for name in sorted(n for n in dir(builtins) if not n.startswith("__")):
-        thing = getattr(builtins, name)
-        silent = name in ("None", "Ellipsis") or isinstance(thing, type) and issubclass(thing, BaseException)
-        out.append((name, name not in EFFECTS and not silent, list(EFFECTS.get(name, ()))))
-    return out
+    silent = {*EXCEPTIONS.split(), "None", "Ellipsis"}
+    return [(name, name not in EFFECTS and name not in silent, list(EFFECTS.get(name, ()))) for name in sorted([*EXCEPTIONS.split(), *BUILTINS.split()])]
 
 
 def method_names() -> list[str]:
     """Methods of builtin types, which count as pure where their object isn't known."""
-    kinds = (str, bytes, list, dict, set, tuple, int, float)
-    return sorted({n for k in kinds for n in dir(k) if not n.startswith("_")})
+    return METHODS.split()
 
 
 #: Calls that are taken for file operations.

@@ -120,7 +120,7 @@ def test_propagation(spark):
 
 
 def test_purity_of_source(spark):
-    found = {r.fn.split(".")[-2]: r for r in purity.analyse(files.parse_facts(fixtures.library(spark))).collect()}
+    found = {r.name: r for r in purity.analyse(files.parse_facts(fixtures.library(spark))).collect()}
     assert found["even"].is_pure and found["odd"].is_pure and found["price"].is_pure
     assert found["remember"].reasons == ["NonLocalVariableWrite.GlobalVariable.seen"] or "NonLocalVariableWrite.GlobalVariable.seen" in found["remember"].reasons
     assert "FileRead.ParameterAccess.path" in found["load"].reasons
@@ -188,5 +188,5 @@ def test_dependencies_and_their_file(spark, tmp_path):
 def test_purity_file(spark, tmp_path):
     json_io.write_purity(purity.analyse(files.parse_facts(fixtures.library(spark))), str(tmp_path / "purity"))
     line = json.loads(next(p for p in (tmp_path / "purity").iterdir() if p.suffix == ".json").read_text().splitlines()[0])
-    by = {f["fn"].split(".")[-2]: f for f in line["functions"]}
+    by = {f["fn"].split(".")[-3]: f for f in line["functions"]}
     assert by["price"]["purity"] == "Pure" and json.loads(by["log"]["reasons"])["CallOfParameter"] == ["CallOfParameter.ParameterAccess.sink"]
