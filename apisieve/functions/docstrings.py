@@ -26,6 +26,7 @@ def _entry(names: str, type_: str = "", default: str = "", description: str = ""
 # ------------------------------------------------------------- numpydoc
 
 _UNDERLINE = re.compile(r"^[-=]{3,}\s*$")
+#: What parts a type from a default (fixed value).
 _DEFAULT = re.compile(r",\s*optional|,\s*default\s*[:=]?")
 _DEFAULT_VALUE = re.compile(r"default\s*(?:[:=]|is)?\s*([^,]+)$")
 
@@ -143,7 +144,7 @@ def parse(doc: str | None, style: str) -> dict:
     """description, parameters, attributes and results of a docstring; entries have names, type, default_value, description. Plain text is all description."""
     text, style = _clean(doc), style_of(style)
     if style == "numpydoc":
-        return _numpydoc(text)
+        return _numpydoc(text) | {"style": style}
     if style == "google":
         return _google(text)
     if style == "rest":
@@ -153,8 +154,14 @@ def parse(doc: str | None, style: str) -> dict:
     return {"description": text, "parameters": [], "attributes": [], "results": []}
 
 
-def parameter(parsed: dict, name: str) -> dict:
-    """The last entry that names a parameter, with or without stars; empty fields if none does."""
-    found = [e for e in parsed["parameters"] if any(n.lstrip("*") == name for n in e["names"])]
+#: The stars that numpydoc writes before the names of variadic parameters.
+_STARS = {"POSITIONAL_VARARG": "*", "NAMED_VARARG": "**"}
+
+
+def parameter(parsed: dict, name: str, assigned_by: str | None = None) -> dict:
+    """The last entry that names a parameter; empty fields if none does. In numpydoc a variadic parameter has its own stars and
+    another has none; in other styles, and where assigned_by is not told, stars don't matter."""
+    exact = None if assigned_by is None or parsed.get("style") != "numpydoc" else _STARS.get(assigned_by, "") + name
+    found = [e for e in parsed["parameters"] if any(n == exact if exact else n.lstrip("*") == name for n in e["names"])]
     best = found[-1] if found else {"type": "", "default_value": "", "description": ""}
     return {k: best[k] for k in ("type", "default_value", "description")}

@@ -13,6 +13,23 @@ _NUM = r"[-+]?(?:\d+\.?\d*(?:e[-+]?\d+)?|\.\d+)"
 _WORDS = dict(zip(("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"), range(10), strict=True))
 _HALF_LINES = {"non-negative": (0.0, True, INF, False), "non-positive": (-INF, False, 0.0, True), "positive": (0.0, False, INF, False), "negative": (-INF, False, 0.0, False)}
 
+#: Relations as words (fixed values), longer signs first.
+RELATIONS = {">=": "GEQ$", "<=": "LEQ$", "<": "LT$", ">": "GT$"}
+
+
+def bounds_text(text: Column) -> Column:
+    """A text ready for rules about bounds: relations as words, no backticks, single blanks."""
+    for sign, word in RELATIONS.items():
+        text = F.replace(text, F.lit(sign), F.lit(word))
+    return F.regexp_replace(F.replace(text, F.lit("`"), F.lit("")), r"\s+", " ")
+
+
+def values_text(text: Column, is_type: bool = False) -> Column:
+    """A text ready for rules about values: runs of backticks as one; of a type string, single blanks."""
+    text = F.regexp_replace(text, "`+", "`")
+    return F.regexp_replace(text, r"\s+", " ") if is_type else text
+
+
 # ------------------------------------------------------------- bounds
 
 

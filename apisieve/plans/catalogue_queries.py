@@ -104,6 +104,24 @@ def dependency_annotations(spark, d):
     return out.select("target", F.array_join("is_depending_on", ",").alias("depends_on"), F.array_join("has_dependent_parameter", ",").alias("dependents"))
 
 
+@query(
+    """SELECT p_partkey AS id, p_name || ' GEQ$ ' || p_size || ' and LT$x GT$ ' || p_brand AS for_bounds,
+ p_name || ' `' || p_brand || '`  or  `x`' AS for_values, p_name || ' `' || p_brand || '` or `x`' AS for_types FROM part"""
+)
+def normalised_texts(spark, d):
+    """Texts as the rules read them: relations as words, runs of backticks and blanks as one."""
+    part = p.read(spark, d, "part").withColumn("bound", F.expr("concat(p_name, ' >= ', p_size, '  and <`x` > ``', p_brand, '``')")).withColumn("value", F.expr("concat(p_name, ' ``', p_brand, '``  or  ```x`')"))
+    return part.select(F.col("p_partkey").alias("id"), textmine.bounds_text(F.col("bound")).alias("for_bounds"), textmine.values_text(F.col("value")).alias("for_values"), textmine.values_text(F.col("value"), True).alias("for_types"))
+
+
+@query("SELECT p_partkey AS id, array_to_string(list_sort(list_distinct([p_brand, p_type, p_type, p_name])), ',') AS merged, array_to_string(CASE WHEN p_size > 25 THEN [p_name] ELSE [p_brand, p_name] END, ',') AS rest FROM part")
+def type_set_operations(spark, d):
+    """Values of two enumerations together, and a type's members less others."""
+    part, some = p.read(spark, d, "part"), F.array("p_brand", "p_type")
+    less = types.without(F.array("p_brand", "p_type", "p_name"), F.when(F.col("p_size") > 25, some).otherwise(F.array("p_type")))
+    return part.select(F.col("p_partkey").alias("id"), F.array_join(types.merged_values(some, F.array("p_type", "p_name")), ",").alias("merged"), F.array_join(less, ",").alias("rest"))
+
+
 _PARSED_TYPES = """CASE p_partkey % 5 WHEN 0 THEN concat('{"', p_brand, '", "', p_type, '"} or int, default=', p_size) WHEN 1 THEN 'float' WHEN 2 THEN concat('(int, ', p_type, ') or (float, float), str') WHEN 3 THEN concat(p_type, ' or ', p_brand, ',  or None')
  ELSE concat('array-like of shape (n, ', p_size, ')') END"""
 _PARSED_TEXTS = "CASE p_partkey % 5 WHEN 1 THEN concat('A float in the range [0, ', p_size, ').') ELSE concat('About ', p_name, '.') END"
@@ -195,6 +213,19 @@ def source_attributes(spark, d):
     return shop_catalogue(spark, d)["attributes"].select("id", F.size("types").alias("n_types"))
 
 
+@query(
+    f"""WITH m AS (SELECT {_MODULE} AS module, p_partkey, p_brand FROM part)
+SELECT module, 'json' AS origin, NULL AS declaration, NULL AS alias FROM m UNION ALL SELECT module, 'fast' || p_partkey, NULL, 'quick' FROM m UNION ALL SELECT module, 'shop.base', 'Item', NULL FROM m UNION ALL SELECT module, 'shop', 'rest', 'r' FROM m"""
+)
+def source_imports(spark, d):
+    """Imports of every module, also within try; relative ones by the module's place, those in functions are none of the module's."""
+    text = "concat_ws(chr(10), 'import json', 'try:', concat('    import fast', p_partkey, ' as quick'), 'except ImportError:', '    from .base import Item', 'from . import rest as r', 'def f():', '    import csv', '')"
+    rows = p.read(spark, d, "part").selectExpr(f"{_MODULE} AS module", f"{text} AS content").repartition(max(2, spark.sparkContext.defaultParallelism))
+    m = catalogue.build(rows, "shop")["modules"]
+    plain = m.select(F.col("name").alias("module"), F.explode("imports").alias("i")).select("module", F.col("i.module").alias("origin"), F.lit(None).cast("string").alias("declaration"), "i.alias")
+    return plain.unionByName(m.select(F.col("name").alias("module"), F.explode("from_imports").alias("i")).select("module", F.col("i.module").alias("origin"), "i.declaration", "i.alias"))
+
+
 # Clients: a file for every order, about the part whose number is the customer's.
 _CLIENT = f"""CASE o_orderstatus WHEN 'F' THEN concat_ws(chr(10), concat('from ', {_MODULE}, ' import Item', p_partkey), concat('b = Item', p_partkey, '(', o_orderkey % 5, ', brand=''x'')'), concat('b.grow(', o_orderkey % 3, ', twice=True)'), '')
  WHEN 'O' THEN concat_ws(chr(10), concat('from ', {_MODULE}, ' import ', {_NAME}), concat({_NAME}, '([1], 2.0)'), concat({_NAME}, '([2])'), '') ELSE concat_ws(chr(10), 'import shop', 'this is no code') END"""

@@ -42,25 +42,27 @@ def _read_hidden(spark: SparkSession, paths: list[str]) -> DataFrame:
             for path in b.column(0).to_pylist():
                 system, inner = fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path[5:])
                 with system.open_input_stream(inner) as f:
-                    texts.append(f.read().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["path", "content"])
+                    texts.append(f.read())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], names=["path", "content"])
 
     rows = spark.createDataFrame([(x,) for x in paths], "path string")
-    return rows.repartition(max(1, len(paths) // HIDDEN_FILES_A_TASK)).mapInArrow(run, "path string, content string")
+    return rows.repartition(max(1, len(paths) // HIDDEN_FILES_A_TASK)).mapInArrow(run, "path string, content binary")
 
 
 def scan(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame:
-    """(path, content) of all files below root that match; test folders are left out by the path before anything is read further.
+    """(path, content, error) of all files below root that match; files that aren't UTF-8 have the error UnicodeDecodeError and no content. Test folders are left out by the path before anything is read further.
 
     Spark's readers skip names that begin with an underscore, which most packages have (__init__.py,
     _core.py, _internal/): those are listed by the file system and read by tasks of HIDDEN_FILES_A_TASK files.
     """
     base = root.rstrip("/")
     hidden = [x for x in _listed(spark, root, pattern) if "/_" in x.split(base, 1)[-1]]
-    shown = spark.read.schema("value string").text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    shown = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=pattern).load(root).select("path", "content")
     if hidden:
         shown = shown.unionByName(_read_hidden(spark, [x for x in hidden if not _TEST.search(x)]))
-    return shown.where(~names.is_test_path("path"))
+    text = F.col("content").cast("string")
+    rows = shown.where(~names.is_test_path("path"))
+    return rows.select("path", F.when(F.is_valid_utf8(text), text).alias("content"), F.when(~F.is_valid_utf8(text), "UnicodeDecodeError").alias("error"))
 
 
 def exclude(rows: DataFrame, listed: DataFrame, column: str = "path") -> DataFrame:
@@ -109,14 +111,17 @@ def parse_declarations(files: DataFrame, package: str, style: str = "plaintext",
 
 
 def parse_calls(files: DataFrame, package: str) -> DataFrame:
-    """Calls in client files that mention the package: path, qname, line, col, positional, keywords; files that can't be parsed give their error and no call."""
+    """Calls in client files that mention the package: path, qname, line, col, positional, keywords; files that can't be parsed, or have an error already, give it and no call."""
 
     def run(content: pd.Series) -> pd.DataFrame:
         rows = [python_source.calls(c, package) for c in content]
         return pd.DataFrame({"calls": pd.Series([r[0] for r in rows], dtype=object), "error": pd.Series([r[1] for r in rows], dtype=object)})
 
     parsed = relevant(files, package).withColumn("r", F.pandas_udf(run, CALLED)("content"))
-    return parsed.select("path", "r.error", F.explode_outer("r.calls").alias("c")).select("path", "error", "c.*")
+    told = parsed.select("path", "r.error", F.explode_outer("r.calls").alias("c")).select("path", "error", "c.*")
+    if "error" not in files.columns:
+        return told
+    return told.unionByName(files.where("error IS NOT NULL").select("path", "error"), allowMissingColumns=True)
 
 
 def parse_facts(files: DataFrame) -> DataFrame:

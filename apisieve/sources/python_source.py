@@ -5,10 +5,22 @@ from __future__ import annotations
 import ast
 import re
 import textwrap
+from collections.abc import Iterator
 
 from ..functions import docstrings
 
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
+
+
+def own_nodes(statements: list[ast.stmt]) -> Iterator[ast.AST]:
+    """Nodes of a scope in the order of the source, without those in the functions, classes, lambdas and comprehensions inside it; these are given themselves."""
+    todo = list(statements)[::-1]
+    while todo:
+        node = todo.pop()
+        yield node
+        if not isinstance(node, (*_FUNCTIONS, ast.ClassDef, ast.Lambda, *COMPREHENSIONS)):
+            todo += list(ast.iter_child_nodes(node))[::-1]
 
 
 def parse(source: str) -> tuple[ast.Module | None, str | None]:
@@ -117,7 +129,7 @@ def declarations(source: str, package: str, module: str, style: str = "plaintext
     base = package + "/" + module
     top = {"id": base, "name": module, "imports": [], "from_imports": [], "classes": [], "functions": []}
     own = module.removesuffix(".__init__")
-    for node in tree.body:
+    for node in own_nodes(tree.body):  # also within try, if and with, but not in functions and classes
         if isinstance(node, ast.Import):
             top["imports"] += [{"module": a.name, "alias": a.asname} for a in node.names]
         elif isinstance(node, ast.ImportFrom):
@@ -153,7 +165,7 @@ def declarations(source: str, package: str, module: str, style: str = "plaintext
                 })
                 told = class_doc if node.name == "__init__" and class_doc else doc  # a constructor's parameters are told of by its class
                 for i, p in enumerate(parameters_of(node, kind == "class", decorators)):
-                    out["parameters"].append(p | {"id": f"{id_}/{p['name']}", "qname": f"{qname}.{p['name']}", "function_id": id_, "ordinal": i, "docstring": docstrings.parameter(told, p["name"])})
+                    out["parameters"].append(p | {"id": f"{id_}/{p['name']}", "qname": f"{qname}.{p['name']}", "function_id": id_, "ordinal": i, "docstring": docstrings.parameter(told, p["name"], p["assigned_by"])})
 
     visit(tree.body, [], [], top, "module", None)
     out["module"] = top

@@ -3,27 +3,15 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
 
-from .python_source import _chain, instance_attributes, parse
+from .python_source import COMPREHENSIONS, _chain, instance_attributes, own_nodes, parse
 
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
-_COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
 #: Methods that make an instance; what they assign on it is no side effect.
 MAKERS = ("__new__", "__init__", "__post_init__")
 FIELDS = ("fn", "name", "klass", "line", "fact", "target", "receiver", "n_args", "keywords", "extra")
 
 
-def _own(statements: list[ast.stmt]) -> Iterator[ast.AST]:
-    """Nodes of a scope, without those in the functions, classes, lambdas and comprehensions inside it; these are given themselves."""
-    todo = list(statements)[::-1]
-    while todo:
-        node = todo.pop()
-        yield node
-        if not isinstance(node, (*_FUNCTIONS, ast.ClassDef, ast.Lambda, *_COMPREHENSIONS)):
-            todo += list(ast.iter_child_nodes(node))[::-1]
-
-
 def _stored(nodes) -> set[str]:
     return {n.id for n in nodes if isinstance(n, ast.Name) and isinstance(n.ctx, (ast.Store, ast.Del))}
 
@@ -31,7 +19,7 @@ def _stored(nodes) -> set[str]:
 def _named_lambdas(statements: list[ast.stmt]) -> dict[str, ast.Lambda]:
     """Lambdas that a scope gives a name: they count as functions."""
     out = {}
-    for n in _own(statements):
+    for n in own_nodes(statements):
         targets = n.targets if isinstance(n, ast.Assign) else [n.target] if isinstance(n, ast.AnnAssign) else []
         if targets and isinstance(n.value, ast.Lambda):
             out |= {t.id: n.value for t in targets if isinstance(t, ast.Name)}
@@ -62,7 +50,7 @@ class _Module:
     def __init__(self, tree: ast.Module, module: str):
         self.rows: list[dict] = []
         self.module = module
-        top = list(_own(tree.body))
+        top = list(own_nodes(tree.body))
         self.is_init = module.endswith("__init__")
         self.imports = imported(top, module, self.is_init)
         lambdas = _named_lambdas(tree.body)
@@ -78,7 +66,7 @@ class _Module:
         for name, f in lambdas.items():
             self.function(f, name)
         for c in classes:
-            for n in _own(c.body):
+            for n in own_nodes(c.body):
                 if isinstance(n, _FUNCTIONS):
                     self.function(n, n.name, c.name)
             for name, f in _named_lambdas(c.body).items():
@@ -106,7 +94,7 @@ class _Module:
         self.row("class", c.name, line=c.lineno, name=c.name, extra=self.maker(c.name))
         for b in c.bases:
             self.row("base", ast.unparse(b), line=c.lineno, klass=c.name, extra="class" if isinstance(b, ast.Name) and b.id in self.classes else "other")
-        for name in sorted(_stored(_own(c.body)) - set(_named_lambdas(c.body))):
+        for name in sorted(_stored(own_nodes(c.body)) - set(_named_lambdas(c.body))):
             self.row("member", name, klass=c.name, extra="ClassVariable")
         for a in instance_attributes(c, c.name):
             self.row("member", a["name"], klass=c.name, extra="InstanceVariable")
@@ -133,7 +121,7 @@ class _Body:
         self.m, self.fn, self.name, self.klass, self.params, self.outer = module, fn, name, klass, params, outer
 
     def run(self, body: list[ast.AST]) -> None:
-        own = list(_own(body))
+        own = list(own_nodes(body))
         declared = {g for n in own if isinstance(n, ast.Global) for g in n.names}
         borrowed = {g for n in own if isinstance(n, ast.Nonlocal) for g in n.names}
         self.global_names = declared
@@ -167,7 +155,7 @@ class _Body:
         handler = getattr(self, "on_" + type(node).__name__.lower(), None)
         if handler:
             handler(node, hidden)
-        elif isinstance(node, _COMPREHENSIONS):
+        elif isinstance(node, COMPREHENSIONS):
             self.on_comprehension(node, hidden)
         else:
             for child in ast.iter_child_nodes(node):

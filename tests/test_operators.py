@@ -24,6 +24,15 @@ def test_scan(spark, tmp_path):
     assert [r.module for r in files.exclude(rows, listed, "module").collect()] == ["lib.__init__"]
 
 
+def test_files_in_other_encodings(spark, tmp_path):
+    for name in ("a.py", "_b.py"):
+        (tmp_path / name).write_bytes("from lib import f  # caf\u00e9\n".encode("latin-1"))
+    (tmp_path / "c.py").write_text("from lib import f\nf(1)\n", encoding="utf-8")
+    rows = files.scan(spark, str(tmp_path))
+    found = files.parse_calls(rows, "lib").collect()
+    assert sorted((r.path[-4:], r.error, r.qname) for r in found) == [("/a.py"[-4:], "UnicodeDecodeError", None), ("_b.py"[-4:], "UnicodeDecodeError", None), ("/c.py"[-4:], None, "lib.f")]
+
+
 def test_api_round_trip(spark, tmp_path):
     built = catalogue.build(fixtures.library(spark), "shop", "numpydoc")
     path = str(tmp_path / "api")
