@@ -19,12 +19,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_path(spark: SparkSession, tag: str = "cut") -> str:
+    """A new path in the shared folder; what is written there goes when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/apisieve-{tag}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read again: lineage ends there, a lost executor costs no
     recomputation, and what several branches read is computed once. The table goes when the session's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/apisieve-cut-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

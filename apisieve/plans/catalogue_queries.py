@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..checkpoints import cut
-from ..functions import similarity, textmine, types
+from ..checkpoints import cut, new_path
+from ..functions import names, similarity, textmine, types
 from ..operators import carry, catalogue, matching, purity, suggest, usages
-from ..sources import files
+from ..sources import files, json_io
 from . import projections as p
 from .queries import ORACLES, QUERIES, query
 
@@ -360,6 +360,56 @@ def local_references(spark, d):
     return links.select(F.substring_index("fn", ".", 2).alias("module"), "name", "kind", "line", F.coalesce("defined", F.lit(0)).alias("defined"))
 
 
+# ---------------------------------------------------------------- files: written to the shared folder and read again
+
+
+@query(
+    f"""WITH {p.BOUND_SQL} SELECT 'function' AS kind, function_id AS id, NULL AS value, count(*) AS n FROM calls GROUP BY 2 UNION ALL SELECT 'class', class_id, NULL, count(*) FROM calls GROUP BY 2
+UNION ALL SELECT 'parameter', parameter_id, NULL, count(*) FROM bound GROUP BY 2 UNION ALL SELECT 'value', parameter_id, value, count(*) FROM bound GROUP BY 2, 3"""
+)
+def usages_file(spark, d):
+    """All usage counts through their JSON file."""
+    counts = usages.count_usages(p.calls(spark, d), p.bound(spark, d), "seen").withColumn("first_seen", F.lit(0).cast("long"))
+    json_io.write_usages(counts, path := new_path(spark, "usages"))
+    return json_io.read_usages(spark, path).select("kind", "id", "value", "n")
+
+
+@query(f"{_SHOP_SQL} SELECT id, assigned_by, default_value, is_public FROM params")
+def api_file(spark, d):
+    """The catalogue of all modules through its JSON file."""
+    json_io.write_api(shop_catalogue(spark, d), ("dist", "shop", "1"), path := new_path(spark, "api"))
+    return json_io.read_api(spark, path)["parameters"].select("id", "assigned_by", "default_value", "is_public")
+
+
+@query(f"{_SHOP_SQL} SELECT id, parent_kind FROM f WHERE is_public")
+def public_functions(spark, d):
+    return catalogue.public_only(shop_catalogue(spark, d))["functions"].select("id", "parent_kind")
+
+
+@query(f"{_SHOP_SQL} SELECT 'shop/' || module || '/' || class AS id, 2 AS methods FROM s WHERE open")
+def public_classes(spark, d):
+    return catalogue.public_only(shop_catalogue(spark, d))["classes"].select("id", F.size("methods").alias("methods"))
+
+
+_PATHS = "concat('lib', CASE p_partkey % 3 WHEN 0 THEN '/tests/' WHEN 1 THEN '/test/' ELSE '/testing/' END, CASE WHEN p_size % 2 = 0 THEN '__init__.py' ELSE concat('m', p_size, '.py') END)"
+
+
+@query("SELECT p_partkey AS id, p_partkey % 3 < 2 AS test, p_size % 2 = 0 AS init FROM part")
+def path_filters(spark, d):
+    """Which paths are tests, which are package files."""
+    return p.read(spark, d, "part").withColumn("path", F.expr(_PATHS)).select(F.col("p_partkey").alias("id"), names.is_test_path("path").alias("test"), names.is_init_path("path").alias("init"))
+
+
+@query(
+    """SELECT p_partkey AS id, p_size || CASE WHEN p_size = 1 THEN ' time' ELSE ' times' END AS counted, printf('%.2f%%', p_size / 7.0) AS share, 'line ' || (p_size % 5 + 1) || chr(10) || 'line ' || (p_size % 5 + 2) AS slice FROM part"""
+)
+def texts_of_numbers(spark, d):
+    """Counts with their noun, shares in per cent, and lines cut out of a source."""
+    lines = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.concat(F.lit("line "), i)), "\n")
+    first = (F.col("p_size") % 5 + 1).cast("int")
+    return p.read(spark, d, "part").select(F.col("p_partkey").alias("id"), names.pluralize(F.col("p_size"), "time").alias("counted"), names.percent(F.col("p_size") / 700).alias("share"), names.code_slice(lines, first, first + 1).alias("slice"))
+
+
 # ---------------------------------------------------------------- two versions of an API: a function and a parameter for every part
 
 
@@ -383,7 +433,13 @@ def versions(spark, d) -> tuple[DataFrame, DataFrame]:
             F.lit("parameter").alias("kind"), F.concat(*head, F.lit("/"), F.col("q")).alias("id"), F.col("q").alias("name"), F.concat(*head).alias("parent_id"), F.lit("function").alias("parent_kind"), (F.col("p_partkey") * 2 + 1).alias("ord"), F.lit("").alias("description"), none.alias("members"),
             none.alias("attributes"), none.alias("code_lines"), F.array("q").alias("types"), F.lit("POSITION_OR_NAME").alias("assigned_by"), F.col("p_partkey").cast("string").alias("default_value"), none.alias("superclasses"),
         )
-        return f.unionByName(x)
+        group = (F.lit("lib/m/C"), F.col("name"))
+        c = rows.select(
+            F.lit("class").alias("kind"), F.concat(*group).alias("id"), F.concat(F.lit("C"), "name").alias("name"), F.lit("lib/m").alias("parent_id"), F.lit("module").alias("parent_kind"), F.col("p_partkey").alias("ord"), F.col("q").alias("description"), F.array("q").alias("members"), F.array("n").alias("attributes"),
+            F.array(F.concat(F.lit("class C"), "name"), F.concat(F.lit("    "), "q")).alias("code_lines"), none.alias("types"), F.lit(None).cast("string").alias("assigned_by"), F.lit(None).cast("string").alias("default_value"), none.alias("superclasses"),
+        )
+        a = x.select(F.lit("attribute").alias("kind"), F.regexp_replace("id", "^lib/m/", "lib/m/C").alias("id"), "name", F.regexp_replace("parent_id", "^lib/m/", "lib/m/C").alias("parent_id"), F.lit("class").alias("parent_kind"), "ord", "description", "members", "attributes", "code_lines", "types", "assigned_by", "default_value", "superclasses")
+        return f.unionByName(x).unionByName(c).unionByName(a)
 
     one = version(part.withColumn("name", F.col("n")))
     two = version(part.where(f"NOT ({_GONE})").withColumn("name", F.when(F.expr(_RENAMED), F.concat("n", F.lit("_x"))).otherwise(F.col("n"))))
@@ -393,7 +449,9 @@ def versions(spark, d) -> tuple[DataFrame, DataFrame]:
 _VERSIONS_SQL = f"""WITH e AS (SELECT p_partkey, 'lib/m/' || md5(p_partkey::VARCHAR) AS id, md5('q' || p_partkey) AS q, {_RENAMED} AS renamed, {_GONE} AS gone FROM part),
 m AS (
   SELECT 'function' AS kind, CASE WHEN renamed THEN 'simple' ELSE 'unchanged' END AS stage, CASE WHEN renamed THEN (0.5 + (1 - 2.0 / 34) + 1 + 1 + 1) / 5 ELSE 1.0 END AS similarity, id AS v1, id || CASE WHEN renamed THEN '_x' ELSE '' END AS v2 FROM e WHERE NOT gone
-  UNION ALL SELECT 'parameter', CASE WHEN renamed THEN 'simple' ELSE 'unchanged' END, CASE WHEN renamed THEN (1 + 1 + 1 + 2.0 / 3 + 1) / 5 ELSE 1.0 END, id || '/' || q, id || CASE WHEN renamed THEN '_x' ELSE '' END || '/' || q FROM e WHERE NOT gone)"""
+  UNION ALL SELECT 'parameter', CASE WHEN renamed THEN 'simple' ELSE 'unchanged' END, CASE WHEN renamed THEN (1 + 1 + 1 + 2.0 / 3 + 1) / 5 ELSE 1.0 END, id || '/' || q, id || CASE WHEN renamed THEN '_x' ELSE '' END || '/' || q FROM e WHERE NOT gone
+  UNION ALL SELECT 'class', CASE WHEN renamed THEN 'simple' ELSE 'unchanged' END, CASE WHEN renamed THEN ((1 - 2.0 / 35) + 1 + 1 + 0.5 + 1 + 1) / 6 ELSE 1.0 END, replace(id, '/m/', '/m/C'), replace(id, '/m/', '/m/C') || CASE WHEN renamed THEN '_x' ELSE '' END FROM e WHERE NOT gone
+  UNION ALL SELECT 'attribute', CASE WHEN renamed THEN 'simple' ELSE 'unchanged' END, 1.0, replace(id, '/m/', '/m/C') || '/' || q, replace(id, '/m/', '/m/C') || CASE WHEN renamed THEN '_x' ELSE '' END || '/' || q FROM e WHERE NOT gone)"""
 
 
 @query(f"{_VERSIONS_SQL} SELECT kind, stage, round(similarity, 6)::DOUBLE AS similarity, v1, v2 FROM m")
@@ -404,8 +462,8 @@ def map_api_stages(spark, d):
 
 
 @query(
-    f"""{_VERSIONS_SQL} SELECT kind, CASE WHEN similarity = 1 THEN '1.0' ELSE round(similarity, 4)::VARCHAR END || '|`' || v1 || '`|`' || v2 || '`|' AS line FROM m
-UNION ALL SELECT 'function', '-|`' || id || '`||' FROM e WHERE gone UNION ALL SELECT 'parameter', '-|`' || id || '/' || q || '`||' FROM e WHERE gone"""
+    f"""{_VERSIONS_SQL} SELECT kind, CASE WHEN similarity = 1 THEN '1.0' ELSE round(similarity, 4)::VARCHAR END || '|`' || v1 || '`|`' || v2 || '`|' AS line FROM m WHERE kind <> 'attribute'
+UNION ALL SELECT 'class', '-|`' || replace(id, '/m/', '/m/C') || '`||' FROM e WHERE gone UNION ALL SELECT 'function', '-|`' || id || '`||' FROM e WHERE gone UNION ALL SELECT 'parameter', '-|`' || id || '/' || q || '`||' FROM e WHERE gone"""
 )
 def mapping_report(spark, d):
     """The report's lines, also for elements that are in no mapping."""
@@ -452,8 +510,8 @@ def annotated(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         "calledAfterName": only("calledAfter", F.format_string("g%d", F.col("p_partkey"))), "newDescription": only("description", F.lit("better")), "groupName": only("group", F.lit("G")), "parameters": only("group", F.array(F.lit("a"), F.lit("b"))),
         "destination": only("move", F.lit("elsewhere")), "newName": only("rename", F.lit("fresh")), "newTodo": only("todo", F.lit("look")), "is_depending_on": null("array<string>"), "has_dependent_parameter": null("array<string>"), "condition": null("string"), "action": null("string"),
     }
-    names = [x.name for x in spark.createDataFrame([], schema.ANNOTATIONS).schema]
-    return rows.select(*[filled[n].alias(n) for n in names]), mappings.withColumn("ord", -F.col("similarity")), v1, v2
+    columns = spark.createDataFrame([], schema.ANNOTATIONS).columns
+    return rows.select(*[filled[n].alias(n) for n in columns]), mappings.withColumn("ord", -F.col("similarity")), v1, v2
 
 
 _ANNOTATED_SQL = f"""WITH a AS (
@@ -483,6 +541,20 @@ def carry_annotations(spark, d):
     )
 
 
+@query(
+    f"""{_ANNOTATED_SQL} SELECT kind, 'lib/m' || p_size || '/f' || p_partkey || CASE WHEN kind IN ('boundary', 'enum', 'value') THEN '/x' ELSE '' END AS target,
+ CASE kind WHEN 'boundary' THEN p_size || '.5' WHEN 'calledAfter' THEN 'g' || p_partkey WHEN 'description' THEN 'better' WHEN 'enum' THEN 'E:a' WHEN 'group' THEN 'G' WHEN 'move' THEN 'elsewhere' WHEN 'rename' THEN 'fresh' WHEN 'todo' THEN 'look'
+   WHEN 'value' THEN ['constant', 'omitted', 'optional', 'required'][form - 9] ELSE '' END AS payload FROM a"""
+)
+def annotations_file(spark, d):
+    """Annotations of all kinds through their JSON file."""
+    json_io.write_annotations(annotated(spark, d)[0], path := new_path(spark, "annotations"))
+    rows = json_io.read_annotations(spark, path)
+    payload = F.coalesce("variant", F.concat_ws(":", "enum_name", F.col("pairs")[0]["stringValue"]), F.lit(""))
+    payload = F.when(F.col("kind") == "boundary", F.col("interval.upperIntervalLimit").cast("string")).when(F.col("kind").isin("enum", "value"), payload)
+    return rows.select("kind", "target", F.coalesce(payload, "calledAfterName", "newDescription", "groupName", "destination", "newName", "newTodo", F.lit("")).alias("payload"))
+
+
 # ---------------------------------------------------------------- similarity
 
 

@@ -154,6 +154,21 @@ def value_annotation_class(spark, d):
     return _value_annotations(spark, d).select("target", "variant", "default_value_type", "default_value")
 
 
+@query(
+    _CLASS_SQL.replace("v AS (\n  SELECT parameter_id AS target, kind1, v1,", "v AS (\n  SELECT parameter_id AS target, kind1, v1, n1, n2, v2, k, pv,")
+    + """ SELECT target, CASE WHEN variant = 'omitted' THEN 'I omitted this parameter because it is always set to the original default value (' || v1 || ').'
+  WHEN variant = 'constant' THEN 'I replaced this parameter with a constant because it is always set to the same literal value (' || v1 || ').'
+  WHEN variant = 'optional' THEN 'I made this parameter optional because there is a statistically significant most common value (p-value ' || printf('%.2f%%', pv * 100) || ' <= significance level 5%).'
+  WHEN k = 1 THEN 'I made this parameter required because, even though it is always set to the same value (' || v1 || '), that value is not a literal.'
+  WHEN kind1 IS NULL THEN 'I made this parameter required because the most common value (' || v1 || ') is not a literal.'
+  WHEN n1 = n2 THEN 'I made this parameter required because there is no single most common value (' || v1 || ' and ' || v2 || ' are both used ' || n1 || CASE WHEN n1 = 1 THEN ' time' ELSE ' times' END || ').'
+  ELSE 'I made this parameter required because there is no statistically significant most common value (p-value (' || printf('%.2f%%', pv * 100) || ') > significance level (5%).' END AS comment FROM v"""
+)
+def value_annotation_comments(spark, d):
+    """What each annotation says to its reader."""
+    return _value_annotations(spark, d).select("target", "comment")
+
+
 @query(_CLASS_SQL + " SELECT variant, count(*) AS n FROM v GROUP BY 1")
 def value_annotation_summary(spark, d):
     return _value_annotations(spark, d).groupBy("variant").agg(F.count("*").alias("n"))

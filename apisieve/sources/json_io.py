@@ -98,13 +98,14 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_annotations(rows: DataFrame, path: str) -> None:
-    """One JSON document; of annotations with one kind and target the last by comment stays."""
+    """One JSON document; of annotations with one kind and target the last by the column ord stays, or by comment where there is none."""
+    order = F.col("ord") if "ord" in rows.columns else F.coalesce("comment", F.lit(""))
     back = {v: k for k, v in _COLUMNS.items()}
     out = None
     for kind, payload in _PAYLOADS.items():
         fields = [x.split(":")[0] for x in (_COMMON + ("," + payload if payload else "")).replace("struct<isDiscrete:boolean,lowerIntervalLimit:double,lowerLimitType:int,upperIntervalLimit:double,upperLimitType:int>", "x").replace("struct<stringValue:string,instanceName:string>", "x").split(",")]
         columns = [F.col(_COLUMNS.get(f, f)).alias(back.get(f, f)) for f in fields]
-        last = rows.where(F.col("kind") == kind).groupBy("target").agg(F.max_by(F.struct(*columns), F.coalesce("comment", F.lit(""))).alias("a"))
+        last = rows.where(F.col("kind") == kind).groupBy("target").agg(F.max_by(F.struct(*columns), order).alias("a"))
         one = last.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("target", "a")))).alias(f"{kind}Annotations"))
         out = one if out is None else out.join(one)
     out.select(F.lit(ANNOTATION_VERSION).alias("schemaVersion"), "*").coalesce(1).write.mode("overwrite").json(path)
