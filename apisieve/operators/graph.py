@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..checkpoints import cut
 
@@ -138,12 +139,36 @@ def spread(edges: DataFrame, facts: DataFrame) -> DataFrame:
     """Rows of facts (fn, other columns) and the same for all functions that reach fn over edges (src, dst), distinct.
 
     Facts go up the edges without the closure, which may have a row for each pair of functions; here there is
-    one for each function and fact at most. Null facts would never be found again, so there must be none.
+    one for each function and fact at most. Weakly connected components of up to LOCAL_NODES nodes are done by one task each,
+    many of them together; in larger ones facts go round by round. Null facts would never be found again, so there must be none.
     """
     edges = cut(edges.select("src", "dst").distinct())
-    callers = edges.select(F.col("dst").alias("fn"), F.col("src").alias("caller"))
+    local, large = _parts(edges)
+    local = cut(local)
     others = [c for c in facts.columns if c != "fn"]
-    return _grow(facts.select("fn", *others), lambda fresh: fresh.join(callers, "fn").select(F.col("caller").alias("fn"), *others))
+    nodes = local.select(F.col("src").alias("fn"), "bucket").union(local.select("dst", "bucket")).distinct()
+    known = cut(facts.select("fn", *others).distinct().join(nodes, "fn", "left"))
+
+    def rise(calls: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        callers = _onward(calls.rename(columns={"src": "dst", "dst": "src"}))
+        parts = [told[["fn", *others]].iloc[:0]]
+        for fact, rows in told.groupby(others, sort=False):
+            seen = set(rows["fn"].tolist())
+            todo = list(seen)
+            while todo:
+                more = [x for x in callers.get(todo.pop(), ()) if x not in seen]
+                seen.update(more)
+                todo += more
+            parts.append(pd.DataFrame({"fn": list(seen)}).assign(**dict(zip(others, fact, strict=True))))
+        return pd.concat(parts, ignore_index=True)
+
+    schema = StructType([facts.schema["fn"], *(facts.schema[c] for c in others)])
+    near = local.groupBy("bucket").cogroup(known.where("bucket IS NOT NULL").groupBy("bucket")).applyInPandas(rise, schema)
+    rest = known.where("bucket IS NULL").drop("bucket")
+    if not large.isEmpty():
+        callers = cut(large.select(F.col("dst").alias("fn"), F.col("src").alias("caller")))
+        rest = _grow(rest, lambda fresh: fresh.join(callers, "fn").select(F.col("caller").alias("fn"), *others))
+    return near.unionByName(rest)
 
 
 def cycles(edges: DataFrame) -> DataFrame:

@@ -114,6 +114,9 @@ def test_large_components_go_round_by_round(spark, monkeypatch, nodes):
     edges = spark.createDataFrame(pairs, "src long, dst long")
     reach = reachable(pairs)
     assert sorted(map(tuple, graph.closure(edges).collect())) == sorted(reach)
+    facts = spark.createDataFrame([(b, f"f{b % 7}") for _, b in pairs[::3]] + [(5000, "alone")], "fn long, reason string")
+    told = {(f.fn, f.reason) for f in facts.collect()}
+    assert sorted(map(tuple, graph.spread(edges, facts).collect())) == sorted(told | {(a, r) for a, b in reach for f, r in told if f == b})
     mutual = {n: min(x for x in {a for a, b in reach if b == n} & {b for a, b in reach if a == n}) for n in {a for a, b in reach if a == b}}
     assert dict(map(tuple, graph.cycles(edges).collect())) == mutual
 
