@@ -318,10 +318,10 @@ def test_equal_digests_are_told_apart(spark, sf_dir):
     assert table(exact_dedup.exact_dedup(docs, digest=short).drop("rid").toPandas()) == table(exact_dedup.exact_dedup(docs).drop("rid").toPandas())
 
 
-def test_near_copies_against_all_pairs(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
+def near_classes(docs) -> tuple[list[list], int]:
+    """Classes of doc_ids by the similarity of all pairs, and how many pairs are similar."""
     df = near_dedup.frequencies(docs)
-    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
     bags = []
     for _, text in rows:
         data = np.frombuffer(text.encode(), np.uint8)
@@ -334,20 +334,25 @@ def test_near_copies_against_all_pairs(spark, sf_dir):
             i = parent[i]
         return i
 
-    close = []
+    close = 0
     for i in range(len(rows)):
         for j in range(i):
             same = rows[i][1] == rows[j][1]
-            s = 1.0 if same else near_dedup.weighted_jaccard(bags[i], bags[j]) if len(bags[i][0]) and len(bags[j][0]) else 0.0
-            if s >= 0.8:
+            if same or len(bags[i][0]) and len(bags[j][0]) and near_dedup.weighted_jaccard(bags[i], bags[j]) >= 0.8:
                 parent[root(i)] = root(j)
-                close.append((rows[i][0], rows[j][0]))
-    found = {r.doc_id: r for r in near_dedup.near_dedup(docs).collect()}
+                close += 1
     classes = {}
     for i, (d, _) in enumerate(rows):
         classes.setdefault(root(i), []).append(d)
-    assert len(close) > 5
-    for members in classes.values():
+    return list(classes.values()), close
+
+
+def test_near_copies_against_all_pairs(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    classes, close = near_classes(docs)
+    found = {r.doc_id: r for r in near_dedup.near_dedup(docs).collect()}
+    assert close > 5
+    for members in classes:
         assert {found[d].class_id for d in members} == {min(members)}
         assert sum(found[d].kept for d in members) == 1 and {found[d].class_size for d in members} == {len(members)}
 
