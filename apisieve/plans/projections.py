@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
-
 SEEN = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
@@ -44,7 +42,7 @@ def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of one function with the same arguments counted together, before any of them is taken apart: function_id, a column for each value, times, the first seen."""
     values = [f"{value} AS {name}" for name, value, _, _ in PARAMETERS]
     rows = calls(spark, sf_dir).selectExpr("function_id", "seen", *values)
-    return cut(rows.groupBy("function_id", *[name for name, *_ in PARAMETERS]).agg(F.count("*").alias("times"), F.min("seen").alias("seen")))
+    return rows.groupBy("function_id", *[name for name, *_ in PARAMETERS]).agg(F.count("*").alias("times"), F.min("seen").alias("seen"))
 
 
 def bound(spark: SparkSession, sf_dir: str, grouped: DataFrame | None = None) -> DataFrame:

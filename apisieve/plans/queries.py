@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import literals, names, similarity, stats, types
 from ..operators import dependencies, graph, matching, suggest, usages
 from ..sources import tables
@@ -95,7 +96,7 @@ def usage_remove_prefix_cascade(spark, d):
 
 def _implicit(spark, d) -> DataFrame:
     """Value counts with implicit defaults. first_seen is a number: the rank of the earliest row among a parameter's values. All counts come from one table of repeated calls."""
-    grouped = p.repeats(spark, d)
+    grouped = cut(p.repeats(spark, d))  # three counts read it
     v = p.bound(spark, d, grouped).groupBy("parameter_id", "value").agg(F.sum("times").alias("n"), F.min("seen").alias("seen"))
     v = v.withColumn("first_seen", F.row_number().over(Window.partitionBy("parameter_id").orderBy("seen")).cast("long")).drop("seen")
     pc = v.groupBy("parameter_id").agg(F.sum("n").alias("n"))
