@@ -15,7 +15,7 @@ def build(files: DataFrame, package: str, style: str = "plaintext") -> dict[str,
 
     Whether an element is public depends on re-exports by any file, so these are a table of their own, joined by qualified name.
     """
-    parsed = cut(source_files.parse_declarations(files, package, style).drop("content"))  # parsed once for all tables
+    parsed = cut(source_files.parse_declarations(files, package, style))  # parsed once for all tables
     again = parsed.select(F.explode("d.reexports").alias("r")).groupBy("r.qname").agg(F.array_sort(F.collect_set("r.module_id")).alias("reexported_by"))
     of = lambda f: parsed.select(F.explode(f"d.{f}").alias("x")).select("x.*")
 

@@ -22,7 +22,7 @@ from .queries import ORACLES, QUERIES, query
 
 def _told(spark, d, kind: str, text: str) -> DataFrame:
     """A documented parameter for every part: id, name, type, description."""
-    return p.read(spark, d, "part").selectExpr("p_partkey AS id", "concat('p', p_partkey) AS name", f"{kind} AS type", f"{text} AS description")
+    return p.read(spark, d, "part").repartition(p.spread_over(spark)).selectExpr("p_partkey AS id", "concat('p', p_partkey) AS name", f"{kind} AS type", f"{text} AS description")
 
 
 _BOUND_TYPES = "CASE p_partkey % 7 WHEN 1 THEN 'int' WHEN 3 THEN concat('int < ', p_size) WHEN 4 THEN 'int or float' WHEN 5 THEN 'str' WHEN 6 THEN 'non-negative float' ELSE 'float' END"
@@ -156,7 +156,7 @@ _LINES = f"""concat_ws(chr(10), 'import json', 'LIMIT = 10', '', '', concat('cla
 def shop(spark, d) -> DataFrame:
     """module and content for every part."""
     rows = p.read(spark, d, "part").selectExpr(f"{_MODULE} AS module", f"concat({_LINES}, CASE WHEN p_partkey % 10 = 9 THEN 'def f(:' ELSE '' END) AS content")
-    return rows.repartition(max(2, spark.sparkContext.defaultParallelism))  # one file has all parts; parsing is for all cores
+    return rows.repartition(p.spread_over(spark))  # one file has all parts; parsing is for all cores
 
 
 def shop_catalogue(spark, d) -> dict[str, DataFrame]:
@@ -220,7 +220,7 @@ SELECT module, 'json' AS origin, NULL AS declaration, NULL AS alias FROM m UNION
 def source_imports(spark, d):
     """Imports of every module, also within try; relative ones by the module's place, those in functions are none of the module's."""
     text = "concat_ws(chr(10), 'import json', 'try:', concat('    import fast', p_partkey, ' as quick'), 'except ImportError:', '    from .base import Item', 'from . import rest as r', 'def f():', '    import csv', '')"
-    rows = p.read(spark, d, "part").selectExpr(f"{_MODULE} AS module", f"{text} AS content").repartition(max(2, spark.sparkContext.defaultParallelism))
+    rows = p.read(spark, d, "part").selectExpr(f"{_MODULE} AS module", f"{text} AS content").repartition(p.spread_over(spark))
     m = catalogue.build(rows, "shop")["modules"]
     plain = m.select(F.col("name").alias("module"), F.explode("imports").alias("i")).select("module", F.col("i.module").alias("origin"), F.lit(None).cast("string").alias("declaration"), "i.alias")
     return plain.unionByName(m.select(F.col("name").alias("module"), F.explode("from_imports").alias("i")).select("module", F.col("i.module").alias("origin"), "i.declaration", "i.alias"))
@@ -232,8 +232,10 @@ _CLIENT = f"""CASE o_orderstatus WHEN 'F' THEN concat_ws(chr(10), concat('from '
 
 
 def clients(spark, d) -> DataFrame:
+    """path and content for every order; those about one part, among which are copies, lie together."""
     rows = p.read(spark, d, "orders").join(p.read(spark, d, "part"), F.col("o_custkey") == F.col("p_partkey"))
-    return rows.selectExpr("concat('c', o_orderkey, '.py') AS path", f"{_CLIENT} AS content").repartition(max(2, spark.sparkContext.defaultParallelism))
+    rows = rows.repartition(p.spread_over(spark), "o_custkey").sortWithinPartitions("o_custkey", "o_orderstatus")
+    return rows.selectExpr("concat('c', o_orderkey, '.py') AS path", f"{_CLIENT} AS content")
 
 
 @query(
@@ -293,7 +295,7 @@ def _purity_rows() -> list[tuple[int, str, int, list[str]]]:
 def pure_modules(spark, d) -> DataFrame:
     form = " ".join(f"WHEN {i} THEN concat_ws(chr(10), {', '.join(lines)}, '')" for i, (lines, *_) in enumerate(_BODIES))
     rows = p.read(spark, d, "part").selectExpr("concat('shop.m', p_partkey) AS module", f"CASE p_partkey % {len(_BODIES)} {form} END AS content")
-    return rows.repartition(max(2, spark.sparkContext.defaultParallelism))
+    return rows.repartition(p.spread_over(spark))
 
 
 _PURITY_SQL = "WITH e AS (\n" + "\n  UNION ALL ".join(
@@ -355,7 +357,7 @@ def package_functions(spark, d):
 def local_references(spark, d):
     """Local reads with all earlier definitions, and reassignments with those before them."""
     text = "concat_ws(chr(10), 'def f(x):', '    a = x', concat('    a = a + ', p_size), '    return a', '')"
-    rows = p.read(spark, d, "part").selectExpr("concat('shop.m', p_partkey) AS module", f"{text} AS content").repartition(max(2, spark.sparkContext.defaultParallelism))
+    rows = p.read(spark, d, "part").selectExpr("concat('shop.m', p_partkey) AS module", f"{text} AS content").repartition(p.spread_over(spark))
     links = purity.local_links(cut(files.parse_facts(rows)))
     return links.select(F.substring_index("fn", ".", 2).alias("module"), "name", "kind", "line", F.coalesce("defined", F.lit(0)).alias("defined"))
 

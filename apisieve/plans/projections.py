@@ -12,6 +12,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread_over(spark: SparkSession) -> int:
+    """Partitions for work that takes long by row: a table is one file of few row groups, which would leave it to as many tasks."""
+    return max(2, 4 * spark.sparkContext.defaultParallelism)
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """function_id by the part's brand, class_id by its type, a seen key, and the values passed."""
     line = read(spark, sf_dir, "lineitem").select(*SEEN, "l_returnflag", "l_linestatus", "l_discount", "l_tax")

@@ -5,15 +5,17 @@ from __future__ import annotations
 import fnmatch
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schema
 from ..functions import names
 from . import python_source, scopes
 
 HIDDEN_FILES_A_TASK = 500
+#: Files whose facts a worker holds at a time; texts whose calls it keeps.
+PARSED_ROWS, KEPT_TEXTS = 200, 500
 _TEST = re.compile("/tests?/")
 
 
@@ -99,38 +101,71 @@ CALLED = "struct<calls:array<struct<qname:string,instance:boolean,line:int,col:i
 FACTS = "array<struct<fn:string,name:string,klass:string,line:int,fact:string,target:string,receiver:string,n_args:int,keywords:array<string>,extra:string>>"
 
 
-def parse_declarations(files: DataFrame, package: str, style: str = "plaintext", include_async: bool = False) -> DataFrame:
-    """files (module, content) with a column d of type DECLARED."""
+def _parsed(files: DataFrame, keep: list[str], inputs: list[str], column: str, ddl: str, run) -> DataFrame:
+    """Columns keep of files and what run makes of the columns inputs of each row, as column of type ddl.
+
+    Rows are parsed PARSED_ROWS at a time, so a worker holds the facts of so many files, however many its task has. Unlike a
+    function's column in a filter, a map stays where it is: after the repartition that deals files to all cores, and once.
+    """
+    fields = [files.schema[c] for c in keep]
+    kind = StructType.fromDDL(f"{column} {ddl}")[0]
+
+    def parse(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        made = to_arrow_type(kind.dataType)
+        for batch in batches:
+            for at in range(0, batch.num_rows, PARSED_ROWS):
+                b = batch.slice(at, PARSED_ROWS)
+                rows = [run(*r) for r in zip(*(b.column(c).to_pylist() for c in inputs), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(rows, made)], names=[*keep, column])
 
-    def run(module: pd.Series, content: pd.Series, init: pd.Series) -> pd.DataFrame:
-        rows = [python_source.declarations(c, package, m, style, bool(i), include_async) for m, c, i in zip(module, content, init, strict=True)]
-        return pd.DataFrame({k: pd.Series([r[k] for r in rows], dtype=object) for k in ("module", "classes", "functions", "parameters", "reexports", "error")})
+    return files.select(*dict.fromkeys([*keep, *inputs])).mapInArrow(parse, StructType([*fields, kind]))
 
+
+def parse_declarations(files: DataFrame, package: str, style: str = "plaintext", include_async: bool = False) -> DataFrame:
+    """files (module, content) with a column d of type DECLARED instead of content."""
     is_init = F.coalesce(F.col("is_init"), F.lit(False)) if "is_init" in files.columns else F.endswith("module", F.lit("__init__"))
-    return files.withColumn("d", F.pandas_udf(run, DECLARED)("module", "content", is_init))
+    run = lambda module, content, init: python_source.declarations(content, package, module, style, bool(init), include_async)
+    return _parsed(files.withColumn("_init", is_init), [c for c in files.columns if c != "content"], ["module", "content", "_init"], "d", DECLARED, run)
 
 
 def parse_calls(files: DataFrame, package: str) -> DataFrame:
-    """Calls in client files that mention the package: path, qname, line, col, positional, keywords; files that can't be parsed, or have an error already, give it and no call."""
+    """Calls in client files that mention the package: path, qname, line, col, positional, keywords; files that can't be parsed, or have an error already, give it and no call.
 
-    def run(content: pd.Series) -> pd.DataFrame:
-        rows = [python_source.calls(c, package) for c in content]
-        return pd.DataFrame({"calls": pd.Series([r[0] for r in rows], dtype=object), "error": pd.Series([r[1] for r in rows], dtype=object)})
+    A worker keeps what the last KEPT_TEXTS different texts gave, so copies that lie together are parsed once.
+    """
+
+    def told(content):
+        calls, error = python_source.calls(content, package)
+        return {"calls": calls, "error": error}
 
-    parsed = relevant(files, package).withColumn("r", F.pandas_udf(run, CALLED)("content"))
+    parsed = _parsed(relevant(files, package), ["path"], ["content"], "r", CALLED, _Kept(told))
     told = parsed.select("path", "r.error", F.explode_outer("r.calls").alias("c")).select("path", "error", "c.*")
     if "error" not in files.columns:
         return told
     return told.unionByName(files.where("error IS NOT NULL").select("path", "error"), allowMissingColumns=True)
 
 
-def parse_facts(files: DataFrame) -> DataFrame:
-    """Facts for purity: module and the columns of FACTS."""
+class _Kept:
+    """A function of one text that keeps its last KEPT_TEXTS results; a worker's copy begins with none."""
 
-    def run(module: pd.Series, content: pd.Series) -> pd.Series:
-        return pd.Series([scopes.module_facts(c, m) for m, c in zip(module, content, strict=True)], dtype=object)
+    def __init__(self, f):
+        self.f, self.kept = f, {}
 
-    return files.select("module", F.explode(F.pandas_udf(run, FACTS)("module", "content")).alias("f")).select("module", "f.*")
+    def __call__(self, text):
+        if text not in self.kept:
+            if len(self.kept) >= KEPT_TEXTS:
+                del self.kept[next(iter(self.kept))]
+            self.kept[text] = self.f(text)
+        return self.kept[text]
+
+
+def parse_facts(files: DataFrame) -> DataFrame:
+    """Facts for purity: module and the columns of FACTS."""
+    rows = _parsed(files, ["module"], ["module", "content"], "f", FACTS, lambda module, content: scopes.module_facts(content, module))
+    return rows.select("module", F.explode("f").alias("f")).select("module", "f.*")
 
 
 def with_module(files: DataFrame, root: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from apisieve.functions import similarity
 from apisieve.operators import catalogue, dependencies, graph, matching, purity, usages
 from tests import fixtures
-from apisieve.sources import files, json_io, tables
+from apisieve.sources import files, json_io, python_source, tables
 from apisieve.streaming import usage_stream
 
 
@@ -202,3 +202,28 @@ def test_purity_file(spark, tmp_path):
     line = json.loads(next(p for p in (tmp_path / "purity").iterdir() if p.suffix == ".json").read_text().splitlines()[0])
     by = {f["fn"].split(".")[-3]: f for f in line["functions"]}
     assert by["price"]["purity"] == "Pure" and json.loads(by["log"]["reasons"])["CallOfParameter"] == ["CallOfParameter.ParameterAccess.sink"]
+
+
+def test_files_are_parsed_in_small_parts(spark, monkeypatch):
+    """Rows of catalogue, calls and facts don't depend on how many files a worker holds, and a filter on what a parse gives stays behind it."""
+    monkeypatch.setattr(files, "PARSED_ROWS", 3)
+    monkeypatch.setattr(files, "KEPT_TEXTS", 2)
+    rows = spark.range(0, 20, 1, 1).selectExpr("concat('lib.m', id) AS module", "concat('c', id) AS path", "concat('from lib.m import f', chr(10), 'f(', id % 4, ')', CASE WHEN id % 5 = 0 THEN ' f' ELSE '' END, chr(10)) AS content")
+    called = files.parse_calls(rows, "lib")
+    assert sorted((r.path, r.error, r.positional) for r in called.collect()) == sorted((f"c{i}", None if i % 5 else "SyntaxError", [str(i % 4)] if i % 5 else None) for i in range(20))
+    plan = called.where("error IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "PythonUDF" not in plan and plan.index("Filter") < plan.index("MapInArrow")
+    assert files.parse_facts(rows).where("fact = 'error'").count() == 4 and files.parse_declarations(rows.select("module", "content"), "lib").where("d.error IS NULL").count() == 16
+
+
+def test_texts_as_unparsed():
+    import ast
+    import textwrap
+
+    for text in ("1", "'a\\'b\"'", "u'x'", "None", "True", "1e400", "2j", "b'x'", "...", "-1", "x", "x.y", "[1, 'a']", "f'{x}'"):
+        node = ast.parse(text, mode="eval").body
+        assert python_source._text(node) == ast.unparse(node)
+    for text in ("a\n  \n b", "  a\n\t\n  b", "", "\n x", "a", "\f a\n  b", "if x:\n    '''\n   \n'''"):
+        assert python_source._dedented(text) == textwrap.dedent(text)
+    f = ast.parse("def f(self):\n  if a:\n    self.x = 1\n    try:\n      self.u = 1\n    except E:\n      self.v = lambda: 0\n  self.y = 2\n  with a:\n    self.z = 1\n  def g():\n    self.w = 1\n  match x:\n    case 1:\n      self.q = 1\n").body[0]
+    assert [n for n in python_source._statements(f) if isinstance(n, ast.Assign)] == [n for n in ast.walk(f) if isinstance(n, ast.Assign)]
