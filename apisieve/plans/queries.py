@@ -182,7 +182,7 @@ SELECT p_partkey, k, n, round(2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma
 def value_binomial_pvalue(spark, d):
     """k of n uses for every part: n grows with its number, k lies above half of it by its size."""
     n = F.col("p_partkey") + 1
-    rows = p.read(spark, d, "part").select("p_partkey", F.expr("(p_partkey + 2) div 2 + ((p_partkey + 1) div 2 * p_size) div 100").alias("k"), n.alias("n"))
+    rows = p.read(spark, d, "part").repartition(p.spread_over(spark)).select("p_partkey", F.expr("(p_partkey + 2) div 2 + ((p_partkey + 1) div 2 * p_size) div 100").alias("k"), n.alias("n"))
     return rows.select("p_partkey", "k", "n", F.round(stats.fair_coin_p(F.col("k"), F.col("n")) + 1e-9, 6).alias("p"))
 
 
