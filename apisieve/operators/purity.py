@@ -10,6 +10,10 @@ from ..sources import scopes, tables
 from . import graph
 
 
+#: What the node of a method name begins with; functions begin with their module.
+_ANY = "*."
+
+
 def resolve(facts: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(functions, edges, reasons) of facts (module and the columns of sources.files.FACTS).
 
@@ -18,7 +22,8 @@ def resolve(facts: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame
     builtin type (pure), or unknown. x.m is the class or instance variable m of the receiver's class, if that has one, else
     of every class of the module that has; reading a property calls it. A call of a parameter and one of an import that `known` (fn, is_pure,
     reasons, by qualified name) and the given modules don't explain are reasons of their own, imports of modules without
-    source as native calls. open() tells by its mode what it does to which file.
+    source as native calls. open() tells by its mode what it does to which file. Edges of method calls go by nodes that stand for
+    a method's name (_ANY and the name), which are no functions.
     """
     spark = facts.sparkSession
     functions = facts.where("fact = 'function'").select("module", "fn", "name", "klass", "n_args", F.col("extra").cast("int").alias("most"))
@@ -34,7 +39,10 @@ def resolve(facts: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame
     to_maker = of_class.join(makers, ["module", "maker"]).select("call", "fn", "dst")
     methods = functions.where("klass IS NOT NULL").select(F.col("name").alias("called"), F.col("fn").alias("dst"))
     by_method = calls.where("receiver IS NOT NULL AND receiver NOT IN ('parameter', 'import')")
-    to_method = by_method.join(methods, "called").select("call", "fn", "dst")
+    # a call by a name that many classes have meets all of them: both sides meet a node that stands for the name, so edges are as many as calls and methods
+    named_by = F.concat(F.lit(_ANY), "called")
+    to_method = by_method.join(methods.select("called").distinct(), "called", "left_semi").select("call", "fn", named_by.alias("dst"))
+    of_name = methods.join(by_method.select("called").distinct(), "called", "left_semi").select(F.lit(None).cast("long").alias("call"), named_by.alias("fn"), "dst")
     imported = calls.where("receiver = 'import'")
     elsewhere = functions.where("klass IS NULL").select(F.concat_ws(".", F.regexp_replace("module", r"\.__init__$", ""), "name").alias("called"), F.col("fn").alias("dst"))
     to_import = imported.join(elsewhere, "called").select("call", "fn", "dst")
@@ -42,7 +50,7 @@ def resolve(facts: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame
     of_import = imported.join(made.select("called", "dst"), "called").select("call", "fn", "dst")
     to_import = to_import.unionByName(of_import.where("dst IS NOT NULL"))
     accesses, properties = _accesses(facts, functions)
-    edges = to_function.unionByName(to_maker).unionByName(to_method).unionByName(to_import).unionByName(properties.withColumn("call", F.lit(None).cast("long")).select("call", "fn", "dst"))
+    edges = to_function.unionByName(to_maker).unionByName(to_method).unionByName(of_name).unionByName(to_import).unionByName(properties.withColumn("call", F.lit(None).cast("long")).select("call", "fn", "dst"))
 
     builtin = F.broadcast(tables.frame(spark, "builtin_purity").withColumnRenamed("name", "called"))
     shadowed = edges.select("call").unionByName(of_class.select("call")).distinct()

@@ -227,3 +227,11 @@ def test_texts_as_unparsed():
         assert python_source._dedented(text) == textwrap.dedent(text)
     f = ast.parse("def f(self):\n  if a:\n    self.x = 1\n    try:\n      self.u = 1\n    except E:\n      self.v = lambda: 0\n  self.y = 2\n  with a:\n    self.z = 1\n  def g():\n    self.w = 1\n  match x:\n    case 1:\n      self.q = 1\n").body[0]
     assert [n for n in python_source._statements(f) if isinstance(n, ast.Assign)] == [n for n in ast.walk(f) if isinstance(n, ast.Assign)]
+
+
+def test_method_names_shared_by_many_classes(spark):
+    """Edges of method calls are as many as calls and methods, not their product."""
+    text = "class C:\n    def show(self):\n        print(self)\n\ndef f(c):\n    return c.show()\n"
+    facts = files.parse_facts(spark.range(40).selectExpr("concat('lib.m', id) AS module").withColumn("content", F.lit(text)))
+    assert purity.resolve(facts)[1].count() == 80
+    assert {(r.is_pure, tuple(r.reasons)) for r in purity.analyse(facts).collect()} == {(False, ("FileWrite.Builtin.print",))}
