@@ -5,12 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..checkpoints import cut
 
 #: Nodes of a weakly connected component that one task takes on whole; pairs of nodes and edges that a task takes on together, about.
 LOCAL_NODES, LOCAL_PAIRS, LOCAL_EDGES = 1000, 1_000_000, 200_000
+#: Edges that a task reads together to find components where they lie.
+CHUNK_EDGES = 100_000
 #: Rounds after which the tables of single rounds are written together, so that plans stay short.
 _TOGETHER = 8
 
@@ -55,17 +57,72 @@ def components(edges: DataFrame, save=cut) -> DataFrame:
         labels = lower.join(jump, F.col("low") == F.col("of")).select("node", F.least("low", "further").alias("label"))
 
 
+def _in_chunks(batches, together):
+    """Edges, read so many together and without repeated ones: with the least node of the component that they make in their chunk, and how many of its nodes an edge is the first to meet."""
+    import pyarrow as pa
+
+    def run(held):
+        src, dst = ([x for b in held for x in b.column(c).to_pylist()] for c in (0, 1))
+        edges, root, met = dict.fromkeys(zip(src, dst, strict=True)), {}, []
+
+        def find(x):
+            while (up := root[x]) != x:
+                root[x] = x = root[up]
+            return x
+
+        for a, b in edges:
+            before = len(root)
+            a, b = find(root.setdefault(a, a)), find(root.setdefault(b, b))
+            met.append(len(root) - before)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        kind = held[0].schema.field(0).type
+        columns = [pa.array([e[0] for e in edges], kind), pa.array([e[1] for e in edges], held[0].schema.field(1).type), pa.array([find(a) for a, _ in edges], kind), pa.array(met, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=["src", "dst", "part", "met"])
+
+    held, n = [], 0
+    for b in batches:
+        held, n = [*held, b], n + b.num_rows
+        if n >= together:
+            yield run(held)
+            held, n = [], 0
+    if n:
+        yield run(held)
+
+
 def _parts(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges of components of LOCAL_NODES nodes or fewer, with a bucket of components that one task takes on together, and the other edges."""
-    of = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    sizes = of.groupBy("component").agg(F.count("*").alias("nodes"))
-    known = cut(edges.join(of, F.col("src") == F.col("node"), "left").withColumn("component", F.coalesce("component", "src")).select("src", "dst", "component"))
-    sizes = cut(known.groupBy("component").agg(F.count("*").alias("edges")).join(sizes, "component", "left").withColumn("nodes", F.coalesce("nodes", F.lit(1))))
+    """Edges of components of LOCAL_NODES nodes or fewer, with a bucket of components that one task takes on together, and the other edges, distinct.
+
+    Edges are read in chunks where they lie. A chunk's components are named by a node of theirs, so those of one name are one; nodes
+    in components of several names link these, and only such links go through rounds. Where a component's edges lie together, there are next to none.
+    """
+    kind = edges.schema["src"]
+    schema = StructType([kind, edges.schema["dst"], StructField("part", kind.dataType), StructField("met", IntegerType())])
+    together = CHUNK_EDGES
+    known = cut(edges.select("src", "dst").dropna().mapInArrow(lambda batches: _in_chunks(batches, together), schema))
+    of_node = lambda rows, *more: rows.select(F.col("src").alias("node"), *more).unionAll(rows.select(F.col("dst").alias("node"), *more))
+    met = of_node(known, "part").groupBy("node").agg(F.min("part").alias("least"), F.max("part").alias("last"))
+    shared = cut(met.where("least <> last").select("node", "least"))
+    count = [F.sum("met").alias("nodes"), F.count("*").alias("edges")]
+    known = known.withColumn("component", F.col("part"))
+    sizes = None
+    if not shared.isEmpty():
+        of = cut(components(of_node(known, "part").join(shared, "node").select(F.col("part").alias("a"), F.col("least").alias("b"))))
+        known = cut(known.drop("component").join(of, F.col("part") == F.col("node"), "left").select("src", "dst", "met", F.coalesce("component", "part").alias("component"), F.col("component").isNotNull().alias("linked")))
+        linked = known.where("linked").select("src", "dst", "component").distinct()  # a node may have been met by several chunks
+        nodes = of_node(linked, "component").distinct().groupBy("component").agg(F.count("*").alias("nodes"))
+        sizes = linked.groupBy("component").agg(F.count("*").alias("edges")).join(nodes, "component").select("component", "nodes", "edges")
+        alone = known.where("NOT linked").groupBy("component").agg(*count)
+    else:
+        alone = known.groupBy("component").agg(*count)
+    sizes = cut(alone if sizes is None else alone.unionByName(sizes))
     small = (F.col("nodes") <= LOCAL_NODES) & (F.col("edges") <= LOCAL_EDGES)
     work = sizes.where(small).agg(F.sum(F.greatest(F.col("nodes") * F.col("nodes") / LOCAL_PAIRS, F.col("edges") / LOCAL_EDGES))).first()[0] or 0
-    told = known.join(sizes.where(small).select("component", F.lit(True).alias("small")), "component", "left")
-    local = told.where("small").withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(int(work) + 1)))
-    return local.select("bucket", "src", "dst"), told.where("small IS NULL").select("src", "dst")
+    told = known.select("src", "dst", "component", F.pmod(F.xxhash64("component"), F.lit(int(work) + 1)).alias("bucket"))
+    great = cut(sizes.where(~small).select("component"))
+    if great.isEmpty():
+        return told.select("bucket", "src", "dst"), told.select("src", "dst").limit(0)
+    return told.join(great, "component", "left_anti").select("bucket", "src", "dst"), told.join(great, "component", "left_semi").select("src", "dst").distinct()
 
 
 def _onward(pdf: pd.DataFrame) -> dict:
@@ -125,7 +182,7 @@ def closure(edges: DataFrame) -> DataFrame:
     As many rows as there are such pairs, so for graphs whose closure is wanted whole; spread() needs none. Weakly connected
     components of up to LOCAL_NODES nodes are closed by one task each, many of them together; larger ones go round by round.
     """
-    edges = cut(edges.select("src", "dst").distinct())
+    edges = edges.select("src", "dst")
     local, large = _parts(edges)
     near = local.groupBy("bucket").applyInPandas(_reach, edges.schema)
     if large.isEmpty():
@@ -142,9 +199,7 @@ def spread(edges: DataFrame, facts: DataFrame) -> DataFrame:
     one for each function and fact at most. Weakly connected components of up to LOCAL_NODES nodes are done by one task each,
     many of them together; in larger ones facts go round by round. Null facts would never be found again, so there must be none.
     """
-    edges = cut(edges.select("src", "dst").distinct())
     local, large = _parts(edges)
-    local = cut(local)
     others = [c for c in facts.columns if c != "fn"]
     nodes = local.select(F.col("src").alias("fn"), "bucket").union(local.select("dst", "bucket")).distinct()
     known = cut(facts.select("fn", *others).distinct().join(nodes, "fn", "left"))
@@ -178,13 +233,13 @@ def cycles(edges: DataFrame) -> DataFrame:
     together. In larger ones, every node takes the least node that reaches it as its colour; those of a colour
     that reach the node it is named by are a strong component, which goes, and the rest is coloured anew.
     """
-    edges = cut(edges.select("src", "dst").distinct())
     kind = edges.schema["src"].dataType.simpleString()
     local, large = _parts(edges)
     found = local.groupBy("bucket").applyInPandas(_mutual, f"node {kind}, component {kind}")
-    loops = edges.where("src = dst").select(F.col("src").alias("node"))
+    large = large if large.isEmpty() else cut(large)
     left = cut(large.where("src <> dst"))
     lonely = large.where("src = dst")
+    loops = lonely.select(F.col("src").alias("node"))
     done = None
     while not left.isEmpty():
         nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()

@@ -423,7 +423,7 @@ def _edges(spark, d) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     first = F.when(F.col("c_mktsegment") == "BUILDING", F.first("o_orderkey").over(w))
     rows = o.select(F.col("o_orderkey").alias("src"), F.coalesce(F.lead("o_orderkey").over(w), first).alias("dst"))
-    return rows.where("dst IS NOT NULL AND dst <> src").distinct()
+    return rows.where("dst IS NOT NULL AND dst <> src")  # a customer's lie together; what reads them leaves out repeated ones
 
 
 _EDGES_SQL = """e AS (

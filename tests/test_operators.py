@@ -235,3 +235,19 @@ def test_method_names_shared_by_many_classes(spark):
     facts = files.parse_facts(spark.range(40).selectExpr("concat('lib.m', id) AS module").withColumn("content", F.lit(text)))
     assert purity.resolve(facts)[1].count() == 80
     assert {(r.is_pure, tuple(r.reasons)) for r in purity.analyse(facts).collect()} == {(False, ("FileWrite.Builtin.print",))}
+
+
+@pytest.mark.parametrize("together", [1, 3, 1000])
+def test_components_found_where_edges_lie(spark, monkeypatch, together):
+    """Results don't depend on how edges are cut into chunks; components whose edges lie in one chunk take no rounds."""
+    rounds = []
+    monkeypatch.setattr(graph, "CHUNK_EDGES", together)
+    monkeypatch.setattr(graph, "components", lambda links, real=graph.components: rounds.append(1) or real(links))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", together)
+    try:
+        edges = spark.createDataFrame([(str(a), str(b)) for a, b in [*EDGES, *EDGES[:3]]], "src string, dst string").coalesce(1)
+        assert sorted(map(tuple, graph.closure(edges).collect())) == sorted((str(a), str(b)) for a, b in reachable(EDGES))
+        assert sorted(map(tuple, graph.cycles(edges).collect())) == [("1", "1"), ("2", "1"), ("3", "1"), ("6", "6")]
+        assert bool(rounds) == (together < 1000)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
