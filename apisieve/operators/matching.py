@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
+from ..functions import similarity
+from ..functions.literals import INTEGER, to_double
 from ..functions.similarity import SIMILARITIES
 from . import graph
 
@@ -47,6 +49,102 @@ def candidates(v1: DataFrame, v2: DataFrame, score, threshold: float = CREATE, g
     return scored.where(F.col("similarity") >= threshold)
 
 
+#: Measures as means of terms: lists compared by edit distance, whether descriptions count, how many terms there are without descriptions and defaults.
+_MEASURES = {
+    "class": (similarity.class_similarity, ("attributes", "members", "code_lines"), True, 5),
+    "function": (similarity.function_similarity, ("code_lines", "members"), True, 4),
+    "parameter": (similarity.parameter_similarity, ("types",), True, 4),
+    "attribute": (similarity.attribute_similarity, ("types",), False, 2),
+}
+
+
+def likely(v1: DataFrame, v2: DataFrame, threshold: float = CREATE) -> DataFrame:
+    """(kind, v1_id, v2_id): all pairs that may reach the threshold under by_kind, and as few others as bounds allow.
+
+    A list's term is 0 unless an item is shared or both are empty. Elements fall into groups by which lists are empty and
+    which sort of default they have; where the other terms can't bring two groups to the threshold, only pairs that share an item are likely.
+    Where they can, parameters of equal paths or defaults are, and those whose names are as near as the rest of the terms demands, which have a piece
+    in common. Of other groups, and of kinds with a measure that isn't known here, all pairs are.
+    """
+    known = [k for k, (f, *_) in _MEASURES.items() if SIMILARITIES.get(k) is f]
+    side = lambda v, c: v.select("kind", F.col("id").alias(c)).where(~F.col("kind").isin(*known))
+    out = side(v1, "v1_id").join(side(v2, "v2_id"), "kind")
+    for kind in known:
+        _, lists, described, terms = _MEASURES[kind]
+        a, b = _grouped(v1, "v1_id", kind, lists, described), _grouped(v2, "v2_id", kind, lists, described)
+        item = lambda v, c: v.select("kind", c, F.explode("items").alias("item"))
+        out = out.unionByName(item(a, "v1_id").join(item(b, "v2_id"), ["kind", "item"]).select("kind", "v1_id", "v2_id"))
+        of = lambda v: [(r["group"], r["deep"]) for r in v.groupBy("group").agg(F.max(F.size(F.split("path", "/"))).alias("deep")).collect()]
+        ones, twos, near = of(a), of(b), []
+        met: dict[str, list] = {"kind": [], "path": [], "number": []}
+        for g, deep1 in ones:
+            for h, deep2 in twos:
+                *empty1, told1, sort1 = g.split(",")
+                *empty2, told2, sort2 = h.split(",")
+                rest, count = float(sum(x == y == "true" for x, y in zip(empty1, empty2, strict=True))), terms
+                if described and not told1 == told2 == "true":
+                    rest, count = rest + (0.5 if "true" in (told1, told2) else 0), count + 1  # an empty text and one with an empty token
+                rest += {"attribute": 0, "parameter": 2}.get(kind, 1)  # paths, and assignments
+                # what defaults that aren't equal numbers add at most
+                unequal, most = {("null", "null"): (0, 0), ("int", "int"): (0.5, 1)}.get((sort1, sort2), (0, 0) if "null" in (sort1, sort2) else (1, 1)) if kind == "parameter" else (0, 0)
+                count += kind == "parameter" and (sort1, sort2) != ("null", "null")
+                need = threshold * count - 1e-9
+                if 1 + rest + most < need:
+                    continue
+                deep = max(deep1, deep2)
+                name = need - unequal - (rest - 2 / (deep * (deep + 1)))  # how alike names must be where paths aren't equal: one step at a path's end costs least
+                if kind != "parameter" or name <= 0.5:
+                    met["kind"].append((g, h))
+                    continue
+                met["path"].append((g, h))
+                if most > unequal:
+                    met["number"].append((g, h))
+                if name <= 1:
+                    near.append((g, h, name))
+        for column, pairs in met.items():
+            if pairs:
+                told = F.broadcast(v1.sparkSession.createDataFrame(pairs, "g string, h string"))
+                x, y = a.select("kind", "v1_id", F.col(column).alias("x"), F.col("group").alias("g")).join(told, "g"), b.select("v2_id", F.col(column).alias("x"), F.col("group").alias("h"))
+                out = out.unionByName(x.join(y, ["x", "h"]).select("kind", "v1_id", "v2_id"))
+        if near:
+            x, y = (v.where(F.col("group").isin(*{n[i] for n in near})) for i, v in enumerate((a, b)))
+            out = out.unionByName(_near_names(x, y, min(n[2] for n in near)).select("kind", "v1_id", "v2_id"))
+    return out.distinct()
+
+
+def _grouped(v: DataFrame, id_: str, kind: str, lists: tuple[str, ...], described: bool) -> DataFrame:
+    """Elements of a kind with group (emptiness of lists and description, sort of default), items of lists and description, path and default as a number."""
+    none = F.array().cast("array<string>")
+    told, default, parts = F.coalesce("description", F.lit("")), F.col("default_value"), F.split("id", "/")
+    sort = F.when(default.isNull(), "null").when(default.rlike(INTEGER), "int").otherwise("other")
+    group = [*[(F.size(F.coalesce(x, none)) == 0).cast("string") for x in lists], (told == "").cast("string"), sort if kind == "parameter" else F.lit("")]
+    marked = lambda f, x: F.transform(x, lambda y: F.concat(F.lit(f + ":"), y))
+    items = [marked(f, F.coalesce(f, none)) for f in lists] + [F.when(told != "", marked("description", F.split(told, "[\n ]"))).otherwise(none)] * described
+    path = F.concat_ws("/", F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(1))))
+    rows = v.where(F.col("kind") == kind)
+    return rows.select("kind", F.col("id").alias(id_), "name", F.concat_ws(",", *group).alias("group"), F.array_distinct(F.concat(*items)).alias("items"), F.translate(path, ".", "/").alias("path"), F.when(sort == "int", to_double(default)).alias("number"))
+
+
+def _near_names(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Pairs (kind, v1_id, v2_id, similarity) with 1 - edit distance / longer length >= least, above a half.
+
+    A name of n letters has at most e = (1 - least) * n / least edits to the other, so of e + 1 pieces one is whole in the other.
+    """
+    edits = lambda n: int((1 - least) * n / least + 1e-9)
+    lengths = [r[0] for r in a.select(F.length("name")).distinct().collect()]
+    widths = {n: n // (edits(n) + 1) for n in lengths}
+    wide = sorted(set(widths.values()))
+    width = F.element_at(F.create_map(*[F.lit(x) for n in lengths for x in (n, widths[n])]), F.length("name")) if lengths else F.lit(1)
+    cut_at = lambda starts, w: F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("name"), i, w)))
+    # names of fewer letters than pieces have the piece of no letters, which every name has
+    whole = F.when(F.col("w") > 0, F.sequence(F.lit(1), F.greatest(F.length("name") - F.col("w") + 1, F.lit(1)), F.greatest(F.col("w"), F.lit(1)))).otherwise(F.array(F.lit(1)))
+    left = a.withColumn("w", width).select("kind", "v1_id", F.col("name").alias("n1"), "w", F.explode(cut_at(whole, F.col("w"))).alias("piece"))
+    every = F.when(F.col("w") > 0, F.sequence(F.lit(1), F.greatest(F.length("name") - F.col("w") + 1, F.lit(1)))).otherwise(F.array(F.lit(1)))
+    right = b.withColumn("w", F.explode(F.array(*[F.lit(w) for w in wide]).cast("array<int>"))).select("kind", "v2_id", F.col("name").alias("n2"), "w", F.explode(cut_at(every, F.col("w"))).alias("piece"))
+    met = left.join(right, ["kind", "w", "piece"])
+    return met.select("kind", "v1_id", "v2_id", similarity.name_similarity(F.col("n1"), F.col("n2")).alias("similarity")).where(F.col("similarity") >= least - 1e-9)
+
+
 def short_edit_pairs(v1: DataFrame, v2: DataFrame, threshold: float = CREATE) -> DataFrame:
     """Pairs of names with 1 - edit distance / longer length >= threshold, by blocks of lengths instead of all pairs.
 
@@ -154,14 +252,18 @@ def duplicates(annotations: DataFrame) -> DataFrame:
     return grouped.select("kind", "target", F.col("kept.payload").alias("payload"), others.alias("conflicts"), F.when(F.size(others) > 0, "unsure").otherwise(F.col("kept.reviewResult")).alias("reviewResult"), "n")
 
 
-def parent_gate(v1: DataFrame, v2: DataFrame, mapped: DataFrame) -> DataFrame:
-    """Pairs of children whose parents are mapped to one another: kind, v1_id, v2_id. v1, v2: kind, id, parent_id, parent_kind; global functions' parents are modules, which always pass."""
+def parent_gate(v1: DataFrame, v2: DataFrame, mapped: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Pairs of children whose parents are mapped to one another: kind, v1_id, v2_id. v1, v2: kind, id, parent_id, parent_kind; global functions' parents are modules, which always pass.
+
+    With among (kind, v1_id, v2_id), the pairs of elements at the top are taken from there instead of all.
+    """
     m = mapped.select(F.col("kind").alias("pk"), F.col("v1_id").alias("p1"), F.col("v2_id").alias("p2"))
     a = v1.select("kind", F.col("id").alias("v1_id"), F.col("parent_id").alias("p1"), F.col("parent_kind").alias("pk"))
     b = v2.select("kind", F.col("id").alias("v2_id"), F.col("parent_id").alias("p2"))
     under = a.join(m, ["pk", "p1"]).join(b, ["kind", "p2"]).select("kind", "v1_id", "v2_id")
     top = lambda x: x.where((F.col("kind") == "class") | (F.col("parent_kind") == "module"))
-    free = top(v1).select("kind", F.col("id").alias("v1_id")).join(top(v2).select("kind", F.col("id").alias("v2_id")), "kind")
+    one, two = top(v1).select("kind", F.col("id").alias("v1_id")), top(v2).select("kind", F.col("id").alias("v2_id"))
+    free = one.join(two, "kind") if among is None else among.join(one, ["kind", "v1_id"], "left_semi").join(two, ["kind", "v2_id"], "left_semi")
     return under.unionByName(free.select("kind", "v1_id", "v2_id"))
 
 
@@ -205,19 +307,20 @@ def map_api(v1: DataFrame, v2: DataFrame, threshold: float = CREATE, gap: float
         return merge_shared(merge_prefix(candidates(a, b, score, threshold, gate), gap)).withColumn("stage", F.lit(name))
 
     done = flat(sure)
-    a, b = rest(v1, done, "v1_id"), rest(v2, done, "v2_id")
-    simple = cut(stage("simple", a, b, by_kind))
+    a, b = cut(rest(v1, done, "v1_id")), cut(rest(v2, done, "v2_id"))
+    simple = cut(stage("simple", a, b, by_kind, likely(a, b, threshold)))
     single = (F.size("v1_ids") == 1) & (F.size("v2_ids") == 1)
     one, many = flat(simple.where(single)), flat(simple.where(~single))
-    gate = parent_gate(v1, v2, done.unionByName(flat(simple))).join(many, ["kind", "v1_id", "v2_id"], "left_semi")
+    gate = parent_gate(v1, v2, done.unionByName(flat(simple)), many).join(many, ["kind", "v1_id", "v2_id"], "left_semi")
     strict = cut(stage("strict", a, b, by_kind, gate))
     kept = done.unionByName(flat(strict))
     if carry_one_to_one:
         kept = kept.unionByName(one)
     near = inheritance_gate(v2.where("kind = 'class'"), kept)
     parents = near.select(F.lit("class").alias("kind"), "v1_id", "v2_id")
-    under = parent_gate(v1, v2, parents).where("kind <> 'class'")
-    free1, free2 = rest(a, kept, "v1_id"), rest(b, kept, "v2_id")
+    free1, free2 = cut(rest(a, kept, "v1_id")), cut(rest(b, kept, "v2_id"))
+    unboosted = (threshold - INHERITANCE_BOOST) / (1 - INHERITANCE_BOOST)
+    under = parent_gate(free1, free2, parents, likely(free1, free2, unboosted)).where("kind <> 'class'")
     late = stage("inheritance", free1, free2, boosted(by_kind), parents.unionByName(under))
     return sure.unionByName(simple.where(single)).unionByName(strict).unionByName(late)
 

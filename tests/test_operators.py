@@ -251,3 +251,27 @@ def test_components_found_where_edges_lie(spark, monkeypatch, together):
         assert bool(rounds) == (together < 1000)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_likely_pairs_are_all_that_reach_the_threshold(spark):
+    """Against all pairs: elements of few and many items, empty ones, defaults and paths of all sorts, names a few letters apart."""
+    import random
+
+    pick = random.Random(5)
+    some = lambda xs, k: [pick.choice(xs) for _ in range(pick.randrange(k + 1))]
+    stems = ["abcdefghijklmnopqrstuvwx", "0123456789abcdef01234567", "zyxwvutsrqponmlkjihgfedc", "aé", "b"]
+
+    def element(kind, i):
+        name = "".join(pick.choice("qw") if pick.random() < 0.05 else c for c in pick.choice(stems))
+        text = pick.choice(["", None, "a b", "c ", "d e f"])
+        id_ = "/".join(["lib", pick.choice(["m", "m.n", "k"]), *some(["C", "D"], 2), f"{name}{i}"])
+        return (kind, id_, name, "lib/m", "module", i, text, some("abc", 2), some("xy", 2), some("pqr", 2), pick.choice([None, [], ["int"], ["s"], ["t"]]), pick.choice(["POSITION_OR_NAME", "NAME_ONLY"]), pick.choice([None, "1", "2", "1.0", "True", "'x'", "None"]), [])
+
+    columns = "kind string, id string, name string, parent_id string, parent_kind string, ord int, description string, members array<string>, attributes array<string>, code_lines array<string>, types array<string>, assigned_by string, default_value string, superclasses array<string>"
+    made = lambda: spark.createDataFrame([element(k, i) for k in ("class", "function", "parameter", "attribute", "result") for i in range(25)], columns).cache()
+    v1, v2 = made(), made()
+    for threshold in (0.61,):
+        pairs = lambda df: set(map(tuple, df.select("kind", "v1_id", "v2_id").collect()))
+        held = pairs(matching.likely(v1, v2, threshold))
+        assert pairs(matching.candidates(v1, v2, matching.by_kind, threshold)) <= held
+        assert len({x for x in held if x[0] == "parameter"}) < 625
