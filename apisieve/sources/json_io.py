@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .. import schema
 
 API_VERSION, USAGE_VERSION, ANNOTATION_VERSION = 1, 1, 2
+#: Functions that a catalogue of one document has at most; those in each document of a larger one, about.
+ONE_DOCUMENT, PART_DOCUMENT = 50_000, 5_000
 
 _PARAM = f"struct<id:string,name:string,qname:string,default_value:string,assigned_by:string,is_public:boolean,docstring:{schema.DOC}>"
 API = (
@@ -26,20 +28,27 @@ def read_api(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     parameters = functions.select(F.col("id").alias("function_id"), F.posexplode("parameters").alias("ordinal", "p")).select("function_id", "ordinal", "p.*")
     parameters = parameters.withColumn("assigned_by", F.coalesce("assigned_by", F.lit("POSITION_OR_NAME"))).withColumn("is_public", F.coalesce("is_public", F.lit(True)))
     classes = of("classes").withColumn("name", F.coalesce("name", F.substring_index("qname", ".", -1))).withColumn("is_public", F.coalesce("is_public", F.lit(True)))
-    return {"header": raw.select("schemaVersion", "distribution", "package", "version"), "modules": of("modules"), "classes": classes, "functions": functions.drop("parameters"), "parameters": parameters}
+    return {"header": raw.select("schemaVersion", "distribution", "package", "version").distinct(), "modules": of("modules"), "classes": classes, "functions": functions.drop("parameters"), "parameters": parameters}
 
 
 def write_api(catalogue: dict[str, DataFrame], header: tuple[str, str, str], path: str) -> None:
-    """One JSON document, elements sorted by id."""
+    """One JSON document, elements sorted by id. A catalogue of more than ONE_DOCUMENT functions, which is more than one library's, becomes several
+    such documents, a file each, with the same header and elements dealt by their ids: no task holds more than about PART_DOCUMENT functions. read_api takes either."""
+    spark, n = catalogue["functions"].sparkSession, catalogue["functions"].count()
+    documents = 1 if n <= ONE_DOCUMENT else -(-n // PART_DOCUMENT)
     p = catalogue["parameters"].groupBy("function_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "id", "name", "qname", "default_value", "assigned_by", "is_public", "docstring"))).alias("p"))
     inner = F.transform(F.coalesce("p", F.array().cast(f"array<struct<ordinal:int,{_PARAM[7:]}>")), lambda x: F.struct(*[x[c].alias(c) for c in ("id", "name", "qname", "default_value", "assigned_by", "is_public", "docstring")]))
     f = catalogue["functions"].join(p, F.col("id") == F.col("function_id"), "left").withColumn("parameters", inner)
     f = f.select("id", "name", "qname", "decorators", "is_public", "reexported_by", "description", "docstring", "code", "parameters")
-    all_of = lambda rows: rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias("rows"))  # noqa: E731  a catalogue is one library's, some 10^4 rows
     c = catalogue["classes"].select("id", "name", "qname", "decorators", "superclasses", "methods", "is_public", "reexported_by", "description", "docstring", "code")
-    rows = all_of(catalogue["modules"]).withColumnRenamed("rows", "modules").join(all_of(c).withColumnRenamed("rows", "classes")).join(all_of(f).withColumnRenamed("rows", "functions"))
+    rows = spark.range(documents).select(F.col("id").alias("document"))
+    for name, part in (("modules", catalogue["modules"]), ("classes", c), ("functions", f)):
+        dealt = part.select(F.pmod(F.xxhash64("id"), F.lit(documents)).alias("document"), F.struct(*part.columns).alias("x"))
+        held = dealt.groupBy("document").agg(F.array_sort(F.collect_list("x")).alias(name))
+        rows = rows.join(held, "document", "left").withColumn(name, F.coalesce(name, F.array().cast(held.schema[name].dataType)))
     names = ("distribution", "package", "version")
-    rows.select(F.lit(API_VERSION).alias("schemaVersion"), *[F.lit(v).alias(n) for n, v in zip(names, header, strict=True)], "modules", "classes", "functions").coalesce(1).write.mode("overwrite").json(path)
+    out = rows.select(F.lit(API_VERSION).alias("schemaVersion"), *[F.lit(v).alias(n) for n, v in zip(names, header, strict=True)], "modules", "classes", "functions")
+    (out.coalesce(1) if documents == 1 else out).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 USAGES = "schemaVersion int, class_counts map<string,long>, function_counts map<string,long>, parameter_counts map<string,long>, value_counts map<string,map<string,long>>"

@@ -275,3 +275,16 @@ def test_likely_pairs_are_all_that_reach_the_threshold(spark):
         held = pairs(matching.likely(v1, v2, threshold))
         assert pairs(matching.candidates(v1, v2, matching.by_kind, threshold)) <= held
         assert len({x for x in held if x[0] == "parameter"}) < 625
+
+
+def test_large_catalogues_are_several_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(json_io, "ONE_DOCUMENT", 3)
+    monkeypatch.setattr(json_io, "PART_DOCUMENT", 2)
+    built = catalogue.build(fixtures.library(spark), "shop", "numpydoc")
+    json_io.write_api(built, ("shop-dist", "shop", "1.0"), str(tmp_path / "api"))
+    texts = [json.loads(x.read_text()) for x in (tmp_path / "api").iterdir() if x.suffix == ".json"]
+    assert len(texts) > 1 and all({"modules", "classes", "functions"} <= set(x) and [f["id"] for f in x["functions"]] == sorted(f["id"] for f in x["functions"]) for x in texts)
+    again = json_io.read_api(spark, str(tmp_path / "api"))
+    for part in ("modules", "classes", "functions", "parameters"):
+        assert sorted(r.id for r in again[part].select("id").collect()) == sorted(r.id for r in built[part].select("id").collect())
+    assert again["header"].count() == 1
